@@ -1,4 +1,462 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with DuckDB SQL where SQL can express it.
+
+``documents`` stand for articles (source for volume, lang for category), ``benchmark``
+for questions, ``embeddings`` for dense vectors, ``labels.quality`` for gains,
+``conversations`` for histories and ``events`` for the request log.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
+from ..functions import text as T
+from ..functions import udfs as U
+from ..operators import catalog, evaluation, indexing, ranking, retrieval, state
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+WORDS = r"regexp_extract_all({}, '[\x{{0B80}}-\x{{0BFF}}]+|[\p{{L}}\p{{N}}_]+')"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def kept(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return kept
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- Facets and listings ---
+
+
+@query("select source, lang, count(*) as articles, count(distinct text) as texts, min(n_chars) as least_chars, max(n_chars) as most_chars from documents group by source, lang")
+def facet_counts(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("articles"), F.count_distinct("text").alias("texts"), F.min("n_chars").alias("least_chars"), F.max("n_chars").alias("most_chars"))
+
+
+@query("select count(*) as issues, cast(sum(articles) as bigint) as articles, round(avg(articles), 1) as mean, min(articles) as least, max(articles) as most from (select source, count(*) as articles from documents where trim(source) <> '' group by source)")
+def facet_stats(spark, d):
+    return catalog.issue_stats(catalog.issue_counts(table(spark, d, "documents").select(F.col("source").alias("issue"))))
+
+
+@query("select o_orderpriority as author, count(*) as articles from orders group by 1")
+def author_counts(spark, d):
+    return catalog.author_counts(table(spark, d, "orders").select(F.col("o_orderpriority").alias("author")))
+
+
+@query("select cast(min(try_cast(substr(cast(o_orderdate as varchar), 1, 4) as integer)) as integer) as start_year from orders")
+def start_year(spark, d):
+    return catalog.start_year(table(spark, d, "orders").select(F.substring(F.col("o_orderdate").cast("string"), 1, 4).alias("year")))
+
+
+@query("select source as volume, count(*) as issues, case when count(distinct y) > 1 then cast(min(y) as varchar) || '-' || cast(max(y) as varchar) else cast(min(y) as varchar) end as years from (select source, n_chars % 8 + 1947 as y from documents) group by source")
+def volume_summary(spark, d):
+    return catalog.volume_summary(table(spark, d, "documents").select(F.col("source").alias("volume"), (F.col("n_chars") % 8 + 1947).alias("year")))
+
+
+@query("select o_orderkey, index from (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as index, count(*) over () as n from orders) where index <= 10 or index > n - 10")
+def issue_first_last10(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return ranking.first_and_last(rows, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", "index")
+
+
+@query("select doc_id, lang, source from documents where lang = 'fr' and contains(lower(text), 'vi')")
+def browse_filter(spark, d):
+    docs = table(spark, d, "documents")
+    points = docs.select("doc_id", F.col("source").alias("doc_issue"), F.col("doc_id").alias("article_no"), F.lit(0).alias("chunk_id"), F.array("lang").alias("tags"), F.array("source").alias("authors"), F.col("text").alias("title"), "lang", "source")
+    return points.filter(F.array_contains("tags", "fr") & F.contains(F.lower("title"), F.lit("vi"))).select("doc_id", "lang", "source")
+
+
+@query("select c.doc_id, coalesce(nullif(case when l.doc_id is not null then l.quality || ', ' || l.toxic end, ''), i.first_tag, '') as tag_text from documents c left join labels l on l.doc_id = c.doc_id left join (select source, arg_min(quality || ', ' || toxic, d.doc_id) as first_tag from documents d join labels using (doc_id) group by source) i on i.source = c.source")
+def catalog_tag_backfill(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    keyed = docs.select("doc_id", F.col("source").alias("doc_issue"), F.col("doc_id").alias("article_no"))
+    rows = keyed.select(F.lit(1).alias("doc_id"), "doc_issue", "article_no")
+    tagged = keyed.join(labels, "doc_id").select(F.lit(1).alias("doc_id"), "doc_issue", "article_no", F.array(F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("tags"))
+    return catalog.with_tags(rows, tagged).select(F.col("article_no").alias("doc_id"), "tag_text")
+
+
+# --- Text ---
+
+
+@query(f"select lang, sum(n) as words, min(n) as least, max(n) as most from (select lang, len({WORDS.format('text')}) as n from documents) group by lang".replace("sum(n)", "cast(sum(n) as bigint)"))
+def word_count_stats(spark, d):
+    rows = table(spark, d, "documents").select("lang", T.word_count(F.col("text")).cast("bigint").alias("n"))
+    return rows.groupBy("lang").agg(F.sum("n").alias("words"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+SENTENCES_SQL = r"""
+parts as (select doc_id, unnest(regexp_extract_all(text, '[^।.!?]*[।.!?]*')) as m, generate_subscripts(regexp_extract_all(text, '[^।.!?]*[।.!?]*'), 1) as i from documents),
+sentences as (select doc_id, i, regexp_replace(regexp_extract(m, '^([^।.!?]*)', 1), '^[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') || regexp_extract(m, '([।.!?]*)$', 1) as t from parts)"""
+
+
+@query(f"with {SENTENCES_SQL} select doc_id, count(*) as sentences, cast(sum(length(t)) as bigint) as chars, min(md5(t)) as first_md5 from sentences where length(t) > 10 group by doc_id")
+def sentence_explode(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("t"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("t").cast("long")).alias("chars"), F.min(F.md5(F.col("t").cast("binary"))).alias("first_md5"))
+
+
+@query()
+def chunk_greedy(spark, d):
+    return indexing.chunk_rows(table(spark, d, "documents"), ["doc_id"], "text").filter(T.chunk_ok(F.col("content"), tamil=False)).select("doc_id", "chunk_id", "total_chunks", T.word_count(F.col("content")).alias("words"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def chunk_stats(spark, d):
+    return indexing.chunk_stats(indexing.chunk_rows(table(spark, d, "documents"), ["doc_id"], "text"), tamil=False)
+
+
+@query("select source, count(*) as chunks, md5(string_agg(text, chr(10) order by doc_id)) as content_md5 from documents where n_chars < 2000 group by source")
+def chunk_reassemble(spark, d):
+    docs = table(spark, d, "documents").filter("n_chars < 2000")
+    points = docs.select(F.lit("v").alias("doc_id"), F.col("source").alias("doc_issue"), F.lit(1).alias("article_no"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("title"))
+    return catalog.article_content(points).select(F.col("doc_issue").alias("source"), "chunks", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("select distinct unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as word from documents")
+def vocab_build(spark, d):
+    return catalog.vocabulary(table(spark, d, "documents"), "text", "[a-z]{4,}")
+
+
+@query(r"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '["'']', '', 'g'), '={4,}', '---', 'g'), '`{3,}', '''', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {3,}', ' ', 'g'), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g') as clean from conversations""")
+def sanitize_queries(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.sanitize(F.col("text")).alias("clean"))
+
+
+@query(
+    "select conv_id, turn, case when regexp_matches(text, '(?i)" + "|".join(f"(?:{p})" for p in L.INJECTION_HIGH).replace("'", "''") + "') then 'high' when regexp_matches(text, '(?i)" + "|".join(f"(?:{p})" for p in L.INJECTION_MEDIUM) + "') then 'medium' end as severity from conversations"
+)
+def injection_flags(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.injection_severity(F.col("text")).alias("severity"))
+
+
+@query(
+    "select conv_id, turn, coalesce(regexp_matches(text, '(?i)" + "|".join(f"(?:{p})" for p in L.LEAKAGE).replace("'", "''") + "'), false) as leaks, coalesce(regexp_matches(text, '(?i)" + "|".join(f"(?:{p})" for p in L.NO_DATA_ENGLISH).replace("'", "''") + "') or regexp_matches(text, '" + "|".join(f"(?:{p})" for p in L.NO_DATA_TAMIL) + "'), false) as no_data from conversations"
+)
+def answer_guards(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.leaks(F.col("text")).alias("leaks"), T.says_no_data(F.col("text")).alias("no_data"))
+
+
+@query(r"select page_id, replace(regexp_replace(lower(url), '[\s\p{Z}]+', '_', 'g'), '_.', '.') as file_key, case when regexp_extract(url, '((?:19|20)\d{2})', 1) = '' then 'Unknown' else regexp_extract(url, '((?:19|20)\d{2})', 1) end as year, coalesce(list_filter(string_split(url, '/'), lambda p: starts_with(lower(p), 'vol_'))[1], 'unknown') as volume, rtrim(translate(to_base64(encode(url)), '+/', '-_'), '=') as token from pages")
+def key_parse(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.normal_key(url).alias("file_key"), T.year_of(url).alias("year"), T.volume_of(url).alias("volume"), T.base64url(url.cast("binary")).alias("token"))
+
+
+@query(r"select item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\x{0B80}-\x{0BFF}a-z0-9]+'), lambda t: length(t) >= 2), ' ') as content_tokens from benchmark")
+def content_tokens(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.content_tokens(F.col("text")), " ").alias("content_tokens"))
+
+
+# --- Retrieval ---
+
+BM25_SQL = f"""
+q as (select item_id as qid, text from benchmark),
+qt as (select distinct qid, unnest({TOKENS.format('text')}) as term from q),
+dt as (select doc_id, unnest({TOKENS.format('text')}) as term from documents),
+dl as (select doc_id, len({TOKENS.format('text')}) as dl from documents),
+tot as (select count(*) as n, avg(dl) as avgdl from dl),
+tf as (select doc_id, term, count(*) as tf from dt where term in (select term from qt) group by doc_id, term),
+df as (select term, count(*) as df from tf group by term),
+bm as (select qid, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {L.BM25_K1 + 1} / (tf + {L.BM25_K1} * ({1 - L.BM25_B} + {L.BM25_B} * dl / avgdl))), 6) as score from qt join tf using (term) join df using (term) join dl using (doc_id), tot group by qid, doc_id),
+sparse as (select qid, doc_id, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from bm) where rank <= {{k}})"""
+
+
+def questions(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def sparse(spark, d, limit: int) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), questions(spark, d), limit)
+
+
+@query(f"with {BM25_SQL.replace("{k}", "10")} select qid, doc_id, score, rank from sparse")
+def bm25_topk(spark, d):
+    return sparse(spark, d, 10)
+
+
+DENSE_SQL = """
+dq as (select vec_id as qid, embedding as e from embeddings where vec_id % 25 = 0),
+dense as (select qid, vec_id, score, rank from (select qid, vec_id, score, row_number() over (partition by qid order by score desc, vec_id) as rank from (
+  select qid, vec_id, round(list_sum(list_transform(generate_series(1, 64), lambda i: cast(embedding[i] as double) * cast(e[i] as double))), 6) as score from embeddings, dq {where}) where score >= 0.2) where rank <= {k})"""
+
+
+def vector_queries(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@query(f"with {DENSE_SQL.format(k=20, where='')} select qid, vec_id, score, rank from dense")
+def dense_topk(spark, d):
+    """The query set is stated: every vector whose id is divisible by 25, against all vectors."""
+    return retrieval.dense(table(spark, d, "embeddings"), vector_queries(spark, d), 20, 0.2)
+
+
+@query(f"with {DENSE_SQL.format(k=20, where='where label in (0, 3)')} select qid, vec_id, score, rank from dense")
+def dense_topk_tagged(spark, d):
+    tagged = table(spark, d, "embeddings").filter(F.arrays_overlap(F.array("label"), F.array(F.lit(0), F.lit(3))))
+    return retrieval.dense(tagged, vector_queries(spark, d), 20, 0.2)
+
+
+#: The question of a benchmark item is also asked as the vector of that number.
+FUSED_SQL = f"""{BM25_SQL.replace("{k}", "20")},
+{DENSE_SQL.format(k=40, where='').replace('where vec_id % 25 = 0', 'where vec_id in (select item_id from benchmark)').strip()},
+branches as (select qid, doc_id, rank from sparse union all select qid, vec_id, rank from dense),
+fused as (select qid, doc_id, round(sum(1.0 / ({L.RRF_K} + rank)), 9) as score from branches group by qid, doc_id),
+hybrid as (select qid, doc_id, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from fused) where rank <= 20)"""
+
+
+def branches(spark, d) -> tuple[DataFrame, DataFrame]:
+    asked = table(spark, d, "embeddings").join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("qid"), "embedding")
+    vectors = retrieval.dense(table(spark, d, "embeddings"), asked, 40, 0.2).withColumnRenamed("vec_id", "doc_id")
+    return sparse(spark, d, 20), vectors
+
+
+@query(f"with {FUSED_SQL} select qid, doc_id, cast(score as double) as score, rank from hybrid")
+def rrf_fusion(spark, d):
+    return retrieval.fuse(list(branches(spark, d)), limit=20)
+
+
+@query(f"with {FUSED_SQL}, s as (select qid, doc_id, 1 as side from sparse where rank <= 10 union all select qid, vec_id, 2 from dense where rank <= 10), k as (select qid, doc_id, sum(side) as sides from s group by qid, doc_id) select qid, count(*) filter (sides = 3) as \"both\", count(*) filter (sides = 1) as only_a, count(*) filter (sides = 2) as only_b from k group by qid")
+def branch_overlap(spark, d):
+    return retrieval.branch_overlap(*branches(spark, d))
+
+
+@query("select source, doc_id from (select source, doc_id, row_number() over (partition by md5(left(text, 200)) order by doc_id) as n from documents) where n = 1")
+def article_dedup_prefix(spark, d):
+    rows = table(spark, d, "documents").select(F.lit(1).alias("qid"), "doc_id", "source", F.md5(F.substring("text", 1, 200).cast("binary")).alias("prefix"), F.col("doc_id").alias("rank"))
+    return retrieval.first_per_key(rows, ["prefix"]).select("source", "doc_id")
+
+
+# --- Cut-offs and evidence ---
+
+
+def ranked_documents(spark, d, limit: int = 20) -> DataFrame:
+    """Sparse hits with the columns that evidence operators take."""
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("heading"), F.col("text").alias("content"))
+    return sparse(spark, d, limit).join(docs, "doc_id").join(questions(spark, d).withColumnRenamed("text", "question"), "qid")
+
+
+@query(f"""with {BM25_SQL.replace("{k}", "100")},
+a as (select qid, doc_id, score, rank, md5(left(text, 200)) as m from sparse join documents using (doc_id)),
+b as (select *, row_number() over (partition by qid, m order by score desc, rank) = 1 as f from a),
+c as (select *, coalesce(sum(f::int) over (partition by qid order by score desc, rank rows between unbounded preceding and 1 preceding), 0) as n, last_value(case when f then score end ignore nulls) over (partition by qid order by score desc, rank rows between unbounded preceding and 1 preceding) as prev, first_value(score) over (partition by qid order by score desc, rank) as top from b),
+e as (select *, max(coalesce(n >= 1 and (score < 0.35 * top or (prev > 0 and score < prev * case when n >= 20 then 0.5 else 0.4 end)), false)::int) over (partition by qid order by score desc, rank rows between unbounded preceding and current row) as stop from c)
+select qid, doc_id, score, rank from e where f and stop = 0 and n < 100""")
+def score_gap_select(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("content"))
+    return ranking.score_gap_select(sparse(spark, d, 100).join(docs, "doc_id")).select("qid", "doc_id", "score", "rank")
+
+
+@query(f"""with {DENSE_SQL.format(k=20, where='')},
+a as (select *, row_number() over w as n, first_value(score) over w as top, lag(score) over w as prev, count(*) over (partition by qid) as c from dense window w as (partition by qid order by score desc, rank)),
+b as (select *, max(coalesce(n > least(3, c) and (score < 0.4 * top or (prev > 0 and score < 0.5 * prev)), false)::int) over (partition by qid order by score desc, rank rows between unbounded preceding and current row) as stop from a)
+select qid, vec_id, score, rank from b where stop = 0 and n <= 5""")
+def adaptive_cutoff(spark, d):
+    return ranking.adaptive_cutoff(retrieval.dense(table(spark, d, "embeddings"), vector_queries(spark, d), 20, 0.2))
+
+
+@query()
+def lexical_filter(spark, d):
+    return ranking.lexical_filter(ranked_documents(spark, d)).select("qid", "doc_id", "matched", "heading_hit", "bigram_hit", "filtered_rank")
+
+
+@query()
+def heading_pin(spark, d):
+    return ranking.pin_headings(ranked_documents(spark, d)).select("qid", "doc_id", "rank", "pinned_rank")
+
+
+@query()
+def key_facts(spark, d):
+    return ranking.key_facts(ranked_documents(spark, d))
+
+
+@query()
+def extractive_answers(spark, d):
+    return ranking.extractive_answer(ranking.key_facts(ranked_documents(spark, d)))
+
+
+@query()
+def best_excerpt(spark, d):
+    rows = ranked_documents(spark, d, 5)
+    words = F.array_distinct(T.matches(F.lower("question"), "[a-z]{4,}"))
+    return rows.select("qid", "doc_id", T.best_excerpt(F.col("content"), words, 400).alias("excerpt"))
+
+
+@query()
+def answer_contexts(spark, d):
+    return ranking.contexts(ranked_documents(spark, d))
+
+
+# --- Evaluation ---
+
+QRELS_SQL = """
+qrels as (select q.item_id as qid, l.doc_id, l.quality + l.toxic as gain from benchmark q, labels l where (l.doc_id + q.item_id) % 3 = 0),
+runs as (select 'hybrid' as system, qid, rank, doc_id from hybrid union all select 'sparse', qid, rank, doc_id from sparse union all select 'dense', qid, rank, vec_id from dense where rank <= 20),
+asked as (select distinct system, item_id as qid from (values ('hybrid'), ('sparse'), ('dense')) s(system), benchmark),
+g as (select r.system, r.qid, r.rank, coalesce(x.gain, 0) as gain from runs r left join qrels x on x.qid = r.qid and x.doc_id = r.doc_id),
+h as (select *, sum((gain > 0)::int) over (partition by system, qid order by rank) as hits from g),
+ideal as (select qid, gain, row_number() over (partition by qid order by gain desc, doc_id) as i from qrels where gain > 0),
+best as (select qid, count(*) as relevant, {best} from ideal group by qid),
+got as (select system, qid, min(case when gain > 0 then rank end) as f, sum(case when gain > 0 then hits / rank end) as ap, {got} from h group by system, qid),
+metrics as (select system, qid, {out}, coalesce(round(1.0 / f, 6), 0) as mrr, coalesce(round(ap / nullif(relevant, 0), 6), 0) as map from asked left join got using (system, qid) left join best using (qid))"""
+
+
+def metric_sql() -> str:
+    worth = lambda place: f"(pow(2, gain) - 1) / log2({place} + 1)"
+    cuts = evaluation.CUTS
+    best = ", ".join(f"sum(case when i <= {k} then {worth('i')} end) as idcg{k}" for k in cuts)
+    got = ", ".join(f"count(*) filter (gain > 0 and rank <= {k}) as n{k}, sum(case when rank <= {k} then {worth('rank')} end) as dcg{k}" for k in cuts)
+    out = ", ".join(
+        f"coalesce(round(dcg{k} / nullif(idcg{k}, 0), 6), 0) as ndcg_{k}, coalesce(round(n{k} / relevant, 6), 0) as recall_{k}, coalesce(round(n{k} / {k}, 6), 0) as precision_{k}, coalesce((n{k} > 0)::double, 0) as hit_{k}" for k in cuts
+    )
+    return FUSED_SQL + "," + QRELS_SQL.format(best=best, got=got, out=out)
+
+
+def runs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rankings, qrels, queries): gains are made from the labels by a fixed rule, as the tables hold none."""
+    by_word, by_vector = branches(spark, d)
+    fused = retrieval.fuse([by_word, by_vector], limit=20)
+    named = lambda df, name: df.filter("rank <= 20").select(F.lit(name).alias("system"), "qid", "rank", F.col("doc_id").alias("doc_key"))
+    rankings = named(fused, "hybrid").unionByName(named(by_word, "sparse")).unionByName(named(by_vector, "dense"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.pmod(-F.col("item_id"), F.lit(3)).alias("r"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key"), (F.col("quality") + F.col("toxic")).alias("gain"), (F.col("doc_id") % 3).alias("r"))
+    qrels = labels.join(items, "r").select("qid", "doc_key", "gain")
+    systems = spark.createDataFrame([("hybrid",), ("sparse",), ("dense",)], "system string")
+    return rankings, qrels, items.select("qid").crossJoin(F.broadcast(systems)).select("system", "qid")
+
+
+def rounded_metrics(spark, d) -> DataFrame:
+    metrics = evaluation.ranking_metrics(*runs(spark, d))
+    return metrics.select("system", "qid", *(F.round(F.col(f"`{c}`"), 6).alias(c.replace("@", "_")) for c in metrics.columns if c not in ("system", "qid")))
+
+
+@query(f"with {metric_sql()} select * from metrics")
+def ir_metrics(spark, d):
+    return rounded_metrics(spark, d)
+
+
+METRICS = [f"{m}_{k}" for k in evaluation.CUTS for m in ("ndcg", "recall", "precision", "hit")] + ["mrr", "map"]
+
+
+@query(f"with {metric_sql()} select system, count(*) as queries, {', '.join(f'round(avg({m}), 4) as {m}' for m in METRICS)} from metrics group by system")
+def ir_macro_avg(spark, d):
+    averages = evaluation.macro_average(rounded_metrics(spark, d))
+    return averages.select("system", "queries", *(F.round(m, 4).alias(m) for m in METRICS))
+
+
+@query(f"with {metric_sql()}, seen as (select qid, doc_id as doc_key, min(rank * 10 + case system when 'hybrid' then 1 when 'dense' then 2 else 3 end) as first_at from runs group by qid, doc_id) select qid, doc_key, place from (select *, row_number() over (partition by qid order by first_at, doc_key) as place from seen) where place <= 40")
+def pool_round_robin(spark, d):
+    return evaluation.round_robin_pool(runs(spark, d)[0], ["hybrid", "dense", "sparse"])
+
+
+@query()
+def permutation_test(spark, d):
+    return evaluation.permutation_tests(rounded_metrics(spark, d), "ndcg_10", "hybrid")
+
+
+@query()
+def rouge_l_chars(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"), F.substring("text", -200, 200).alias("tail"))
+    return docs.select("doc_id", F.round(U.rouge_l(F.col("head"), F.col("tail")), 6).alias("rouge_l"), F.round(U.bleu_1(F.col("head"), F.col("tail")), 6).alias("bleu_1"))
+
+
+# --- Tagging, vocabulary, fuzzy lookup ---
+
+CATEGORIES = {"the": "the that this", "de": "de la le les", "und": "und der die", "GENERAL": "of to in"}
+TFIDF_SQL = f"""
+tf as (select doc_id as id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(left(text, 500)), '[\\x{{0B80}}-\\x{{0BFF}}]+|[\\p{{L}}\\p{{N}}_]+')) as term from documents) group by all),
+n as (select count(*) as n from documents),
+df as (select term, count(*) as df, sum(tf) as total from tf group by term),
+kept as (select term, ln((1 + n) / (1 + df)) + 1 as idf from (select * from df, n where df >= 2 and df <= 0.95 * n order by total desc, term limit 5000)),
+kw as (select tag, term, count(*) as tf from (values {', '.join(f"('{t}', '{w}')" for t, ws in CATEGORIES.items() for w in ws.split())}) v(tag, term) group by all),
+dv as (select id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by id)) as w from tf join kept using (term)),
+kv as (select tag, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by tag)) as w from kw join kept using (term)),
+sim as (select id, tag, round(sum(dv.w * kv.w), 6) as similarity from dv join kv using (term) group by id, tag),
+named as (select *, row_number() over (partition by id order by similarity desc, case tag {' '.join(f"when '{t}' then {i}" for i, t in enumerate(CATEGORIES))} end) as rank from sim where similarity >= 0.15 and tag <> 'GENERAL')
+select id, tag, similarity, rank from named where rank <= 3"""
+
+
+@query("with " + TFIDF_SQL.strip())
+def tfidf_classify(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 500).alias("text"))
+    vectors, idf = indexing.tfidf_vectors(texts)
+    return indexing.tfidf_tags(vectors, idf, CATEGORIES)
+
+
+@query()
+def rule_tags(spark, d):
+    titles = table(spark, d, "conversations").select("conv_id", "turn", indexing.rule_tags(F.col("text"), F.lit(True)).alias("t"))
+    return titles.select("conv_id", "turn", F.array_join("t", ",").alias("tags"), F.array_join(indexing.tamil_tags(F.col("t")), ",").alias("tags_tamil"))
+
+
+@query("""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as word from benchmark),
+v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as known from documents where lang = 'en')
+select w.word, v.known, levenshtein(w.word, v.known) as edits from w join v on left(w.word, 3) = left(v.known, 3) and abs(length(w.word) - length(v.known)) <= 2 where levenshtein(w.word, v.known) <= 1""")
+def fuzzy_block_join(spark, d):
+    words = catalog.vocabulary(table(spark, d, "benchmark"), "text", "[a-z]{5,}").withColumn("block", F.substring("word", 1, 3))
+    known = catalog.vocabulary(table(spark, d, "documents").filter("lang = 'en'"), "text", "[a-z]{5,}").select(F.col("word").alias("known"), F.substring("word", 1, 3).alias("block"))
+    edits = F.levenshtein(F.col("word"), F.col("known"))
+    return words.join(known, "block").filter(T.safe_to_correct(F.col("word"), F.col("known"))).select("word", "known", edits.alias("edits")).filter("edits <= 1")
+
+
+@query()
+def ratio_nearest(spark, d):
+    names = table(spark, d, "documents").select(F.substring("text", 1, 60).alias("name"))
+    return catalog.nearest(names, "name", "the thing that was with the other", 0.0)
+
+
+@query()
+def topic_lookup(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"))
+    return catalog.by_topic(rows, "the that with").select("doc_id", "stage")
+
+
+# --- State ---
+
+
+@query("select sha256(string_agg(line, chr(10) order by line)) as source_hash from (select cast(o_orderkey as varchar) || '|' || cast(o_custkey as varchar) as line from orders)")
+def source_hash(spark, d):
+    return indexing.source_hash(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("modified")))
+
+
+@query()
+def history_validate(spark, d):
+    return state.valid_history(table(spark, d, "conversations"))
+
+
+def requests(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id")).alias("email"), F.concat(F.lit("a"), F.col("user_id") % 40).alias("address"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts")).withColumn("ts", F.col("ts") / 1e6)
+
+
+@query()
+def rate_limit_exact(spark, d):
+    return state.rate_limit(requests(spark, d))
+
+
+@query("select event_id, count(*) over (partition by user_id order by s range between 3600 preceding and 1 preceding) as recent from (select event_id, user_id, cast(floor(epoch_us(ts) / 1000000) as bigint) as s from events)")
+def rate_limit_window(spark, d):
+    return state.rate_window(table(spark, d, "events"), "user_id").select("event_id", "recent")
+
+
+@query("select event_id, coalesce(s - lag(s) over (partition by user_id order by ts, event_id) < 3600, false) as hit from (select event_id, user_id, ts, cast(floor(epoch_us(ts) / 1000000) as bigint) as s from events)")
+def ttl_cache_hits(spark, d):
+    return state.ttl_hits(table(spark, d, "events"), "user_id").select("event_id", "hit")
+
+
+@query("select cast(n as integer) as attempt, least(0.5 * pow(2, n), 4.0) as delay from range(6) t(n)")
+def retry_delays(spark, d):
+    return spark.range(6).select(F.col("id").cast("int").alias("attempt"), state.retry_delay(F.col("id")).alias("delay"))
+
+
