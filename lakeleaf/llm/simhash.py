@@ -35,7 +35,7 @@ def fingerprints(texts: DataFrame, keys: list[str], carried: list[str]) -> DataF
     """keys, carried and ``mark`` (struct<hi, lo>) of every row of (keys, carried, body); keys are unique, carried are longs."""
     words = F.regexp_extract_all(F.lower("body"), F.lit(WORD), 0)
     terms = texts.select(*keys, *carried, F.explode_outer(words).alias("term"))
-    weight = F.coalesce(F.least(F.length("term"), F.lit(8)), F.lit(0)).cast("long")
+    weight = F.least(F.coalesce(F.length("term"), F.lit(0)), F.lit(8)).cast("long")
     hashed = terms.select(*keys, *carried, F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"), (weight * weight).alias("w"))
     # SQL text rather than Column calls: hundreds of small expressions are slow to build one by one.
     lane = lambda half, i: F.expr(f"sum((shiftrightunsigned(h{half}, {i}) & {0x0000000100000001}L) * w) as s{half}_{i}")
@@ -78,7 +78,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     starts = sorted({low, *(cuts or [])}) if n else []
     rows_a_range = max(1, n // max(1, len(starts)))
     parts = max(1, rows_a_range // ROWS_A_BUCKET)
-    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(starts, [*starts[1:], (high or 0) + 1], strict=True)]
+    widths = [] if not starts else [max(1, -(-(b - a) // parts)) for a, b in zip(starts, [*starts[1:], (high or 0) + 1], strict=True)]
     if starts:
         lows, steps_ = (F.expr(f"array({', '.join(f'cast({x} as bigint)' for x in xs)})") for xs in (starts, widths))
         range_no = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(lows, lambda a: a <= F.col("doc_id"))) - 1)
