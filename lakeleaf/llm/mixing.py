@@ -63,7 +63,7 @@ def spans(targets: DataFrame) -> DataFrame:
     upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
     total, whole = F.sum("source_size").over(everything), F.sum("target").over(everything)
-    sized = targets.withColumn("total", total).withColumn("hi", F.floor(F.round(F.sum("target").over(upto) / whole, 12) * ONE_32))
+    sized = targets.withColumn("total", total).withColumn("hi", F.coalesce(F.floor(F.round(F.try_divide(F.sum("target").over(upto), whole), 12) * ONE_32), F.lit(0)))
     lo = F.coalesce(F.lag("hi").over(Window.orderBy("source_no")), F.lit(0))
     block = F.greatest(F.lit(1), F.expr(f"(total + {(1 << SLOT_BITS) - 1}) div {1 << SLOT_BITS}"))
     return sized.withColumn("lo", lo).withColumn("block_words", block).withColumn("slots", F.expr("(total + block_words - 1) div block_words"))
@@ -145,9 +145,36 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
 
     Whole documents suit what follows a mix; a source thus differs from its taken
     words by about a document.  A document's verdict is joined by its id; rows
-    that repeat an id share the larger of their counts.
+    with words that repeat an id (or have none) share the larger of their counts.
     """
     taken = mix(documents, weights, repeats).filter("size > 0").select("doc_id", F.expr("cast(floor(taken / size + 0.5) as int)").alias("_times"))
     times = taken.filter("_times > 0").groupBy("doc_id").agg(F.max("_times").alias("_times"))
-    joined = documents.alias("d").join(times.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id").eqNullSafe(F.col("_id")))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).drop("_pass")
+    whole = documents.filter(word_count(F.col("text")) > 0).select(F.struct("*").alias("d"))  # a struct keeps its columns' names apart from ours
+    joined = whole.join(times, F.col("d.doc_id").eqNullSafe(F.col("doc_id")))
+    return joined.select("d", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("d.*")
+
+
+def mix_sql(weights: tuple[int, ...] = WEIGHTS, repeats: int = 3) -> str:
+    """DuckDB SQL for ``mix``: the same slots, and each document's taken words from the slots of its blocks."""
+    size = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+    case = " ".join(f"when {i} then {w}" for i, w in enumerate(weights))
+    return f"""
+with docs as (select doc_id, source, cast({size} as bigint) as size from documents),
+sized as (select *, row_number() over (partition by doc_id, source, size order by doc_id) as copy from docs),
+per as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
+no as (select *, row_number() over (order by source asc nulls last) - 1 as source_no from per),
+wt as (select *, case source_no % {len(weights)} {case} end as weight, source_size * {repeats} as cap from no),
+lv as (select *, cast(sum(source_size) over () - coalesce(sum(cap) over w, 0) as double) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
+  from wt window w as (order by cap / weight, source_no rows between unbounded preceding and 1 preceding)),
+wa as (select *, coalesce(max(case when cap / weight > level then level end) over (), max(cap / weight) over ()) as water from lv),
+ta as (select source, source_no, source_size, case when cap / weight <= water then cast(cap as double) else weight * water end as target from wa),
+hi as (select *, cast(sum(source_size) over () as bigint) as total, cast(floor(round(sum(target) over (order by source_no) / sum(target) over (), 12) * {ONE_32}) as bigint) as hi from ta),
+sp as (select *, coalesce(lag(hi) over (order by source_no), 0) as lo, greatest(1, (total + {(1 << SLOT_BITS) - 1}) // {1 << SLOT_BITS}) as bw from hi),
+m as (select max(bw) as bw, max((total + bw - 1) // bw) as slots from sp),
+sl as (select slot, slot * {PHI_32} % {ONE_32} as point from (select unnest(range(cast(coalesce(slots, 0) as bigint))) as slot from m)),
+bl as (select source_no, row_number() over (partition by source_no order by slot) - 1 as block from sl join sp on point >= lo and point < hi),
+used as (select source_no, count(*) as blocks from bl group by source_no),
+pl as (select sized.*, source_no, source_size, target, coalesce(sum(size) over (partition by source_no order by md5(coalesce(cast(doc_id as varchar), '') || '/mix'), copy rows between unbounded preceding and 1 preceding), 0) as b
+  from sized join ta on sized.source is not distinct from ta.source)
+select doc_id, size, source_size, target, cast(greatest(0, least(b + size, q) - b) + greatest(0, least(b + source_size + size, q) - b - source_size) + greatest(0, least(b + 2 * source_size + size, q) - b - 2 * source_size) as bigint) as taken
+from (select pl.*, coalesce(blocks, 0) * bw as q from pl left join used using (source_no), m)"""

@@ -281,3 +281,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     out = signed.select("doc_id", "class", "n_shingles").join(per_class, "class", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates_sql(width: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL for ``near_duplicates``: all pairs that share a shingle, and components by reachability."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with recursive words as (select doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') as w from documents where doc_id is not null),
+parts as (select doc_id, w, unnest(range(1, greatest(2, len(w) - {width - 2}))) as i from words where len(w) > 0),
+shingles as (select distinct doc_id, array_to_string(w[i:i + {width - 1}], ' ') as s from parts),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join sizes sx on sx.doc_id = x join sizes sy on sy.doc_id = y where 100 * c >= {percent} * (sx.n + sy.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as a, doc_id as b from words union select r.a, e.y from reach r join both_ways e on e.x = r.b)
+select d.doc_id, coalesce(n, 0) as n_shingles, m as component_id, d.doc_id = m as kept
+from documents d left join sizes using (doc_id) left join (select a, min(b) as m from reach group by a) g on g.a = d.doc_id"""

@@ -60,4 +60,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_trust, op2_warc, op3_token_counts, op4_byte_cnn, op5_line_crf, op6_minmax_dedup, op7_simhash, op8_toxic_segments, op9_harmonic_packing, op10_mix)}
 
-ORACLE_SQL = {"op1_url_trust": url_trust.filter_urls_sql()}
+ORACLE_SQL = {
+    "op1_url_trust": url_trust.filter_urls_sql(),
+    "op6_minmax_dedup": near_dedup.near_duplicates_sql(),
+    "op10_mix": mixing.mix_sql(),
+}
