@@ -184,8 +184,12 @@ def content_tokens(c: Column) -> Column:
 def phrases(c: Column, shortest: int = 2, longest: int = 4) -> Column:
     """Contiguous n-grams of the content tokens, longer ones first (O-168)."""
     toks = content_tokens(c)
-    grams = [F.transform(F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i, n=n: F.array_join(F.slice(toks, i, F.lit(n)), " ")) for n in range(longest, shortest - 1, -1)]
-    return F.concat(*grams)
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))
+
+    return F.concat(*(grams(n) for n in range(longest, shortest - 1, -1)))
 
 
 def shares_prefix(a: Column, b: Column) -> Column:

@@ -115,9 +115,9 @@ def with_tags(catalog: DataFrame, tagged: DataFrame) -> DataFrame:
     return rows.withColumn("tag_text", F.coalesce(F.nullif("_own", F.lit("")), "_issue", F.lit(""))).drop("_own", "_issue")
 
 
-def author_matches(search: Column, cell: Column) -> Column:
+def author_matches(search: str, cell: Column) -> Column:
     """Flexible author match (O-150): equal, part, alias, tokens, ratio 0.95, one edit."""
-    want = T.author_key(U.nfc(search))
+    want = T.author_key(F.lit(U.nfc_text(search)))
     ratio = U.ratio
 
     def one(name: Column) -> Column:
@@ -141,7 +141,7 @@ def author_matches(search: Column, cell: Column) -> Column:
 
 def articles_of_author(catalog: DataFrame, name: str) -> DataFrame:
     """Articles of an author by year (unknown last) and issue (O-086, O-141)."""
-    return catalog.filter(author_matches(F.lit(name), F.col("author"))).orderBy(F.coalesce(F.expr("try_cast(year as int)"), F.lit(9999)), F.col("issue").cast("string"), "title")
+    return catalog.filter(author_matches(name, F.col("author"))).orderBy(F.coalesce(F.expr("try_cast(year as int)"), F.lit(9999)), F.col("issue").cast("string"), "title")
 
 
 def nearest(names: DataFrame, column: str, text: str, least: float = 0.70) -> DataFrame:
