@@ -158,7 +158,10 @@ def fingerprint_documents(documents: DataFrame, radius: int = 3, query_modulus:
     halves = written(fingerprints(texts.select("rid", *carried, "b.which", "b.body"), ["rid", "which"], carried))
     edits = halves.filter("which = 1").select("rid", F.col("mark").alias("edited_mark"))
     plain = halves.filter("which = 0")
-    by_text = plain.groupBy(F.col("own_a").alias("next_a"), F.col("own_b").alias("next_b")).agg(F.first("mark").alias("next_mark"))
+    # Equal texts have equal fingerprints, so the largest halves are the fingerprint.  A checkpoint
+    # leaves a plain join, whose hot keys (many documents before copies of one text) AQE splits.
+    halved = plain.groupBy(F.col("own_a").alias("next_a"), F.col("own_b").alias("next_b")).agg(F.max("mark.hi").alias("hi"), F.max("mark.lo").alias("lo"))
+    by_text = checkpoint(halved.select("next_a", "next_b", F.struct("hi", "lo").alias("next_mark")))
     hexed = F.lower(F.concat(*(F.lpad(F.hex(f"sha_{i}"), 16, "0") for i in range(4))))
     marks = written(plain.join(edits, "rid").join(by_text, ["next_a", "next_b"]).select("doc_id", "n_chars", hexed.alias("edited_sha256"), "mark", "edited_mark", "next_mark"))
     asked = marks.filter(F.col("doc_id") % query_modulus == 0)
