@@ -28,11 +28,10 @@ INJECTION_MEDIUM = (
     r"(list|show|print|display)\s+(all\s+)?(environment\s+variables?|env\s+vars?)",
     r"(list|show|print|display)\s+(all\s+)?(api\s+keys?|secrets?|credentials?)",
 )
-# Names of one deployment are left to the caller.
+# Names of one deployment and of its code are left to the caller.
 LEAKAGE = (
     r"GEMINI_API_KEY", r"QDRANT_HOST", r"QDRANT_PORT", r"AWS_ACCESS_KEY_ID", r"AWS_SECRET_ACCESS_KEY", r"GEMINI_MODEL",
-    r"qdrant_indexer", r"intfloat/multilingual-e5-large", r"_CSV_SYSTEM_PROMPT", r"ANTI_INJECTION_PREAMBLE",
-    r"system_instruction\s*=", r"generate_llm_answer", r"hybrid_search\.py", r"api_key\s*=\s*['\"]",
+    r"intfloat/multilingual-e5-large", r"system_instruction\s*=", r"api_key\s*=\s*['\"]",
 )
 NO_DATA_TAMIL = (
     r"தகவல்\s*(கள்\s*)?கிடைக்கவில்லை", r"தகவல்\s*(கள்\s*)?இல்லை", r"தரவுத்தளத்தில்\s*(தற்போது\s*)?இல்லை", r"பதிவு\s*செய்யப்படவில்லை",

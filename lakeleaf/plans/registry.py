@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
-from ..operators import catalog, evaluation, indexing, ranking, retrieval, state
+from ..operators import catalog, evaluation, indexing, ranking, retrieval, segmentation, state, understanding
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -460,3 +460,87 @@ def retry_delays(spark, d):
     return spark.range(6).select(F.col("id").cast("int").alias("attempt"), state.retry_delay(F.col("id")).alias("delay"))
 
 
+
+
+# --- More scalars, listings and joins ---
+
+
+@query("select conv_id, turn, md5(left(text, 200)) as prefix_md5, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as cache_key from conversations")
+def text_digests(spark, d):
+    key = F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.substring("text", 1, 200).cast("binary")).alias("prefix_md5"), F.sha2(key, 256).alias("cache_key"))
+
+
+@query("select doc_id, coalesce(trim(h) <> '' and not regexp_matches(trim(h), '^\\d+$') and length(trim(h)) < 25 and not regexp_matches(trim(h), '^[—–-]'), false) as heading from (select doc_id, split_part(text, '.', 1) as h from documents where not contains(split_part(text, '.', 1), chr(10)))")
+def heading_validity(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("h")).filter(~F.contains("h", F.lit("\n")))
+    return rows.select("doc_id", T.valid_heading(F.col("h")).alias("heading"))
+
+
+@query("select author, count(*) as articles from (select trim(unnest(string_split(c_name || ', ' || c_mktsegment, ','))) as author from customer) group by author")
+def author_cells(spark, d):
+    cell = F.concat(F.lit("["), F.col("c_name"), F.lit(", "), F.col("c_mktsegment"), F.lit("]"))
+    return catalog.author_counts(table(spark, d, "customer").select(cell.alias("author")))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as requests from events group by all")
+def hourly_requests(spark, d):
+    return table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("requests"))
+
+
+@query("select n.n_name, count(c.c_custkey) as articles from nation n left join customer c on c.c_nationkey = n.n_nationkey and c.c_acctbal > 9000 group by n.n_name")
+def taxonomy_counts(spark, d):
+    """Every category with its count, absent ones with 0 (O-091)."""
+    hits = table(spark, d, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("articles"))
+    return table(spark, d, "nation").join(hits, "n_nationkey", "left").select("n_name", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_custkey % 10 = 3 and o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
+def unprocessed_keys(spark, d):
+    done = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").filter("o_custkey % 10 = 3").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+
+
+@query("select doc_id, quality as gain from labels where quality > 0 union all select doc_id, toxic from labels where quality = 0 and toxic > 0")
+def merged_judgements(spark, d):
+    rows = table(spark, d, "labels").select(F.lit(1).alias("qid"), F.col("doc_id").alias("doc_key"), F.when(F.col("quality") > 0, F.col("quality").cast("string")).otherwise("").alias("human_gain"), F.col("toxic").alias("llm_gain"), F.lit(1).alias("row_no"))
+    return evaluation.merged_judgements(rows).select(F.col("doc_key").alias("doc_id"), "gain")
+
+
+@query()
+def question_routes(spark, d):
+    rows = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    return understanding.routed(rows).select("conv_id", "turn", "route", "entity")
+
+
+@query()
+def multi_turn_contents(spark, d):
+    history = state.valid_history(table(spark, d, "conversations"))
+    asked = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("question"))
+    return state.multi_turn(history, asked).select("conv_id", F.size("contents").alias("turns"), F.to_json("contents").alias("contents"))
+
+
+@query()
+def segmented_articles(spark, d):
+    docs = table(spark, d, "documents").filter("n_chars < 4000")
+    lines = docs.select(F.concat(F.lit("f"), F.col("doc_id")).alias("source_document"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    none = spark.createDataFrame([], "source_document string, author string")
+    titles = spark.createDataFrame([], "source_document string, row_no int, title string, authors array<string>")
+    return segmentation.segment(lines, none, titles).select("source_document", "article_no", "origin", "title", "first_line", "last_line")
+
+
+@query()
+def spelling_corrections(spark, d):
+    known = catalog.vocabulary(table(spark, d, "documents").filter("lang = 'en'"), "text", "[a-z]{5,}")
+    asked = catalog.vocabulary(table(spark, d, "benchmark"), "text", "[a-z]{5,}").select(F.col("word").alias("token"))
+    return catalog.corrections(asked, known).select("token", "word", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def merged_evidence(spark, d):
+    """Chunks of the documents that sparse search hits, merged (O-080, O-106)."""
+    docs = table(spark, d, "documents")
+    chunks = indexing.chunk_rows(docs, ["doc_id", "source", "lang"], "text")
+    points = chunks.select(F.lit("v").alias("volume"), F.col("lang").alias("doc_id"), F.col("source").alias("doc_issue"), F.col("doc_id").cast("string").alias("title"), "chunk_id", "content", F.lit("article").alias("type"))
+    hits = sparse(spark, d, 5).join(docs.select("doc_id", "source", "lang"), "doc_id").select("qid", F.lit("v").alias("volume"), F.col("lang").alias("doc_id"), F.col("source").alias("doc_issue"), F.col("doc_id").cast("string").alias("title"), "score")
+    return retrieval.merge_chunks(hits, points).select("qid", F.col("title").alias("doc_key"), "score", "chunk_count", "word_count")
