@@ -145,8 +145,11 @@ def components(edges: DataFrame) -> DataFrame:
     node are plain sort-merge joins of two checkpoints, whose hot keys AQE splits.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
     while True:
+        # Done when the edges are stars: every u has one edge, and no centre v is a u.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -154,10 +157,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
         small = edges.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -253,6 +252,24 @@ def tiles(grouped: DataFrame) -> DataFrame:
     return placed.select("class", F.explode(F.when(F.col("whole") <= 1, one).otherwise(F.concat(same, higher, lower))).alias("t")).select("class", "t.tile", "t.side")
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str, most_bits: int = 1 << 24) -> DataFrame:
+    """Rows whose key may be among the keys: a bitmap of hashed keys, never false for a key that is there.
+
+    The bitmap has 16 bits a key up to ``most_bits``, which bounds what is broadcast; with
+    more keys it only lets more rows through to the join that follows.
+    """
+    n = keys.count()
+    bits = min(most_bits, 1 << max(6, (16 * n).bit_length()))
+    place = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
+    words = keys.select(place().alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).collect()
+    held = [0] * (bits // 64)
+    for r in words:
+        held[r["w"]] = r["b"]
+    bitmap = rows.sparkSession.createDataFrame([(held,)], "_held array<long>")
+    seen = F.expr("shiftrightunsigned(_held[cast(shiftright(_place, 6) as int)], cast(_place % 64 as int)) & 1L")
+    return rows.crossJoin(F.broadcast(bitmap)).withColumn("_place", place()).filter(seen == 1).select(*rows.columns)
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -262,16 +279,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         raise ValueError("bands and size classes are made for similarities of 0.8 or more")
     signed = written(signatures(documents, width))
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    banded = usable.select("class", F.posexplode("bands").alias("band", "value")).distinct()
-    buckets = banded.groupBy("band", "value").agg(F.min("class").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = checkpoint(buckets.select("band", "value", "first"))
-    stars = banded.join(shared, ["band", "value"]).filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
-    groups = components(stars)
     classes = checkpoint(usable.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles")))
+    # One row per class, so that copies are out of the way before bands are exploded; a band's hash tells its number too.
+    single = usable.join(classes.select("class", F.col("first_id").alias("doc_id")), ["class", "doc_id"], "left_semi")
+    banded = single.select("class", F.explode("bands").alias("value"))
+    buckets = banded.groupBy("value").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
+    shared = checkpoint(buckets.select("value", "first"))
+    stars = banded.join(shared, "value").filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    groups = components(stars)
     grouped = checkpoint(groups.join(classes, groups["node"] == classes["class"]).select("class", F.col("root").alias("group"), "n_shingles", "first_id"))
     where = written(tiles(grouped.select("class", "group", "n_shingles")))
     chosen = written(grouped.select(F.col("first_id").alias("doc_id"), "class"))
-    members = where.join(documents.select("doc_id", "text").join(chosen, "doc_id").select("class", "text"), "class")
+    texts = maybe_in(documents.select("doc_id", "text"), chosen, "doc_id").join(chosen, "doc_id").select("class", "text")
+    members = where.join(texts, "class")
     links = confirmed(members.repartition("tile").sortWithinPartitions("tile"), percent, width)
     rooted = components(links)
     lowest = classes.join(rooted, classes["class"] == rooted["node"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
