@@ -27,48 +27,71 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 class CachedTokenizer:
     """Token ids (as little-endian uint32 bytes) by the tokenizers library.
 
-    Byte-level BPE never merges across a single space between two
-    other characters, so the ids of a text are those of its space-led chunks.
-    Texts with other runs of white space, or that cut special tokens, are
-    encoded as a whole.  Unknown chunks of a slice are encoded in one call.
+    Byte-level BPE never merges across a single space between two characters
+    that are no white space, so the ids of a text are those of its chunks, each
+    with its leading space.  A chunk that begins or ends with white space, or is
+    empty, has no ids of its own; texts that hold one are encoded as a whole.
+    Letters with one mark after them are two pre-tokens and share the letters'
+    ids.  Unknown chunks of a slice are encoded in one call.
     """
 
-    def __init__(self, path: str, cache_chunks: int = 500_000):
-        import re
+    MARKS = ".,"
 
+    def __init__(self, path: str, cache_chunks: int = 900_000):
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.np = Tokenizer.from_file(path), cache_chunks, {}, np
-        self.uneven = re.compile(r"\s{2}|[^\S ] |^\s|\s$|\s<\||\|>")
+        self.tokenizer, self.limit, self.known, self.heads, self.np = Tokenizer.from_file(path), cache_chunks, {}, {}, np
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.leads = np.array([n[:1] == "Ġ" for n in names])
+        self.marks = {m: self.whole(m) for m in self.MARKS}
 
     def whole(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks (each with its leading space) joined, and cut the ids where a token leads with a space."""
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at : at + 4096]
-            ids = self.np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+        return self.np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode chunks joined, and cut the ids where a token leads with a space."""
+        known, marked, plain = self.known, [], []
+        for c in chunks:
+            if c.strip() != c or not c:
+                known[c] = None
+            elif c[-1] in self.marks and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                plain.append(c)
+        plain = list({*plain, *(c[:-1] for c in marked)}.difference(known)) if marked else plain
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = self.np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = self.np.flatnonzero(self.leads[ids])
             if len(starts) != len(some) or starts[0]:
-                self.known.update((c, self.whole(c)) for c in some)
+                known.update((c, self.whole(" " + c)) for c in some)
                 continue
             data, bounds = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            self.known.update((c, data[a:b]) for c, a, b in zip(some, bounds, bounds[1:], strict=False))
+            known.update((c, data[a:b]) for c, a, b in zip(some, bounds, bounds[1:], strict=False))
+        known.update((c, known[c[:-1]] + self.marks[c[-1]]) for c in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.uneven.search(t) else t.split(" ") for t in texts]
-        heads = [None if p is None else p[0] for p in parts]
-        spaced = [None if p is None else [" " + c for c in p[1:]] for p in parts]
-        needed = set().union(*(s for s in spaced if s))
+        parts = [t.split(" ") for t in texts]
+        firsts = [p.pop(0) for p in parts]
+        needed = set().union(*parts)
         if len(self.known) + len(needed) > self.limit:
             self.known.clear()
-        self.learn(sorted(needed.difference(self.known)))
-        get = self.known.__getitem__
-        return [self.whole(t) if s is None else (self.whole(h) if h else b"") + b"".join(map(get, s)) for t, h, s in zip(texts, heads, spaced, strict=True)]
+            self.heads.clear()
+        self.learn(needed.difference(self.known))
+        get, out = self.known.__getitem__, []
+        for text, first, rest in zip(texts, firsts, parts, strict=True):
+            if rest and (not first or first[-1].isspace()):
+                out.append(self.whole(text))
+                continue
+            head = self.heads.get(first)
+            if head is None:
+                head = self.heads[first] = self.whole(first)
+            try:
+                out.append(head + b"".join(map(get, rest)))
+            except TypeError:  # a chunk without ids of its own
+                out.append(self.whole(text))
+        return out
 
 
 @lru_cache(maxsize=1)
