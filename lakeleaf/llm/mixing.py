@@ -4,7 +4,9 @@ Slot n of the mix takes the golden-ratio point n * phi mod 1 (as a 32-bit
 fraction) through the cumulative target shares to a source; the slots of a
 source are ranked, and rank k takes block k of the source's shuffled stream of
 words, cut into equal blocks.  A stream is read over again, up to ``repeats``
-times, when its target is larger than the source.
+times, when its target is larger than the source.  The blocks grow with the
+table, so where a block is more than one word, a source whose target is under
+``FINE`` blocks is read to its target by the word instead.
 
 Everything is whole-number arithmetic on built-in functions: reruns agree and
 no Python runs on the executors.  Running totals go by (source, hash bucket)
@@ -29,6 +31,8 @@ PHI_32 = 2_654_435_769
 ONE_32 = 1 << 32
 WEIGHTS = (5, 2, 1)
 SLOT_BITS = 20
+#: Targets under so many blocks are too small for blocks of several words.
+FINE = 1024
 BINS = 1024
 BUCKETS = 256
 
@@ -59,14 +63,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 
 
 def spans(targets: DataFrame) -> DataFrame:
-    """Adds lo and hi: the part of [0, 2**32) that leads to the source, and block_words and slots, of the whole mix."""
+    """Adds lo and hi: the part of [0, 2**32) that leads to the source, and block_words and slots, of the whole mix.
+
+    quota is the words to take of a source by the word, null where blocks are taken.
+    """
     upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
     total, whole = F.sum("source_size").over(everything), F.sum("target").over(everything)
     sized = targets.withColumn("total", total).withColumn("hi", F.coalesce(F.floor(F.round(F.try_divide(F.sum("target").over(upto), whole), 12) * ONE_32), F.lit(0)))
     lo = F.coalesce(F.lag("hi").over(Window.orderBy("source_no")), F.lit(0))
     block = F.greatest(F.lit(1), F.expr(f"(total + {(1 << SLOT_BITS) - 1}) div {1 << SLOT_BITS}"))
-    return sized.withColumn("lo", lo).withColumn("block_words", block).withColumn("slots", F.expr("(total + block_words - 1) div block_words"))
+    quota = F.when((F.col("block_words") > 1) & (F.col("target") < FINE * F.col("block_words")), F.round("target").cast("long"))
+    return sized.withColumn("lo", lo).withColumn("block_words", block).withColumn("slots", F.expr("(total + block_words - 1) div block_words")).withColumn("quota", quota)
 
 
 def schedule(spanned: DataFrame) -> DataFrame:
@@ -100,18 +108,18 @@ def positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
     Shuffled by md5 of the id; the first two hex digits are the bucket.
     """
     # The table of targets has a row per source and is joined by its own size; Spark broadcasts it only below its threshold.
-    rows = sized.join(targets.select("source", "source_no", "source_size", "target"), sized["source"].eqNullSafe(targets["source"])).drop("source")
+    rows = sized.join(targets.select("source", "source_no", "source_size", "target", "quota"), sized["source"].eqNullSafe(targets["source"])).drop("source")
     rows = rows.withColumn("shuffled", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/mix")).cast("binary")))
     rows = rows.withColumn("part", F.substring("shuffled", 1, 2))
     return with_running_total(rows, ["source_no"], "part", ["shuffled", "copy"], F.col("size"), "begin")
 
 
 def pieces(placed: DataFrame, spanned: DataFrame, repeats: int = 3) -> DataFrame:
-    """Parts of documents by block: (doc_id, copy, source_no, block, words, cycle), a cycle being one pass over the source."""
+    """Parts of documents by block: (doc_id, copy, source_no, block, words, cycle), a cycle being one pass over the source; of sources without a quota."""
     block = spanned.agg(F.max("block_words")).first()[0] or 1
     cycles = placed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("cycle")).withColumn("at", F.expr("begin + cycle * source_size"))
     # The points of a golden-ratio sequence miss a share by fewer than 64 slots, so parts beyond that cannot meet one.
-    reached = cycles.filter(F.col("at") <= F.col("target") + 64 * block)
+    reached = cycles.filter(F.col("quota").isNull() & (F.col("at") <= F.col("target") + 64 * block))
     cut = reached.select("doc_id", "copy", "source_no", "cycle", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     return cut.withColumn("words", F.expr(f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block})"))
 
@@ -137,7 +145,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     keys = ("doc_id", "source_no", "size", "copy")
     taken = taken.select(*(F.col(c).alias(f"_{c}") for c in keys), "taken")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    return placed.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    cycle = "greatest(0L, least(size, quota - begin - {} * source_size))"
+    by_word = F.expr(" + ".join(cycle.format(c) for c in range(repeats)))
+    return placed.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.when(F.col("quota").isNotNull(), by_word).otherwise(F.coalesce("taken", F.lit(0))).cast("long").alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3) -> DataFrame:

@@ -52,6 +52,23 @@ def test_taken_is_near_the_target_and_reruns_agree(spark, small):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in rows)
 
 
+def test_tiny_sources_beside_a_huge_one_reach_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_BITS", 8)  # blocks as large beside these tables as 2^20 slots make them beside big ones
+    rows = [(i, "word " * 40, "huge") for i in range(2000)] + [(10_000 + i, "word " * (1 + i % 3), f"tiny{i % 4}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spanned = mixing.spans(mixing.source_targets(mixing.sized_documents(docs))).collect()
+    assert all(r["block_words"] > r["target"] for r in spanned if r["source"] != "huge")
+    per = defaultdict(lambda: [0, 0.0])
+    for r in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        per[r["source"]][0] += r["taken"]
+        per[r["source"]][1] = r["target"]
+    assert len(per) == 5 and all(abs(t - target) <= 1 for s, (t, target) in per.items() if s != "huge")
+    assert abs(per["huge"][0] - per["huge"][1]) <= 0.02 * per["huge"][1]
+    kept = {r["source"]: r["count"] for r in mixing.mixed_documents(docs).groupBy("source").count().collect()}
+    assert all(kept[f"tiny{k}"] == 18 for k in range(4))
+
+
 def test_schedule_is_spread(spark, small):
     spanned = mixing.spans(mixing.source_targets(mixing.sized_documents(small)))
     share = {r["source_no"]: (r["hi"] - r["lo"]) / 2**32 for r in spanned.collect()}
