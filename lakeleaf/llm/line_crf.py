@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SPLIT = str.maketrans(dict.fromkeys("\t\x0b\x0c\r", " "))
 STOPS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”")
+NO_CAPITALS, NO_SMALL, NO_DIGITS = (str.maketrans("", "", chars) for chars in (ascii_uppercase, ascii_lowercase, digits))
 WINDOW = 5
 NAMES = ("bias", "repeated", "symbols", "many_symbols", "capitals", "bars", "marks", "same_words", "no_stop", "short", "very_short", "long", "digits", "url")
 RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_words long"
@@ -75,18 +77,34 @@ def lines_of(text: str) -> tuple[list[str], list[bool], int]:
     return lines, again, sum(again)
 
 
+def letters_capitals_digits(line: str) -> tuple[int, int, int]:
+    """How many characters of the whole line are letters, upper-case letters and digits."""
+    if line.isascii():
+        n = len(line)
+        capitals = n - len(line.translate(NO_CAPITALS))
+        return capitals + n - len(line.translate(NO_SMALL)), capitals, n - len(line.translate(NO_DIGITS))
+    letters = capitals = numerals = 0
+    for c, n in Counter(line).items():
+        if c.isalpha():
+            letters += n
+            capitals += n * c.isupper()
+        elif c.isdigit():
+            numerals += n
+    return letters, capitals, numerals
+
+
 def line_features(line: str, repeated: bool) -> list[float]:
     words = words_of(line)
     n, chars = len(words), len(line)
     symbols = len(SYMBOLS.findall(line))
-    letters = [c for c in line[:2000] if c.isalpha()]
+    letters, capitals, numerals = letters_capitals_digits(line)
     last = words[-1]
     return [
         1.0,
         float(repeated),
         float(symbols > 0),
         float(symbols * 20 > chars),
-        float(len(letters) > 3 and sum(c.isupper() for c in letters) * 2 > len(letters)),
+        float(letters > 3 and capitals * 2 > letters),
         float(line.count("|") * 4 > n),
         float(line.count("!!") * 4 > n),
         float(n >= 6 and len(set(words)) * 2 < n),
@@ -94,7 +112,7 @@ def line_features(line: str, repeated: bool) -> list[float]:
         float(n < 5),
         float(n < 3),
         float(n > 20),
-        float(sum(c.isdigit() for c in line[:2000]) * 5 > min(chars, 2000)),
+        float(numerals * 5 > chars),
         float("://" in line),
     ]
 

@@ -117,6 +117,22 @@ def test_base_rules_equal_brute_force(text):
     assert got[:5] == tuple(brute) and got[5] == (n < 10 or 100 * repeats > 20 * n)
 
 
+@pytest.mark.parametrize("tail, name", [("SHOUTED WORDS ", "capitals"), ("Ä Ö Ü ÉCRIT ", "capitals"), ("123 456 789 ", "digits"), ("١٢٣ 456 ", "digits")])
+def test_a_long_line_counts_whole(tail, name):
+    at = line_crf.NAMES.index(name)
+    head = "plain small words " * 120
+    assert len(head) > 2000 and not line_crf.line_features(head, False)[at]
+    assert line_crf.line_features(head + tail * 1000, False)[at]
+    assert not line_crf.line_features(tail * 200 + head * 100, False)[at]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aZ9 .éÉß٣²漢ǅ\n"), max_size=40))
+def test_counts_of_characters_equal_brute_force(line):
+    letters = [c for c in line if c.isalpha()]
+    assert line_crf.letters_capitals_digits(line) == (len(letters), sum(c.isupper() for c in letters), sum(c.isdigit() for c in line))
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 7):
