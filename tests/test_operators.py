@@ -220,6 +220,16 @@ def test_segmentation(spark):
     assert segmentation.segment(df, authors, listed).filter("origin = 'catalogue'").count() == 1
 
 
+def test_long_documents_are_segmented(spark, tmp_path):
+    from lakeleaf.plans import registry
+
+    text = "\n".join(["A heading", *["a line of the body that is long enough to count as content"] * 100])
+    rows = [(1, text, len(text)), (2, text, None), (3, text[:1000], 1000)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source_document"]: (r["title"], r["last_line"]) for r in registry.segmented_articles(spark, str(tmp_path)).collect()}
+    assert got == {"f1": ("A heading", 101), "f2": ("A heading", 101), "f3": ("A heading", 18)}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.csv").write_text('title, author,year\n"T, 1","[A, B]",1950\nT2,C\n')
