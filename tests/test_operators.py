@@ -220,6 +220,25 @@ def test_segmentation(spark):
     assert segmentation.segment(df, authors, listed).filter("origin = 'catalogue'").count() == 1
 
 
+def test_all_passes_of_segmentation():
+    body = ["முதல் வரி உள்ளடக்கம் இங்கே உள்ளது மிக நீளமான வரி ஒன்று இது"] * 5
+    got = lambda lines, authors=(), listed=(): [(a["origin"], a["title"], a["author_name"]) for a in segmentation.segmented("f", lines, list(authors), list(listed))]
+    name, other = "மு. அருணன்", "கவிஞர் வேலவன்"
+    # Names of the contents list are the authors, and its lines are no article.
+    contents = ["பொருளடக்கம்", name, "12", "…", other, "ஆகியோரின் எழுத்தோவியங்கள்"]
+    assert got([*contents, "", "புதிய தலைப்பு", name, *body]) == [("A", "புதிய தலைப்பு", [name])]
+    assert got(["பொருளடக்கம்", *body, *body, *body, "", "", "", "பிற செய்தி", *body]) == [("remaining", "பிற செய்தி", [])]
+    # A received list is masked up to an author or a title.
+    assert got(["வரப்பெற்றேம்", "", "", "", "நூல் ஒன்று", *body]) == []
+    assert got(["வரப்பெற்றேம்", *body, "புதிய தலைப்பு", *body], listed=[("புதிய தலைப்பு", [])]) == [("catalogue", "புதிய தலைப்பு", [])]
+    # Pattern C: the author below, or in the last lines.
+    assert got(["", "ஒரு பாடல்", *body[:2], "", name], [name]) == [("C", "ஒரு பாடல்", [name])]
+    assert got(["ஒரு பாடல்", "", *body[:3], "— எழுதியவர் நண்பர் " + name + " அவர்கள் சென்னை"], [name]) == [("C", "ஒரு பாடல்", [name])]
+    # An intro section ends before the next keyword, and ends an article of pattern A.
+    assert got(["", "எங்கள் எண்ணம்", "", *body, "", "", "பொது மேடை", *body]) == [("intro", "எங்கள் எண்ணம்", []), ("intro", "பொது மேடை", [])]
+    assert got(["புதிய தலைப்பு", name, *body, "", "பொது மேடை", *body], [name]) == [("A", "புதிய தலைப்பு", [name]), ("intro", "பொது மேடை", [])]
+
+
 def test_long_documents_are_segmented(spark, tmp_path):
     from lakeleaf.plans import registry
 
