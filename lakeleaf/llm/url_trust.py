@@ -106,9 +106,10 @@ def host_seeds(rated: DataFrame) -> DataFrame:
     return counts.select("host", "n", per_kind).filter("pages > 0").select("kind", "host", F.expr(f"pages * {SCALE} div n").alias("score"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping_percent: int = 85, iterations: int = 10) -> DataFrame:
-    """(kind, host, score) after some steps of the personalised walk, or once nothing changes.
+def propagate(seeds: DataFrame, edges: DataFrame, damping_percent: int = 85, iterations: int | None = None) -> DataFrame:
+    """(kind, host, score) of the personalised walk once nothing changes, or after ``iterations`` steps if given.
 
+    From the seeds on no score ever falls, and whole numbers stop rising: equal totals mean that nothing changed.
     The product of a score and a share is taken in two parts, so it cannot overflow.
     """
     seeds, edges = checkpoint(seeds), checkpoint(walk_edges(edges))
@@ -116,11 +117,16 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping_percent: int = 85, ite
     scores = base
     if edges.isEmpty():
         return base
-    for _ in range(iterations):
+    total, step = None, 0
+    while iterations is None or step < iterations:
+        step += 1
         moved = scores.join(edges, (scores["kind"] == edges["kind"]) & (scores["host"] == edges["from"])).select(
             edges["kind"], F.col("to").alias("host"), F.expr(f"((score div {SCALE}) * share + (score % {SCALE}) * share div {SCALE}) * {damping_percent} div 100").alias("score")
         )
         scores = checkpoint(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")))
+        before, total = total, scores.agg(F.count("*"), F.sum("score")).first()
+        if total == before:
+            break
     return scores
 
 
@@ -135,7 +141,7 @@ def host_verdicts(scores: DataFrame, damping_percent: int = 85, block_percent: i
     return scores.groupBy("host").agg(kind("trust"), kind("distrust")).select("*", (F.col("distrust") - F.col("trust") >= limit).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping_percent: int = 85, iterations: int = 10, block_percent: int = 50) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping_percent: int = 85, iterations: int | None = None, block_percent: int = 50) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     The last join carries no html and its smaller side holds one row per seeded or

@@ -43,3 +43,15 @@ def test_links_between_hosts_equal_sql(spark, tmp_path):
     assert got[8, ""]["verdict"] == "allow" and got[7, ""]["rule"] is None
     assert got[4, "bad.net"]["rule"] == "net/" and got[10, "notexample.net.evil.com"]["rule"] is None
     assert url_trust.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_trust_reaches_hosts_behind_more_than_ten_links(spark):
+    from lakeleaf.llm import url_trust
+
+    seeds = spark.createDataFrame([("trust", "h00", 1_000_000)], "kind string, host string, score long")
+    edges = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(14)], "src string, dst string, pages long")
+    want = {"h00": 150_000}
+    for i in range(14):
+        want[f"h{i + 1:02}"] = want[f"h{i:02}"] * 85 // 100
+    assert {r["host"]: r["score"] for r in url_trust.propagate(seeds, edges).collect()} == want
+    assert len(url_trust.propagate(seeds, edges, iterations=3).collect()) == 4
