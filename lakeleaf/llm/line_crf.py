@@ -5,39 +5,51 @@ a whole text.  Texts that pass them are labelled line by line as content or
 boilerplate by Viterbi decoding of a linear-chain conditional random field;
 the share of words in content lines decides.
 
-The field is trained on the driver: weak labels come from plain signs (a
-repeated line, symbols, capitals, separators, a stub without a stop), on a
-bounded, documented sample of texts (``train_rows``, at most ``max_chars``
-each, chosen by crc32 of the id).  It learns how far those signs carry and
-that neighbouring lines share a label.  Scoring reads every text whole.
+No table labels lines, so the field learns them from document labels, as a
+multiple-instance problem: lines of good documents are content; of a bad
+document at least half of the words are boilerplate, but which lines these are
+is hidden.  They begin as all lines and are then decoded by the field itself, a
+few rounds long (hard expectation maximisation).  The features of a line are
+measured shares of its characters and words and its place; no rule or list of
+signs labels anything.  Fitting runs on the driver on a bounded, documented
+sample of labelled texts (``rows_per_class``, at most ``max_chars`` each,
+chosen by crc32 of the id) outside the fold with crc32 mod 5 = 0.  Labels are
+never an input of a verdict, and scoring reads every text whole.
 
 Defined cases: a null or empty text has no words and fails the base rules;
-lines without words are skipped; equal texts get equal results; without any
-line to train on every line is content.
+lines without words are skipped; equal texts get equal results; without labels
+of both classes every line is content.  Every row gets a verdict, also rows that
+repeat an id or have none; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from string import ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .labelled import hash_sample
+from .common import keep_texts, map_batches, slices
+from .labelled import labelled_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-SPLIT = str.maketrans(dict.fromkeys("\t\x0b\x0c\r", " "))
 STOPS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”")
 NO_CAPITALS, NO_SMALL, NO_DIGITS = (str.maketrans("", "", chars) for chars in (ascii_uppercase, ascii_lowercase, digits))
 WINDOW = 5
-NAMES = ("bias", "repeated", "symbols", "many_symbols", "capitals", "bars", "marks", "same_words", "no_stop", "short", "very_short", "long", "digits", "url")
-RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_words long"
+NAMES = (
+    "bias", "words", "word_length", "long_words", "capitals", "digits", "symbols", "marks", "marked_words", "upper_words",
+    "different_words", "commonest_word", "stop", "repeated", "first", "last",
+)
+RULES = (
+    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "base_failed boolean, kept boolean, n_lines long, content_words long"
+)
 
 
 def words_of(text: str) -> list[str]:
@@ -93,35 +105,40 @@ def letters_capitals_digits(line: str) -> tuple[int, int, int]:
     return letters, capitals, numerals
 
 
-def line_features(line: str, repeated: bool) -> list[float]:
+def line_features(line: str, repeated: bool, first: bool = False, last: bool = False) -> list[float]:
+    """Measures of a line with a word, in the order of NAMES, each about 0 to 1."""
     words = words_of(line)
     n, chars = len(words), len(line)
-    symbols = len(SYMBOLS.findall(line))
+    size = sum(map(len, words))
     letters, capitals, numerals = letters_capitals_digits(line)
-    last = words[-1]
+    spaces = chars - size
+    others = chars - spaces - letters - numerals
+    counts = Counter(words)
     return [
         1.0,
+        min(math.log1p(n) / 6, 2.0),
+        min(size / n / 12, 2.0),
+        sum(len(w) > 20 for w in words) / n,
+        capitals / max(1, letters),
+        numerals / size,
+        len(SYMBOLS.findall(line)) / size,
+        min(others / n, 2.0),
+        sum(not w[-1].isalnum() for w in words) / n,
+        sum(w.isupper() for w in words) / n,
+        len(counts) / n,
+        max(counts.values()) / n,
+        float(words[-1].endswith(STOPS)),
         float(repeated),
-        float(symbols > 0),
-        float(symbols * 20 > chars),
-        float(letters > 3 and capitals * 2 > letters),
-        float(line.count("|") * 4 > n),
-        float(line.count("!!") * 4 > n),
-        float(n >= 6 and len(set(words)) * 2 < n),
-        float(not last.endswith(STOPS)),
-        float(n < 5),
-        float(n < 3),
-        float(n > 20),
-        float(numerals * 5 > chars),
-        float("://" in line),
+        float(first),
+        float(last),
     ]
 
 
-def weak_label(f: list[float]) -> int:
-    """1 for boilerplate."""
-    sign = dict(zip(NAMES, f, strict=True))
-    junk = sign["repeated"] + 2 * sign["many_symbols"] + 2 * sign["capitals"] + 2 * sign["bars"] + 2 * sign["marks"] + 2 * sign["same_words"] + sign["no_stop"] * sign["very_short"] + sign["digits"]
-    return int(junk >= 2)
+def text_features(text: str) -> tuple[list[str], list[list[float]], int]:
+    """(lines with a word, their features, how many equal an earlier one)."""
+    lines, again, dups = lines_of(text)
+    end = len(lines) - 1
+    return lines, [line_features(x, r, i == 0, i == end) for i, (x, r) in enumerate(zip(lines, again, strict=True))], dups
 
 
 class LineField:
@@ -167,73 +184,94 @@ class LineField:
         both = truth[:, :-1, :, None] * truth[:, 1:, None, :]
         return np.einsum("nlk,nlf->kf", truth - single, x), (both - pair).sum((0, 1))
 
-    def fit(self, texts: list[str], rounds: int = 60, ridge: float = 1e-3, max_lines: int = 64) -> LineField:
-        """Gradient ascent with momentum on weak labels; a text's lines go in runs of max_lines."""
-        runs = []
-        for text in texts:
-            lines, again, _ = lines_of(text)
-            features = [line_features(line, r) for line, r in zip(lines, again, strict=True)]
-            runs += [features[i : i + max_lines] for i in range(0, len(features), max_lines)]
-        if not runs:
-            return self
+    def train(self, runs: list[list[list[float]]], labels: list[list[int]], chain: bool = True, steps: int = 80, ridge: float = 1e-3) -> LineField:
+        """Gradient ascent with momentum on the likelihood of labelled runs of lines; without the chain, lines count alone."""
         length = max(map(len, runs))
         x, y, mask = np.zeros((len(runs), length, len(NAMES))), np.zeros((len(runs), length), int), np.zeros((len(runs), length), bool)
-        for i, run in enumerate(runs):
-            x[i, : len(run)], y[i, : len(run)], mask[i, : len(run)] = run, [weak_label(f) for f in run], True
+        for i, (run, known) in enumerate(zip(runs, labels, strict=True)):
+            x[i, : len(run)], y[i, : len(run)], mask[i, : len(run)] = run, known, True
         speed = [0.0, 0.0]
-        for _ in range(rounds):
+        for _ in range(steps):
             by_weight, by_step = self.gradient(x, y, mask)
             speed = [0.9 * s + g / mask.sum() for s, g in zip(speed, (by_weight, by_step), strict=True)]
-            self.weights, self.steps = self.weights * (1 - ridge) + speed[0], self.steps * (1 - ridge) + speed[1]
+            self.weights, self.steps = self.weights * (1 - ridge) + speed[0], self.steps * (1 - ridge) + chain * speed[1]
+        return self
+
+    def margins(self, features: list[list[float]]) -> np.ndarray:
+        """How much better boilerplate fits each line by itself."""
+        emit = np.array(features) @ self.weights.T
+        return emit[:, 1] - emit[:, 0]
+
+    def fit(self, texts: list[str], good: list[int], rounds: int = 3, max_lines: int = 64) -> LineField:
+        """Learns hidden line labels from document labels; a text's lines go in runs of max_lines."""
+        found = [(text_features(t), g) for t, g in zip(texts, good, strict=True)]
+        found = [(lines, features, g) for (lines, features, _), g in found if lines]
+        if len({g for *_, g in found}) < 2:
+            return self
+        labels = [[1 - g] * len(lines) for lines, _, g in found]
+        cut = lambda rows: [rows[i : i + max_lines] for i in range(0, len(rows), max_lines)]
+        runs = [run for _, features, _ in found for run in cut(features)]
+        for step in range(rounds):
+            # All lines of a document begin alike, which says nothing about neighbours.
+            self.train(runs, [run for known in labels for run in cut(known)], chain=step > 0)
+            if step < rounds - 1:
+                labels = [known if g else self.hidden(lines, features) for known, (lines, features, g) in zip(labels, found, strict=True)]
         return self
 
+    def hidden(self, lines: list[str], features: list[list[float]]) -> list[int]:
+        """Labels of a bad document's lines: as decoded, and beyond that its most likely lines until half of the words are boilerplate."""
+        known, sizes = self.viterbi(features), [len(words_of(x)) for x in lines]
+        lacking = sum(sizes) / 2 - sum(s for s, k in zip(sizes, known, strict=True) if k)
+        for i in np.argsort(-self.margins(features), kind="stable").tolist():
+            if lacking <= 0:
+                break
+            if not known[i]:
+                known[i], lacking = 1, lacking - sizes[i]
+        return known
+
 
 def judge(text: str | None, field: LineField, min_words: int = 10, repeat_percent: int = 20, content_percent: int = 50) -> tuple:
     """The columns of RULES after doc_id."""
     text = text or ""
     words = words_of(text)
-    lines, again, dups = lines_of(text)
+    lines, features, dups = text_features(text)
     n, repeats = len(words), repeat_words(words)
     failed = n < min_words or 100 * repeats > repeat_percent * n
     content = 0
     if lines:
-        labels = field.viterbi([line_features(line, r) for line, r in zip(lines, again, strict=True)])
+        labels = field.viterbi(features)
         content = sum(len(words_of(line)) for line, label in zip(lines, labels, strict=True) if not label)
-    return n, sum(map(len, words)), len(SYMBOLS.findall(text)), dups, repeats, failed, not failed and 100 * content >= content_percent * n, len(lines), content
+    kept = not failed and 100 * content >= content_percent * n
+    return n, sum(map(len, words)), len(SYMBOLS.findall(text)), dups, repeats, failed, kept, len(lines), content
 
 
 def labelled_lines(text: str | None, field: LineField) -> list[tuple[str, bool]]:
     """Each line with a word, and whether it is content."""
-    lines, again, _ = lines_of(text or "")
-    return [(x, not label) for x, label in zip(lines, field.viterbi([line_features(x, r) for x, r in zip(lines, again, strict=True)]), strict=True)] if lines else []
+    lines, features, _ = text_features(text or "")
+    return [(x, not label) for x, label in zip(lines, field.viterbi(features), strict=True)] if lines else []
 
 
-def fit_field(documents: DataFrame, train_rows: int = 400, max_chars: int = 20_000) -> LineField:
-    """A field fitted on a bounded sample, the same on every run."""
-    usable = documents.select("doc_id", "text").filter(F.length("text").between(1, max_chars))
-    return LineField().fit([r["text"] for r in hash_sample(usable, train_rows, usable.count(), "/lines", "text").collect()])
+def fit_field(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = 400, max_chars: int = 20_000) -> LineField:
+    """A field fitted on a bounded sample of ``labels.quality``, the same on every run."""
+    texts, good, _ = labelled_sample(documents, labels, "quality", folds, held_out, rows_per_class, max_chars)
+    return LineField().fit(texts, good)
 
 
-def apply_rules(documents: DataFrame, field: LineField | None = None) -> DataFrame:
+def apply_rules(documents: DataFrame, field: LineField) -> DataFrame:
     """One row (schema RULES) per document."""
-    field = fit_field(documents) if field is None else field
 
     def judged(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         schema = pa.schema([(n, pa.bool_() if t == "boolean" else pa.int64()) for n, t in (c.split() for c in RULES.split(", "))])
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 rows = [(d, *judge(t, field)) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(judged, RULES)
-
+    return map_batches(documents.select("doc_id", "text"), judged, RULES)
 
-def is_kept(field: LineField):
-    """A column function for filters: the verdict on a text."""
-    def judged(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: judge(t, field)[6]).astype(bool)
 
-    return F.pandas_udf(judged, "boolean")
+def with_quality(documents: DataFrame, field: LineField) -> DataFrame:
+    """The documents, all columns, that pass the base rules and hold enough content."""
+    return keep_texts(documents, lambda t: judge(t, field)[6])

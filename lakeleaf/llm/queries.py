@@ -33,7 +33,8 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = line_crf.apply_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    rules = line_crf.apply_rules(docs, line_crf.fit_field(docs, table(spark, sf_dir, "labels")))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -51,17 +52,25 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_length")
+    digest = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_length")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_warc, op3_token_counts, op4_byte_cnn, op5_line_crf, op6_minmax_dedup, op7_simhash, op8_toxic_segments, op9_harmonic_packing, op10_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_trust, op2_warc, op3_token_counts, op4_byte_cnn, op5_line_crf, op6_minmax_dedup,
+        op7_simhash, op8_toxic_segments, op9_harmonic_packing, op10_mix,
+    )
+}
 
 ORACLE_SQL = {
     "op1_url_trust": url_trust.filter_urls_sql(),
+    "op2_warc": warc.archive_round_trip_sql(),
     "op6_minmax_dedup": near_dedup.near_duplicates_sql(),
     "op10_mix": mixing.mix_sql(),
 }

@@ -17,7 +17,9 @@ run again after an executor is lost leaves no half-written or doubled archive.
 Defined cases: a null html is an empty payload; a null url gives a
 ``urn:page:`` target; a null page_id is never the response of a group that has
 a page_id, and rows that repeat both the payload and the largest page_id are
-responses each.  Other columns are ignored.
+responses each; an empty table gives no records.  A payload longer than an
+archive's bound goes to an archive of its own, so a task's memory is the larger
+of the bound and one page.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, written
+from .common import checkpoint, drop, map_batches, scratch, written
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 MANIFEST = "archive string, records long, bytes long"
-RECORD = "archive string, offset long, record_type string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORD = (
+    "archive string, offset long, record_type string, page_id long, target_uri string, "
+    "payload_digest string, payload_bytes long, refers_to long, payload binary"
+)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -187,9 +192,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 24 << 20,
         def flush() -> pa.RecordBatch:
             data = encode_archive(held, level)
             name = f"{uuid.uuid4().hex}.warc.zst"
-            out = {"archive": [put_file(folder, name, data)], "records": [len(held)], "bytes": [len(data)]}
+            row = {"archive": [put_file(folder, name, data)], "records": [len(held)], "bytes": [len(data)]}
             held.clear()
-            return pa.RecordBatch.from_pydict(out, pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+            return pa.RecordBatch.from_pydict(row, pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
         held: list[bytes] = []
         size = 0
@@ -204,16 +209,17 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 24 << 20,
         if held:
             yield flush()
 
-    return written(with_revisits(pages).mapInArrow(archives, MANIFEST))
+    return written(map_batches(with_revisits(pages), archives, MANIFEST))
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """All records of the archives in the manifest (schema RECORD); a task holds one archive at a time."""
+def read_archives(manifest: DataFrame, archives_a_task: int = 2) -> DataFrame:
+    """All records of the archives in the manifest (schema RECORD); a task reads about two archives, one at a time."""
 
     def records(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in RECORD.split(", "))])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
@@ -226,11 +232,33 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(records, RECORD)
+    # A given number of partitions, so that adaptive execution does not merge them by the few bytes of the paths.
+    archives = manifest.count()
+    spread = manifest.select("archive").repartition(max(1, -(-archives // archives_a_task)), "archive")
+    return map_batches(spread, records, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, archive_bytes: int = 24 << 20) -> DataFrame:
-    """Write all pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Write all pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    What was read is a written table without payloads, so the archives, which are
+    of no more use, and those of attempts that were run again, are removed.
+    """
+    spark = pages.sparkSession
+    folder = scratch(spark, "warc")
     manifest = write_archives(pages, folder, archive_bytes)
-    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = written(read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    drop(spark, folder)
+    return out
+
+
+def archive_round_trip_sql() -> str:
+    """DuckDB SQL for ``archive_round_trip``; base32 takes four digits from every five hexadecimal ones."""
+    digit = "(('0x' || substr(x, 5 * (i // 4) + 1, 5))::bigint >> (5 * (3 - i % 4))) & 31"
+    digest = f"array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ({digit}) as bigint), 1)), '')"
+    return f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as x from p),
+g as (select *, max(page_id) over (partition by x) as m from d),
+r as (select *, case when m is not null and page_id is distinct from m then m end as refers_to from g)
+select page_id, payload_bytes, {digest} as payload_digest, if(refers_to is null, 'response', 'revisit') as record_type, refers_to from r"""
