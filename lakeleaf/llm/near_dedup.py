@@ -31,11 +31,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, checkpoint, written
+from .common import LOWER_BYTES, checkpoint, map_batches, slices, written
 
 ROWS, BANDS = 7, 30
 PERMUTATIONS = ROWS * BANDS // 2
-TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
+TILE_ROWS, TILE_SHINGLES = 512, 1 << 20
 SIGNATURES = "doc_id long, class long, n_shingles long, bands array<long>"
 
 
@@ -46,23 +46,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, with a bounded cache."""
-
-    def __init__(self, limit: int = 500_000):
-        import xxhash
-
-        self.known: dict[bytes, int] = {}
-        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words.  Hashing a word costs no more than looking it up, so nothing is kept."""
+    import xxhash
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = set(words).difference(known)
-        for w in new:
-            known[w] = self.digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -115,14 +103,13 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
     def signed(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        hashes, multipliers = WordHashes(), permutations()
+        multipliers = permutations()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 classes, counts, bands, offsets = [], [], [], [0]
                 for text in part.column(1).to_pylist():
                     words = normal_words(text)
-                    shingles = shingle_set(hashes(words), width)
+                    shingles = shingle_set(word_hashes(words), width)
                     classes.append(class_of(words))
                     counts.append(len(shingles))
                     if words:
@@ -134,7 +121,7 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "class", "n_shingles", "bands"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(signed, SIGNATURES)
+    return map_batches(documents.select("doc_id", "text"), signed, SIGNATURES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,19 +162,20 @@ def forest(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray], sides: n
     rows, cols = owner[use], number[column[use]]
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    common = np.zeros((n, n), np.float32)
-    for at in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(cols, [at, at + 4096])
-        part = np.zeros((n, min(4096, int(shared.sum()) - at)), np.float32)
+    common, step = np.zeros((n, n), np.float32), 1024  # whole numbers below 2**24, exact
+    for at in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(cols, [at, at + step])
+        part = np.zeros((n, min(step, int(shared.sum()) - at)), np.float32)
         part[rows[a:b], cols[a:b] - at] = 1
         common += part @ part.T
-    common = common.astype(np.float64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    if sides.any() and not sides.all():
-        linked &= sides[:, None] != sides[None, :]
+    across = sides.any() and not sides.all()
     label, out = np.arange(n), []
     for i in range(1, n):
-        near = np.flatnonzero(linked[i, :i])
+        both = common[i, :i].astype(np.float64)
+        linked = 100 * both >= percent * (sizes[i] + sizes[:i] - both)
+        if across:
+            linked &= sides[i] != sides[:i]
+        near = np.flatnonzero(linked)
         for old, at in zip(*np.unique(label[near], return_index=True), strict=True):
             if old != label[i]:
                 label[label == old] = label[i]
@@ -196,34 +184,35 @@ def forest(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray], sides: n
 
 
 def confirmed(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b) links from (tile, side, class, text); rows of a tile are read one tile at a time."""
+    """(a, b) links from (tile, side, class, text), one tile at a time.
+
+    A tile in memory is its sets of hashes (8 bytes a shingle, so at most 16 MB by
+    TILE_SHINGLES, or two single texts beyond it) and a matrix of 4 bytes a pair.
+    """
 
     def links(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         def out() -> pa.RecordBatch:
-            found = {}
-            for node, side, text in held:
-                words = normal_words(text)
-                if class_of(words) == node:  # another text may repeat the id
-                    found[node] = (side, shingle_set(hashes(words), width))
-            held.clear()
             nodes = sorted(found)
             sides, sets = np.array([found[n][0] for n in nodes]), [found[n][1] for n in nodes]
+            found.clear()
             pairs = forest(nodes, np.array([len(s) for s in sets], np.float64), sets, sides, percent) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-        hashes, held, tile = WordHashes(), [], None
+        found, tile = {}, None
         for batch in batches:
-            for t, side, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and t != tile:
-                    yield out()
-                tile = t
-                held.append((node, side, text))
-        if held:
+            for part in slices(batch, 3):
+                for t, side, node, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    if found and t != tile:
+                        yield out()
+                    tile, words = t, normal_words(text)
+                    if class_of(words) == node:  # another text may repeat the id
+                        found[node] = (side, shingle_set(word_hashes(words), width))
+        if found:
             yield out()
 
-    return members.select("tile", "side", "class", "text").mapInArrow(links, "a long, b long")
+    return map_batches(members.select("tile", "side", "class", "text"), links, "a long, b long")
 
 
 def tiles(grouped: DataFrame) -> DataFrame:
@@ -244,7 +233,6 @@ def tiles(grouped: DataFrame) -> DataFrame:
     placed = placed.withColumn("block", block)
     own, up, down = F.col("cells")[F.col("band")], F.col("cells")[F.col("band") + 1], F.col("cells")[F.col("band") - 1]
     upto = lambda n: F.when(n.isNull(), F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(0), n - 1))
-    key = lambda kind, a, b: F.xxhash64("group", F.lit(kind), a, b)
     same = F.transform(upto(own), lambda j: F.struct(F.xxhash64("group", "band", F.least(j.cast("long"), F.col("block")), F.greatest(j.cast("long"), F.col("block")), F.lit(0)).alias("tile"), F.when(j > F.col("block"), 0).when(j < F.col("block"), 1).otherwise(0).alias("side")))
     higher = F.transform(upto(up), lambda j: F.struct(F.xxhash64("group", "band", F.col("block"), j.cast("long"), F.lit(1)).alias("tile"), F.lit(0).alias("side")))
     lower = F.transform(upto(down), lambda j: F.struct(F.xxhash64(F.col("group"), F.col("band") - 1, j.cast("long"), F.col("block"), F.lit(1)).alias("tile"), F.lit(1).alias("side")))
