@@ -10,7 +10,8 @@ which need no padding.
 
 Defined cases: a null or empty text is a document of the end id alone; equal
 documents are packed each; a null doc_id stays null; other columns are ignored.
-Memory: one slice of a batch and, per class k, fewer than k pieces.
+Memory: one slice of a batch, caches of token ids bounded in bytes and, per
+class k, fewer than k pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from .common import RecentCache, map_batches, slices
+
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long"
 
@@ -32,16 +35,18 @@ class CachedTokenizer:
     with its leading space.  A chunk that begins or ends with white space, or is
     empty, has no ids of its own; texts that hold one are encoded as a whole.
     Letters with one mark after them are two pre-tokens and share the letters'
-    ids.  Unknown chunks of a slice are encoded in one call.
+    ids.  Unknown chunks of a slice are encoded in one call.  Caches are bounded
+    in bytes, and long chunks (texts without spaces) are not kept.
     """
 
     MARKS = ".,"
 
-    def __init__(self, path: str, cache_chunks: int = 900_000):
+    def __init__(self, path: str, cache_bytes: int = 192 << 20):
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.heads, self.np = Tokenizer.from_file(path), cache_chunks, {}, {}, np
+        self.tokenizer, self.np = Tokenizer.from_file(path), np
+        self.known, self.heads = RecentCache(cache_bytes), RecentCache(cache_bytes // 32)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.leads = np.array([n[:1] == "Ġ" for n in names])
         self.marks = {m: self.whole(m) for m in self.MARKS}
@@ -49,46 +54,47 @@ class CachedTokenizer:
     def whole(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> dict[str, bytes | None]:
         """Encode chunks joined, and cut the ids where a token leads with a space."""
-        known, marked, plain = self.known, [], []
+        found, marked, plain, marks = {}, [], [], self.marks
         for c in chunks:
-            if c.strip() != c or not c:
-                known[c] = None
-            elif c[-1] in self.marks and c[:-1].isalpha():
+            end = c[-1:]
+            if end in marks and c[:-1].isalpha():
                 marked.append(c)
+            elif end.isspace() or c[:1].isspace() or not c:
+                found[c] = None
             else:
                 plain.append(c)
-        plain = list({*plain, *(c[:-1] for c in marked)}.difference(known)) if marked else plain
+        plain = list({*plain, *(c[:-1] for c in marked)})
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = self.np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = self.np.flatnonzero(self.leads[ids])
             if len(starts) != len(some) or starts[0]:
-                known.update((c, self.whole(" " + c)) for c in some)
+                found.update((c, self.whole(" " + c)) for c in some)
                 continue
             data, bounds = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            known.update((c, data[a:b]) for c, a, b in zip(some, bounds, bounds[1:], strict=False))
-        known.update((c, known[c[:-1]] + self.marks[c[-1]]) for c in marked)
+            found.update(zip(some, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        found.update((c, found[c[:-1]] + marks[c[-1]]) for c in marked)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         firsts = [p.pop(0) for p in parts]
-        needed = set().union(*parts)
-        if len(self.known) + len(needed) > self.limit:
-            self.known.clear()
-            self.heads.clear()
-        self.learn(needed.difference(self.known))
-        get, out = self.known.__getitem__, []
-        for text, first, rest in zip(texts, firsts, parts, strict=True):
+        get = self.known.young.get
+        seen = [list(map(get, rest)) for rest in parts]
+        lacking = {c for rest, ids in zip(parts, seen, strict=True) if None in ids for c, i in zip(rest, ids, strict=True) if i is None}
+        get = self.known.lookup(lacking, self.learn).__getitem__
+        heads = self.heads.lookup(set(firsts), lambda new: {f: self.whole(f) for f in new})
+        out = []
+        for text, first, rest, ids in zip(texts, firsts, parts, seen, strict=True):
             if rest and (not first or first[-1].isspace()):
                 out.append(self.whole(text))
                 continue
-            head = self.heads.get(first)
-            if head is None:
-                head = self.heads[first] = self.whole(first)
+            if None in ids:
+                ids = [get(c) if i is None else i for c, i in zip(rest, ids, strict=True)]
             try:
-                out.append(head + b"".join(map(get, rest)))
+                out.append(heads[first] + b"".join(ids))
             except TypeError:  # a chunk without ids of its own
                 out.append(self.whole(text))
         return out
@@ -187,8 +193,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, slack: floa
         base, packer, encoder, end = TaskContext.get().partitionId() << 40, HarmonicPacker(capacity, slack, smallest), tokenizer_of(tokenizer), END_ID.to_bytes(4, "little")
         out: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 256):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     rows(packer.add(doc_id, ids + end))
                 if out:
@@ -197,4 +202,4 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, slack: floa
         if out:
             yield taken()
 
-    return documents.select("doc_id", "text").mapInArrow(packed, PIECES)
+    return map_batches(documents.select("doc_id", "text"), packed, PIECES)

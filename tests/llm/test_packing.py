@@ -26,7 +26,7 @@ def test_cached_ids_equal_the_library(texts):
 
 def test_ids_of_documents(small):
     texts = [r["text"] for r in small.collect()]
-    got = pk.CachedTokenizer(PATH, cache_chunks=500).encode(texts)
+    got = pk.CachedTokenizer(PATH, cache_bytes=50_000).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == plain_ids(texts)
 
 
@@ -85,3 +85,14 @@ def test_query_digests(spark):
     for r in rows[:50]:
         ids = (plain_ids([docs[r["doc_id"]]])[0] + [1])[r["start"] : r["start"] + r["length"]]
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_texts_without_spaces_fill_no_cache():
+    """Long runs without spaces (CJK, base64) are encoded but not kept."""
+    encoder = pk.CachedTokenizer(PATH, cache_bytes=1 << 20)
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 5000, 3000)) for _ in range(12)] + [f"plain {'x' * 500}{i} words" for i in range(12)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain_ids([t])[0]
+    held = [k for cache in (encoder.known, encoder.heads) for part in (cache.young, cache.old) for k in part if k not in cache.passing]
+    assert max(map(len, held)) <= 64 and sum(len(k) + pk.RecentCache.ENTRY for k in held) <= 1 << 20
