@@ -1,16 +1,19 @@
 """Token counts under a unigram language model, by dynamic programming over a trie.
 
-The distinct pre-tokens of a batch of documents are walked as a trie: sorted
-order visits it depth first, and the forward scores of a prefix are computed
-once, however many pre-tokens share it.  Each end of a pre-token stores the
-token count and score of its best segmentation; a document sums its own.
+The distinct pre-tokens of a worker are inserted in a trie.  A node holds the
+forward score of its prefix, computed once, however many pre-tokens share it;
+the node where a pre-token ends holds the token count and score of its best
+segmentation.  A document sums its own.
 
 The vocabulary is a public one, never trained here.  Its file has an order of
 pieces but no probabilities; the unigram model takes log p = -log(rank + OFFSET)
 (Zipf and Mandelbrot's law).  A character that no piece covers costs its UTF-8
 bytes, as byte fallback does.  Among equal scores fewer tokens win.
 
-No shuffle and no state beyond a bounded cache of pre-tokens per worker.
+No shuffle.  Memory: a slice of a batch, a trie of at most ``most_nodes`` nodes
+(and one more pre-token), which is begun anew beyond that, and a cache of
+results bounded in bytes; a long run of characters without white space is
+counted without being kept in the cache.
 
 Defined cases: a null or empty text has 0 pre-tokens and tokens and score 0;
 repeated rows are counted each; columns other than doc_id and text are ignored.
@@ -24,6 +27,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from .common import RecentCache, map_batches, slices
+
 VOCABULARY = "piece_bpe_32k.model"
 OFFSET = 2.7
 BYTE_SCORE = -14.0
@@ -41,54 +46,89 @@ def unigram(path: str) -> tuple[dict[str, float], int]:
     return {p: -math.log(rank + OFFSET) for rank, p in enumerate(pieces, 1)}, max(map(len, pieces), default=1)
 
 
+class PrefixTrie:
+    """Pre-tokens as a trie whose nodes hold the forward score and token count of their prefix.
+
+    A node is made once, however many pre-tokens share it, and so is its step of
+    the dynamic programme: the best last piece over the scores of the nodes above
+    it.  Last pieces are tried by growing length, until no piece ends so.  A
+    pre-token's last node holds its result.
+    """
+
+    def __init__(self, pieces: dict[str, float], longest: int, most_nodes: int = 200_000):
+        self.most_nodes = most_nodes
+        self.ends: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))}
+        self.ends.update(pieces)
+        self.clear()
+
+    def clear(self) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.scores, self.tokens = [0.0], [0]
+
+    def insert(self, word: str) -> tuple[int, float]:
+        """(tokens, score) of the best segmentation."""
+        if len(self.scores) > self.most_nodes:
+            self.clear()
+        children, node, path = self.children, 0, [0]
+        for end, char in enumerate(word, 1):
+            child = children[node].get(char)
+            if child is None:
+                child = children[node][char] = self.grow(word, end, path)
+            path.append(child)
+            node = child
+        return self.tokens[node], self.scores[node]
+
+    def grow(self, word: str, end: int, path: list[int]) -> int:
+        """A new node for word[:end], from the nodes of its shorter prefixes."""
+        scores, tokens, ends = self.scores, self.tokens, self.ends
+        best, count, start = -math.inf, 0, end
+        while start:
+            start -= 1
+            p = ends.get(word[start:end], 0.0)  # no piece scores 0
+            if p is None:
+                continue
+            if not p:
+                break
+            score = scores[path[start]] + p
+            if score > best or score == best and tokens[path[start]] + 1 < count:
+                best, count = score, tokens[path[start]] + 1
+        if ends.get(word[end - 1]) is None:
+            n, before = len(word[end - 1].encode("utf-8", "surrogatepass")), path[end - 1]
+            score = scores[before] + n * BYTE_SCORE
+            if score > best or score == best and tokens[before] + n < count:
+                best, count = score, tokens[before] + n
+        scores.append(best)
+        tokens.append(count)
+        self.children.append({})
+        return len(scores) - 1
+
+
 def trie_counts(pretokens: Iterable[str], pieces: dict[str, float], longest: int) -> dict[str, tuple[int, float]]:
-    """(tokens, score) of the best segmentation of each distinct pre-token."""
-    found: dict[str, tuple[int, float]] = {}
-    before, scores, tokens = "", [0.0], [0]
-    for word in sorted(set(pretokens)):
-        shared, most = 0, min(len(word), len(before))
-        while shared < most and word[shared] == before[shared]:
-            shared += 1
-        del scores[shared + 1 :], tokens[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            best, count = -math.inf, 0
-            for start in range(max(0, end - longest), end):
-                p = pieces.get(word[start:end])
-                if p is not None and (scores[start] + p, -tokens[start] - 1) > (best, -count):
-                    best, count = scores[start] + p, tokens[start] + 1
-            if word[end - 1] not in pieces:
-                n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                if (scores[end - 1] + n * BYTE_SCORE, -tokens[end - 1] - n) > (best, -count):
-                    best, count = scores[end - 1] + n * BYTE_SCORE, tokens[end - 1] + n
-            scores.append(best)
-            tokens.append(count)
-        found[word] = tokens[-1], scores[-1]
-        before = word
-    return found
-
-
-def token_counts(documents: DataFrame, vocabulary: str, cache_words: int = 400_000) -> DataFrame:
+    """(tokens, score) of the best segmentation of each distinct pre-token, by one trie."""
+    trie = PrefixTrie(pieces, longest)
+    return {word: trie.insert(word) for word in set(pretokens)}
+
+
+def token_counts(documents: DataFrame, vocabulary: str, cache_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, score of every document; ``vocabulary`` is a file every executor has."""
 
     def counted(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        pieces, longest = unigram(vocabulary)
-        known: dict[str, tuple[int, float]] = {}
+        trie, known = PrefixTrie(*unigram(vocabulary)), RecentCache(cache_bytes)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 texts = [(t or "").split() for t in part.column(1).to_pylist()]
-                new = set().union(*texts).difference(known)
-                if len(known) + len(new) > cache_words:
-                    known.clear()
-                    new = set().union(*texts)
-                for word, value in trie_counts([SPACE + w for w in new], pieces, longest).items():
-                    known[word[1:]] = value
-                values = [[known[w] for w in words] for words in texts]
+                get = known.lookup(set().union(*texts), lambda new: {w: trie.insert(SPACE + w) for w in new}).__getitem__
+                values = [list(map(get, words)) for words in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(v) for v in values], pa.int64()), pa.array([sum(x for x, _ in v) for v in values], pa.int64()), pa.array([math.fsum(y for _, y in v) for v in values], pa.float64())],
+                    [
+                        part.column(0).cast(pa.int64()),
+                        pa.array([len(v) for v in values], pa.int64()),
+                        pa.array([sum(x for x, _ in v) for v in values], pa.int64()),
+                        pa.array([math.fsum(y for _, y in v) for v in values], pa.float64()),
+                    ],
                     ["doc_id", "n_pretokens", "n_tokens", "score"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(counted, COUNTS)
+    return map_batches(documents.select("doc_id", "text"), counted, COUNTS)
