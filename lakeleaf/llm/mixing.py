@@ -4,15 +4,18 @@ Slot n of the mix takes the golden-ratio point n * phi mod 1 (as a 32-bit
 fraction) through the cumulative target shares to a source; the slots of a
 source are ranked, and rank k takes block k of the source's shuffled stream of
 words, cut into equal blocks.  A stream is read over again, up to ``repeats``
-times, when its target is larger than the source.  The blocks grow with the
-table, so where a block is more than one word, a source whose target is under
-``FINE`` blocks is read to its target by the word instead.
+times, when its target is larger than the source.  A block is one word up to
+about 2**SLOT_BITS words and grows to ``MOST_BLOCK`` words; beyond that the
+slots grow with the table, so a source is never further from its target than
+some blocks of that size.  Where a block is more than one word, a source whose
+target is under ``FINE`` blocks is read to its target by the word instead.
 
 Everything is whole-number arithmetic on built-in functions: reruns agree and
 no Python runs on the executors.  Running totals go by (source, hash bucket)
 with a second sum over the bucket totals, so a source with a third of all rows
 is spread over all tasks.  Slots meet sources, and blocks, by equi-joins on
-fine keys.
+fine keys.  Points repeat after 2**32 slots, which then have met every fraction
+exactly once.
 
 Defined cases: a null text has size 0; a document without words takes part with
 nothing taken; a null source is a source of its own, after all others;
@@ -30,7 +33,7 @@ from .common import WORD, checkpoint, word_count
 PHI_32 = 2_654_435_769
 ONE_32 = 1 << 32
 WEIGHTS = (5, 2, 1)
-SLOT_BITS = 20
+SLOT_BITS, MOST_BLOCK = 20, 1024
 #: Targets under so many blocks are too small for blocks of several words.
 FINE = 1024
 BINS = 1024
@@ -38,28 +41,42 @@ BUCKETS = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3) -> DataFrame:
-    """(source, source_no, source_size, target) from (source, size).
+    """(source, source_no, source_size, weight, target) from (source, size).
 
     Sources by code point, null last, weigh ``weights`` in turn and share the
-    total.  No target exceeds ``repeats`` times its source: filling up in the
-    order of capacity over weight gives what resharing the excess ends in.
-    The table has a row per source; its windows run over those rows only.
+    total.  No target exceeds ``repeats`` times its source.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
+    # Numbered within ranges of sources, then by the counts of the ranges before: no task meets all sources.
+    first = F.coalesce(F.substring("source", 1, 2), F.lit(""))
+    coded = per.select("source", "source_size", F.col("source").isNull().alias("_last"), first.alias("_head"))
+    numbered = coded.withColumn("_n", F.row_number().over(Window.partitionBy("_last", "_head").orderBy("source")))
+    heads = numbered.groupBy("_last", "_head").agg(F.count("*").alias("_count"))  # a row per first two characters
+    before = F.coalesce(F.sum("_count").over(Window.orderBy("_last", "_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = heads.select("_last", "_head", before.alias("_before"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    per = per.withColumn("source_no", (F.row_number().over(ordered) - 1).cast("long")).withColumn("weight", weight).withColumn("cap", F.col("source_size") * repeats)
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    per = per.withColumn("level", level).withColumn("open", F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level")))
-    water = F.coalesce(F.max("open").over(everything), F.max(F.col("cap") / F.col("weight")).over(everything))
-    return per.withColumn("water", water).select(
-        "source", "source_no", "source_size", F.when(F.col("cap") / F.col("weight") <= F.col("water"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("water")).alias("target")
-    )
+    numbered = numbered.join(starts, ["_last", "_head"]).select("source", "source_size", (F.col("_before") + F.col("_n") - 1).cast("long").alias("source_no"))
+    per = checkpoint(numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * repeats))
+    level = water_level(per)
+    return per.select("source", "source_no", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+
+
+def water_level(per: DataFrame) -> float:
+    """Words per weight of the sources whose target stays under its cap, from (source_size, weight, cap).
+
+    The excess of capped sources is reshared by weight until no other one is
+    capped.  Each round is one aggregate; the level only rises.
+    """
+    total, level = per.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        capped = F.col("cap") / F.col("weight") <= F.lit(level)
+        taken, shares = per.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        if not shares:
+            return level
+        raised = (total - (taken or 0)) / shares
+        if raised <= level:
+            return level
+        level = raised
 
 
 def spans(targets: DataFrame) -> DataFrame:
@@ -67,24 +84,28 @@ def spans(targets: DataFrame) -> DataFrame:
 
     quota is the words to take of a source by the word, null where blocks are taken.
     """
-    upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    total, whole = F.sum("source_size").over(everything), F.sum("target").over(everything)
-    sized = targets.withColumn("total", total).withColumn("hi", F.coalesce(F.floor(F.round(F.try_divide(F.sum("target").over(upto), whole), 12) * ONE_32), F.lit(0)))
-    lo = F.coalesce(F.lag("hi").over(Window.orderBy("source_no")), F.lit(0))
-    block = F.greatest(F.lit(1), F.expr(f"(total + {(1 << SLOT_BITS) - 1}) div {1 << SLOT_BITS}"))
+    total, whole, sources = targets.agg(F.sum("source_size"), F.sum("target"), F.count("*")).first()
+    total = total or 0
+    block = min(MOST_BLOCK, max(1, -(-total // (1 << SLOT_BITS))))
+    part = F.expr(f"source_no div {max(1, round((sources or 1) ** 0.5))}")  # rows and parts are both few: the root of the sources
+    summed = with_running_total(targets.withColumn("_part", part), [], "_part", ["source_no"], F.col("target"), "_before")
+    edge = lambda c: F.coalesce(F.floor(F.round(F.try_divide(c, F.lit(whole)), 12) * ONE_32), F.lit(0))
     quota = F.when((F.col("block_words") > 1) & (F.col("target") < FINE * F.col("block_words")), F.round("target").cast("long"))
-    return sized.withColumn("lo", lo).withColumn("block_words", block).withColumn("slots", F.expr("(total + block_words - 1) div block_words")).withColumn("quota", quota)
+    sized = summed.select(
+        "source", "source_no", "source_size", "target", edge(F.col("_before")).alias("lo"), edge(F.col("_before") + F.col("target")).alias("hi"),
+        F.lit(block).cast("long").alias("block_words"), F.lit(-(-total // block)).cast("long").alias("slots"),
+    )
+    return sized.withColumn("quota", quota)
 
 
 def schedule(spanned: DataFrame) -> DataFrame:
     """(slot, source_no, block): slots of a source in order take its blocks in order."""
     spark = spanned.sparkSession
     slots = spanned.agg(F.max("slots")).first()[0] or 0
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"id * {PHI_32} % {ONE_32}").alias("point"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id % {ONE_32}) * {PHI_32} % {ONE_32}").alias("point"))
     points = points.withColumn("bin", F.expr(f"point div {ONE_32 // BINS}"))
     cells = spanned.filter("hi > lo").select("source_no", "lo", "hi", F.explode(F.expr(f"sequence(lo div {ONE_32 // BINS}, (hi - 1) div {ONE_32 // BINS})")).alias("bin"))
-    hits = points.join(cells, "bin").filter("point >= lo and point < hi").select("slot", "source_no", F.expr(f"slot div {max(1, -(-slots // BUCKETS))}").alias("part"))
+    hits = points.join(cells, "bin").filter("point >= lo and point < hi").select("slot", "source_no", F.expr(f"slot div {max(1, min(1 << 22, -(-slots // BUCKETS)))}").alias("part"))
     return with_running_total(hits, ["source_no"], "part", ["slot"], F.lit(1), "block").select("slot", "source_no", "block")
 
 
@@ -99,7 +120,8 @@ def with_running_total(rows: DataFrame, keys: list[str], part: str, order: list,
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select(*keys, part, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(base, [*keys, part]).withColumn(name, F.col("_base") + F.col("_inside")).drop("_value", "_inside", "_base")
+    summed = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(base, [*keys, part])
+    return summed.withColumn(name, F.col("_base") + F.col("_inside")).drop("_value", "_inside", "_base")
 
 
 def positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -147,7 +169,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     cycle = "greatest(0L, least(size, quota - begin - {} * source_size))"
     by_word = F.expr(" + ".join(cycle.format(c) for c in range(repeats)))
-    return placed.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.when(F.col("quota").isNotNull(), by_word).otherwise(F.coalesce("taken", F.lit(0))).cast("long").alias("taken"))
+    words = F.when(F.col("quota").isNotNull(), by_word).otherwise(F.coalesce("taken", F.lit(0))).cast("long")
+    return placed.join(taken, same, "left").select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3) -> DataFrame:
@@ -179,7 +202,7 @@ lv as (select *, cast(sum(source_size) over () - coalesce(sum(cap) over w, 0) as
 wa as (select *, coalesce(max(case when cap / weight > level then level end) over (), max(cap / weight) over ()) as water from lv),
 ta as (select source, source_no, source_size, case when cap / weight <= water then cast(cap as double) else weight * water end as target from wa),
 hi as (select *, cast(sum(source_size) over () as bigint) as total, cast(floor(round(sum(target) over (order by source_no) / sum(target) over (), 12) * {ONE_32}) as bigint) as hi from ta),
-sp as (select *, coalesce(lag(hi) over (order by source_no), 0) as lo, greatest(1, (total + {(1 << SLOT_BITS) - 1}) // {1 << SLOT_BITS}) as bw from hi),
+sp as (select *, coalesce(lag(hi) over (order by source_no), 0) as lo, least({MOST_BLOCK}, greatest(1, (total + {(1 << SLOT_BITS) - 1}) // {1 << SLOT_BITS})) as bw from hi),
 m as (select max(bw) as bw, max((total + bw - 1) // bw) as slots from sp),
 sl as (select slot, slot * {PHI_32} % {ONE_32} as point from (select unnest(range(cast(coalesce(slots, 0) as bigint))) as slot from m)),
 bl as (select source_no, row_number() over (partition by source_no order by slot) - 1 as block from sl join sp on point >= lo and point < hi),

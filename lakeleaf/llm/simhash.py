@@ -6,8 +6,10 @@ weighs min(length, 8) squared, each time it occurs: long words are rare.
 
 Words are exploded and summed per text in one hash aggregate, whose partial
 step meets all words of a text in one task; what is shuffled is a row of sums
-per text.  Two counters of 32 bits share a long, which holds texts of up to
-2**25 words.
+per text.  Two counters of 32 bits share a long.  A word of n letters takes n + 1
+characters and weighs 64 at most, so weights sum to less than 7.2 a character
+and counters hold any text of up to LONGEST characters; in longer ones, which are
+a quarter of Spark's longest string and more, every word weighs 1.
 
 Search within a Hamming radius uses permuted block tables: the fingerprint is
 cut into radius + 1 blocks, each table leads with one of them, and fingerprints
@@ -15,7 +17,8 @@ within the radius must agree on the leading block of at least one table.
 
 Defined cases: null and empty texts have the fingerprint of no votes (zeros);
 equal texts have equal fingerprints; the order of ``with_next`` puts null ids
-last and breaks ties of ids by text.
+last and breaks ties of ids by a hash of the text, then the text.  Other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from .common import WORD, checkpoint, written
 
 BITS = 128
 LANES = 32
-RANGES = 64
+LONGEST = 1 << 29
+#: Cuts per level of two levels of ranges, so RANGES ** 2 buckets at most and 8 * RANGES ** 2 bytes of cuts; parts of a hot id.
+RANGES, PARTS = 256, 256
 ROWS_A_BUCKET = 1000
 
 
 def fingerprints(texts: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     """keys, carried and ``mark`` (struct<hi, lo>) of every row of (keys, carried, body); keys are unique, carried are longs."""
     words = F.regexp_extract_all(F.lower("body"), F.lit(WORD), 0)
-    terms = texts.select(*keys, *carried, F.explode_outer(words).alias("term"))
-    weight = F.least(F.coalesce(F.length("term"), F.lit(0)), F.lit(8)).cast("long")
+    most = F.when(F.length("body") > LONGEST, 1).otherwise(8)
+    terms = texts.select(*keys, *carried, most.alias("most"), F.explode_outer(words).alias("term"))
+    weight = F.least(F.coalesce(F.length("term"), F.lit(0)), F.col("most")).cast("long")
     hashed = terms.select(*keys, *carried, F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"), (weight * weight).alias("w"))
     # SQL text rather than Column calls: hundreds of small expressions are slow to build one by one.
     lane = lambda half, i: F.expr(f"sum((shiftrightunsigned(h{half}, {i}) & {0x0000000100000001}L) * w) as s{half}_{i}")
@@ -62,53 +68,71 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
+def id_range(lows: list[int]) -> Column:
+    """Number of the range of an id: the index of the last start that is not above it; -1 for a null id."""
+    starts = f"array({', '.join(f'cast({x} as bigint)' for x in lows)})" if lows else "cast(array() as array<bigint>)"
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"size(filter({starts}, a -> a <= doc_id)) - 1"))
+
+
+def id_cuts(ids: DataFrame) -> tuple[list[int], DataFrame]:
+    """(starts of ranges of about equally many ids, (range_no, starts, hot)): a range's starts of buckets, and its ids that fill buckets alone.
+
+    Both levels are quantiles, so clustered ids make no bucket larger than others.
+    There are about a bucket per ROWS_A_BUCKET rows, and RANGES ** 2 at most: what
+    comes to the driver is RANGES numbers, and what is broadcast a row of at most
+    RANGES numbers for each range.
+    """
+    known = ids.filter("doc_id is not null")
+    buckets = min(RANGES**2, max(1, known.count() // ROWS_A_BUCKET))
+    ranges = max(1, min(RANGES, round(buckets**0.5)))
+    inner = max(1, -(-buckets // ranges))
+    points = lambda k: f"percentile_approx(doc_id, array({', '.join(str(i / k) for i in range(1, k + 1))}), 10000)"
+    low, cuts = known.agg(F.min("doc_id"), F.expr(points(ranges))).first()
+    lows = sorted({low, *cuts[:-1]}) if cuts else []
+    per_range = known.withColumn("range_no", id_range(lows)).groupBy("range_no").agg(F.min("doc_id").alias("low"), F.expr(points(inner)).alias("cuts"))
+    hot = F.expr("array_distinct(filter(cuts, x -> size(filter(cuts, y -> y = x)) > 1))")
+    starts = F.array_sort(F.array_distinct(F.concat(F.array("low"), F.slice("cuts", 1, max(1, inner - 1)) if inner > 1 else F.array("low"), hot)))
+    return lows, checkpoint(per_range.select("range_no", starts.alias("starts"), hot.alias("hot")))
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """rid, doc_id, text, next_text: the next document by descending id; after the last comes the first.  rid numbers the rows.
 
-    Ids are cut into ranges by their quantiles and each range evenly into
-    buckets of about ROWS_A_BUCKET rows.  Texts are shuffled once, by bucket;
-    the top row of each bucket is also sent to the bucket above, whose last
-    document it follows.  Those few ids are a written table of known size, which
-    Spark broadcasts below its threshold and else joins by sort and merge.
+    Rows are dealt into buckets (range_no, part_no, sub_no) that follow the order
+    of ids.  An id that fills buckets alone, and null, are dealt on by the hash of
+    the text, which orders equal ids.  Texts are shuffled once, by bucket; the
+    first text of each bucket is also sent to the bucket before it, whose last
+    document it follows.  Those few are found by (id, hash) in a written table of
+    known size, which Spark broadcasts below its threshold and else joins by sort
+    and merge.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = documents.select("doc_id")
-    steps = ", ".join(str(i / RANGES) for i in range(1, RANGES))
-    cuts, n, low, high = ids.agg(F.expr(f"percentile_approx(doc_id, array({steps}), 10000)"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    starts = sorted({low, *(cuts or [])}) if n else []
-    rows_a_range = max(1, n // max(1, len(starts)))
-    parts = max(1, rows_a_range // ROWS_A_BUCKET)
-    widths = [] if not starts else [max(1, -(-(b - a) // parts)) for a, b in zip(starts, [*starts[1:], (high or 0) + 1], strict=True)]
-    if starts:
-        lows, steps_ = (F.expr(f"array({', '.join(f'cast({x} as bigint)' for x in xs)})") for xs in (starts, widths))
-        range_no = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(lows, lambda a: a <= F.col("doc_id"))) - 1)
-        part_no = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.floor((F.col("doc_id") - F.get(lows, F.col("range_no"))) / F.get(steps_, F.col("range_no"))))
-    else:
-        range_no, part_no = F.lit(-1), F.lit(0)
-    placed = lambda df: df.withColumn("range_no", range_no).withColumn("part_no", part_no.cast("long"))
-    buckets = placed(ids).groupBy("range_no", "part_no").agg(F.max("doc_id").alias("top"))
-    up = Window.partitionBy("range_no").orderBy("part_no")
-    buckets = buckets.withColumn("above", F.lead("part_no").over(up)).withColumn("first", F.min("part_no").over(Window.partitionBy("range_no")))
-    ranges = buckets.groupBy("range_no").agg(F.first("first").alias("first"))  # RANGES + 1 rows at most
-    ring = Window.orderBy("range_no")
-    ranges = ranges.select(
-        "range_no",
-        F.coalesce(F.lead("range_no").over(ring), F.min("range_no").over(Window.partitionBy())).alias("next_range"),
-        F.coalesce(F.lead("first").over(ring), F.min_by("first", "range_no").over(Window.partitionBy())).alias("next_first"),
-    )
-    tops = written(
-        buckets.join(F.broadcast(ranges), "range_no").select(
-            "top",
-            F.col("range_no").alias("own_range"),
-            F.when(F.col("above").isNull(), F.col("next_range")).otherwise(F.col("range_no")).alias("to_range"),
-            F.coalesce("above", "next_first").alias("to_part"),
-        )
-    )
-    real = placed(rows).select("doc_id", "text", "range_no", "part_no", F.lit(False).alias("ghost"))
-    ghosts = rows.join(tops, rows["doc_id"].eqNullSafe(tops["top"])).select("doc_id", "text", F.col("to_range").alias("range_no"), F.col("to_part").alias("part_no"), F.lit(True).alias("ghost"))
-    order = Window.partitionBy("range_no", "part_no").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
-    numbered = F.row_number().over(order)
-    rid = F.shiftleft((F.col("range_no") + 1).cast("long"), 54).bitwiseOR(F.shiftleft(F.col("part_no"), 32)).bitwiseOR(numbered.cast("long"))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    lows, cuts = id_cuts(documents.select("doc_id"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Adds the bucket.  Larger ranges and parts come first; the smallest id of a bucket, if hot, has the odd part after it."""
+        df = df.withColumn("range_no", id_range(lows)).join(F.broadcast(cuts), "range_no", "left")
+        own = F.coalesce(F.array_contains("hot", F.col("doc_id")), F.lit(False))
+        part_no = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr("2 * size(filter(starts, a -> a <= doc_id))") - own.cast("int"))
+        sub_no = F.when(own | F.col("doc_id").isNull(), F.pmod(F.col("h"), F.lit(PARTS)).cast("int")).otherwise(0)
+        return df.select(*(c for c in df.columns if c not in ("starts", "hot")), part_no.alias("part_no"), sub_no.alias("sub_no"))
+
+    key = ["range_no", "part_no", "sub_no"]
+    buckets = placed(rows.select("doc_id", "h")).groupBy(*key).agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("top"))
+    before = F.lag(F.struct(*key)).over(Window.partitionBy("range_no").orderBy(F.col("part_no").desc(), "sub_no"))
+    buckets = checkpoint(buckets.withColumn("before", before))  # a row per bucket
+    ends = buckets.groupBy("range_no").agg(F.min(F.struct("part_no", (-F.col("sub_no")).alias("s"))).alias("e"))  # RANGES + 1 rows at most
+    ring, everything = Window.orderBy("range_no"), Window.partitionBy()
+    last = F.struct("range_no", F.col("e.part_no").alias("part_no"), (-F.col("e.s")).alias("sub_no"))
+    ends = ends.select("range_no", F.coalesce(F.lead(last).over(ring), F.min_by(last, "range_no").over(everything)).alias("end"))
+    to = F.coalesce("before", "end")
+    tops = written(buckets.join(F.broadcast(ends), "range_no").select(F.col("top.doc_id").alias("top"), F.bitwise_not("top.g").alias("top_h"), to.alias("to")))
+    first = rows.join(tops, rows["doc_id"].eqNullSafe(tops["top"]) & (rows["h"] == tops["top_h"])).groupBy("to").agg(F.min("text").alias("text"))
+    ghosts = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), "to.*", F.lit(True).alias("ghost"))
+    real = placed(rows).select("doc_id", "text", "h", *key, F.lit(False).alias("ghost"))
+    order = Window.partitionBy(*key).orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
+    upper = lambda c, bits: F.shiftleft((F.col(c) + 1).cast("long"), bits)
+    rid = upper("range_no", 53).bitwiseOR(upper("part_no", 43)).bitwiseOR(upper("sub_no", 34)).bitwiseOR(F.row_number().over(order).cast("long"))
     following = real.unionByName(ghosts).withColumn("next_text", F.lead("text").over(order)).withColumn("rid", rid)
     return following.filter("not ghost").select("rid", "doc_id", "text", "next_text")
 

@@ -92,3 +92,24 @@ def test_the_main_path_is_native(spark, small):
     import re
 
     assert not re.search("Python|Pandas|Arrow", mixing.mix(small)._jdf.queryExecution().toString())
+
+
+def test_small_sources_beside_a_huge_one_where_slots_are_at_their_bound(spark, monkeypatch):
+    """With blocks at MOST_BLOCK words the slots grow with the table; every source stays near its target."""
+    monkeypatch.setattr(mixing, "SLOT_BITS", 4)
+    monkeypatch.setattr(mixing, "MOST_BLOCK", 8)
+    monkeypatch.setattr(mixing, "FINE", 16)
+    rows = [(i, "w " * 40, "big") for i in range(600)] + [(1000 + i, "w " * 30, "mid") for i in range(40)] + [(2000, "a b c", "tiny"), (2001, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = df.select("doc_id", "source").join(mixing.mix(df), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in taken:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 8 * 8 + 0.01 * r["max(target)"] and r["sum(taken)"] > 0
+    assert {r["source"]: r["sum(taken)"] for r in taken}["tiny"] == 9
+    assert mixing.spans(mixing.source_targets(mixing.sized_documents(df))).first()["block_words"] == 8
+
+
+def test_sources_are_numbered_by_code_point_null_last(spark):
+    names = ["b", "", "a", "ab", "aa", "é", "Z", "漢字", "a b", None, "aab", "aac"]
+    df = spark.createDataFrame([(n, 5) for n in names], "source string, size long")
+    got = [r["source"] for r in mixing.source_targets(df).orderBy("source_no").collect()]
+    assert got == [*sorted(n for n in names if n is not None), None]

@@ -10,8 +10,9 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 def brute_rows(spark, df):
     """Fingerprints bit by bit, neighbours by a plain sort."""
-    rows = [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
-    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows = sorted(hashed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"] % sh.PARTS if r["doc_id"] is None else 0, r["h"], r["text"].encode()))
+    rows = [(r["doc_id"], r["text"]) for r in rows]
     pairs = []
     for i, (d, t) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
@@ -65,3 +66,23 @@ def test_tables_find_all_within_the_radius(spark):
 def test_the_main_path_is_native(spark, small):
     plan = sh.with_next(small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clustered_and_hot_ids_fill_even_buckets(spark, monkeypatch):
+    """A third of the rows share an id, a third have clustered ids; every row is followed by the next one in order."""
+    monkeypatch.setattr(sh, "ROWS_A_BUCKET", 20)
+    rows = [(500, f"hot {i}") for i in range(400)] + [(10**12 + i, f"near {i}") for i in range(400)] + [(i * 10**9, f"far {i}") for i in range(-200, 200)] + [(None, f"none {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sh.with_next(df).collect()
+    assert len(got) == len(rows) == len({r["rid"] for r in got})
+    following = {r["text"]: r["next_text"] for r in got}
+    seen, at = [], max(rows, key=lambda r: (r[0] is not None, r[0] or 0))[1]
+    for _ in rows:
+        seen.append(at)
+        at = following[at]
+    ids = {t: d for d, t in rows}
+    assert at == seen[0] and len(set(seen)) == len(rows)
+    order = [ids[t] for t in seen]
+    assert order == sorted(order, key=lambda d: (d is None, -(d or 0)))
+    sizes = [r["count"] for r in sh.with_next(df).groupBy((F.col("rid") / 2**34).cast("long")).count().collect()]
+    assert max(sizes) <= 100
