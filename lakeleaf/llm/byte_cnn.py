@@ -11,7 +11,9 @@ reads every text whole, a slice of a document at a time.
 
 Defined cases: a null or empty text is scored as one chunk of padding; equal
 texts have equal scores; without labels of both classes every score is the
-labels' share (0.5 without labels).
+labels' share (0.5 without labels).  Every row gets a score, also rows that
+repeat an id or have none (a null id counts as the empty text for the fold, and
+is never learned from); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_mod
+from .common import bucket_mod, map_batches, slices
 from .labelled import labelled_sample
 
 PAD, DIM, WIDTH, STRIDE, FILTERS, HIDDEN, CHUNK = 256, 8, 8, 2, 24, 16, 512
@@ -77,17 +79,25 @@ class ByteNetwork:
         return np.maximum(pooled @ self.hidden + self.hidden_bias, 0) @ self.out[:-1] + self.out[-1]
 
     def chunk_scores(self, data: np.ndarray) -> np.ndarray:
-        """Chunk scores of a document.  Responses are computed once per position, pooled by half chunks, then by pairs of halves."""
+        """Chunk scores of a document.  Responses are computed once per position, pooled by half chunks, then by pairs of halves.
+
+        Windows that begin in a half and end beyond it belong to a chunk only as its first half.  Responses
+        are never below 0, so zeros fill up the last half.
+        """
         if len(data) <= CHUNK:
             return self.head(self.responses(chunked(data)[0]).max(axis=0)[None])
         half, per_half = CHUNK // 2, CHUNK // 2 // STRIDE
-        ends = []
+        inside = per_half - (WIDTH // STRIDE - 1)
+        firsts, seconds = [], []
         for at in range(0, len(data), SLICE):
             part = data[at : at + SLICE + WIDTH - STRIDE]
             responses = self.responses(np.pad(part, (0, max(0, WIDTH - len(part))), constant_values=PAD))
-            ends.append(np.maximum.reduceat(responses, np.arange(0, len(responses), per_half), axis=0))
-        halves = np.concatenate(ends)[: max(2, len(data) // half)]
-        return self.head(np.append(np.maximum(halves[:-1], halves[1:]), self.responses(data[-CHUNK:]).max(axis=0)[None], axis=0))
+            halves = np.pad(responses, ((0, -len(responses) % per_half), (0, 0))).reshape(-1, per_half, FILTERS)
+            seconds.append(halves[:, :inside].max(axis=1))
+            firsts.append(np.maximum(seconds[-1], halves[:, inside:].max(axis=1)))
+        n = len(range(0, len(data) - CHUNK, half))
+        pooled = np.maximum(np.concatenate(firsts)[:n], np.concatenate(seconds)[1 : n + 1])
+        return self.head(np.append(pooled, self.responses(data[-CHUNK:]).max(axis=0)[None], axis=0))
 
     def responses(self, data: np.ndarray) -> np.ndarray:
         """Rectified filter responses at every STRIDE-th byte: one matrix product per offset, on a table of the embedded bytes."""
@@ -177,12 +187,11 @@ def score_texts(documents: DataFrame, model: ByteNetwork | float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 scores = [model if isinstance(model, float) else model.score(as_bytes(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(scored, SCORES)
+    return map_batches(documents.select("doc_id", "text"), scored, SCORES)
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held_out: int = 0, rows_per_class: int = 1500, max_chars: int = 20_000) -> DataFrame:

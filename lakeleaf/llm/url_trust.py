@@ -7,7 +7,9 @@ pages the rules block (a host that links to blocked hosts is distrusted).
 Both scores are thresholded per host.
 
 Scores are whole numbers (parts per ``SCALE``), so sums do not depend on the
-order of the rows and every rerun gives the same verdicts.
+order of the rows and every rerun gives the same verdicts.  Shares are rounded
+down, and what reaches a host without an edge to follow goes no further: both
+only lower scores (a walk back to the seeds would raise all of them alike).
 
 Defined cases: null urls, and urls without ``://``, have an empty host and path
 and no rule; the empty host takes part in no edge and is allowed.  Null html

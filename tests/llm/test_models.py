@@ -121,9 +121,9 @@ def test_base_rules_equal_brute_force(text):
 def test_a_long_line_counts_whole(tail, name):
     at = line_crf.NAMES.index(name)
     head = "plain small words " * 120
-    assert len(head) > 2000 and not line_crf.line_features(head, False)[at]
-    assert line_crf.line_features(head + tail * 1000, False)[at]
-    assert not line_crf.line_features(tail * 200 + head * 100, False)[at]
+    assert len(head) > 2000 and line_crf.line_features(head, False)[at] == 0
+    assert line_crf.line_features(head + tail * 1000, False)[at] > 0.5
+    assert line_crf.line_features(tail * 200 + head * 100, False)[at] < 0.1
 
 
 @settings(max_examples=200, deadline=None)
@@ -167,13 +167,102 @@ def test_gradient_is_the_slope_of_the_likelihood():
     assert np.isclose((likelihood(weights, steps + move) - likelihood(weights, steps - move)) / 2e-5, by_step[0, 1], atol=1e-4)
 
 
+def test_lines_are_learned_from_document_labels():
+    """Bad documents mix noise with prose; nothing tells which lines are which."""
+    rng = np.random.default_rng(4)
+    prose = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "bridge", "slowly"], 9)) + "."
+    noise = lambda: " ".join("|" + "".join(rng.choice(list("qxzj7"), 5)) + "|" for _ in range(9))
+    texts, good = [], []
+    for i in range(120):
+        good.append(i % 2)
+        clean = set(rng.choice(8, 3, replace=False).tolist())
+        texts.append("\n".join(prose() if i % 2 or line in clean else noise() for line in range(8)))
+    field = line_crf.LineField().fit(texts, good)
+    mixed = "\n".join([prose(), prose(), noise(), noise(), noise(), prose(), prose(), prose()])
+    assert [content for _, content in line_crf.labelled_lines(mixed, field)] == [True, True, False, False, False, True, True, True]
+    assert all(content for _, content in line_crf.labelled_lines(mixed, line_crf.LineField().fit(texts, [1] * len(texts))))
+
+
+def test_decoding_overrules_single_lines(spark, tables):
+    """Neighbours count: over real texts some lines get another label than they would alone."""
+    docs, labels = tables
+    field = line_crf.fit_field(docs, labels)
+    assert field.steps[0, 0] + field.steps[1, 1] > field.steps[0, 1] + field.steps[1, 0]
+    overruled = 0
+    for r in docs.limit(400).collect():
+        _, features, _ = line_crf.text_features(r["text"])
+        if features:
+            overruled += sum(int(m > 0) != v for m, v in zip(field.margins(features), field.viterbi(features), strict=True))
+    assert overruled > 0
+
+
 def test_rules_over_tables(spark, tables, odd, none):
     docs, labels = tables
-    rules = line_crf.apply_rules(docs).cache()
+    field = line_crf.fit_field(docs, labels)
+    rules = line_crf.apply_rules(docs, field).cache()
     assert rules.count() == docs.count()
-    seen = rules.join(labels, "doc_id").filter("not base_failed")
+    seen = rules.join(labels, "doc_id").filter("not base_failed and crc32(cast(doc_id as string)) % 5 = 0")  # never learned from
     good, bad = seen.filter("quality = 1"), seen.filter("quality = 0")
-    assert good.filter("kept").count() > 0.97 * good.count() and bad.filter("kept").count() < 0.1 * bad.count()
+    assert bad.count() >= 3 and good.filter("kept").count() > 0.97 * good.count() and bad.filter("kept").count() < 0.1 * bad.count()
     for r in odd.collect()[:5] + odd.collect()[6:]:
         assert line_crf.judge(r["text"], line_crf.LineField())[:5] == tuple(brute_rules(r["text"]))
-    assert line_crf.apply_rules(odd).count() == odd.count() and line_crf.apply_rules(none).count() == 0
+    assert line_crf.apply_rules(odd, field).count() == odd.count() and line_crf.apply_rules(none, field).count() == 0
+    plain = line_crf.fit_field(docs, labels.limit(0))
+    assert not plain.weights.any() and plain.viterbi([[0.5] * len(line_crf.NAMES)] * 3) == [0, 0, 0]
+    assert sorted(r["doc_id"] for r in line_crf.with_quality(docs, field).collect()) == sorted(r["doc_id"] for r in rules.filter("kept").collect())
+
+
+def test_network_equals_a_plain_convolution():
+    """Chunk by chunk, position by position, filter by filter."""
+    rng = np.random.default_rng(8)
+    net = byte_cnn.ByteNetwork.fresh(rng)
+    net.bias, net.hidden_bias = rng.normal(size=net.bias.shape).astype(np.float32), rng.normal(size=net.hidden_bias.shape).astype(np.float32)
+    for n in (0, 5, 512, 513, 900, 1300, byte_cnn.SLICE + 700):
+        data = rng.integers(0, 256, n).astype(np.int16)
+        want = []
+        for chunk in byte_cnn.chunked(data)[-6:]:
+            pooled = np.full(byte_cnn.FILTERS, -np.inf)
+            for at in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+                window = np.concatenate([net.embed[b] for b in chunk[at : at + byte_cnn.WIDTH]])
+                pooled = np.maximum(pooled, np.maximum(window @ net.filters + net.bias, 0))
+            hidden = np.maximum(pooled @ net.hidden + net.hidden_bias, 0)
+            want.append(hidden @ net.out[:-1] + net.out[-1])
+        got = net.chunk_scores(data)
+        assert len(got) == len(byte_cnn.chunked(data)) and np.allclose(got[-6:], want, atol=1e-3)
+
+
+def test_rate_solves_the_equation_of_the_extreme_value_law():
+    rng = np.random.default_rng(6)
+    for scores in (rng.normal(-1, 1, 4000), np.array([1.0, -1.0, -1.0]), np.array([2.0, -0.5, -0.5, -3.0])):
+        assert np.isclose(np.exp(toxicity.rate_of(scores) * scores).mean(), 1, atol=1e-6)
+    assert np.isclose(toxicity.rate_of(np.array([1.0, -1.0, -1.0])), np.log(2))  # exp(x) + 2 exp(-x) = 3
+    assert toxicity.rate_of(np.array([1.0, 2.0])) == toxicity.rate_of(np.array([-1.0])) == 1.0
+
+
+def test_significance_holds_on_random_texts():
+    """Of clean texts that were not calibrated on, about ``level`` have a significant segment; of planted passages most do."""
+    rng = np.random.default_rng(7)
+    words = {f"w{i}": float(s) for i, s in enumerate(rng.normal(0, 0.8, 300))}
+    model = toxicity.ToxicityModel(words | {"bad": 3.0}, {}, drift=0.7)
+    text = lambda: [f"w{i}" for i in rng.integers(0, 300, 200)]
+    texts = [text() for _ in range(400)]
+    toxic = [[*t[:90], "bad", "bad", "bad", *t[90:]] for t in texts[:50]]
+    toxicity.calibrate(model, texts + toxic, np.array([0] * 400 + [1] * 50), 0.1)
+    assert np.mean([bool(model.scan(text())) for _ in range(600)]) < 2.5 * model.level
+    assert np.mean([bool(model.scan([*(t := text())[:50], "bad", "bad", "bad", *t[50:]])) for _ in range(100)]) > 0.9
+
+
+def test_constants_are_chosen_by_the_training_rows_alone(spark, tables):
+    docs, labels = tables
+    held = "crc32(cast(doc_id as string)) % 4 = 2"
+    changed = labels.selectExpr("doc_id", "quality", f"if({held}, 1 - toxic, toxic) as toxic")
+    a, b = (toxicity.fit_toxicity(docs, x) for x in (labels, changed))
+    assert (a.drift, a.rate, a.log_k) == (b.drift, b.rate, b.log_k) and a.words == b.words and (a.combine == b.combine).all()
+
+
+def test_filters_keep_all_columns(spark, odd, tables):
+    docs, labels = tables
+    model = toxicity.fit_toxicity(docs, labels)
+    kept = toxicity.without_toxic(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(model.score(r["text"]) < 0.3 for r in odd.collect())
+    assert toxicity.without_toxic(odd, 0.9).count() == 0 and toxicity.without_toxic(odd.limit(0), model).count() == 0

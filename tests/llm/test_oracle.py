@@ -55,3 +55,31 @@ def test_trust_reaches_hosts_behind_more_than_ten_links(spark):
         want[f"h{i + 1:02}"] = want[f"h{i:02}"] * 85 // 100
     assert {r["host"]: r["score"] for r in url_trust.propagate(seeds, edges).collect()} == want
     assert len(url_trust.propagate(seeds, edges, iterations=3).collect()) == 4
+
+
+def test_walks_equal_power_iteration_on_a_random_graph(spark):
+    """3000 hosts, links to a few hubs and at random, dangling hosts; floating point by matrix against whole numbers."""
+    import numpy as np
+
+    from lakeleaf.llm import url_trust
+
+    rng, n = np.random.default_rng(11), 3000
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n, (9000, 2)) if a != b and a % 7} | {(int(a), int(a) % 20) for a in rng.integers(20, n, 1500) if a % 7}
+    pages = {link: int(rng.integers(1, 4)) for link in links}
+    seeds = {("trust", int(i)): int(rng.integers(1, 10**6)) for i in rng.choice(n, 40, replace=False)} | {("distrust", int(i)): 10**6 for i in rng.choice(n, 40, replace=False)}
+    seed_df = spark.createDataFrame([(k, f"h{i}", s) for (k, i), s in seeds.items()], "kind string, host string, score long")
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", p) for (a, b), p in pages.items()], "src string, dst string, pages long")
+    got = {(r["kind"], r["host"]): r["score"] for r in url_trust.propagate(seed_df, edges).collect()}
+    for kind in ("trust", "distrust"):
+        step = np.zeros((n, n))
+        for (a, b), p in pages.items():
+            step[(b, a) if kind == "trust" else (a, b)] += p
+        step /= np.maximum(step.sum(axis=0), 1)
+        base = np.zeros(n)
+        for (k, i), s in seeds.items():
+            base[i] += 0.15 * s * (k == kind)
+        want = base
+        for _ in range(200):
+            want = base + 0.85 * step @ want
+        found = np.array([got.get((kind, f"h{i}"), 0) for i in range(n)])
+        assert (found <= want + 1e-6).all() and (want - found < 60 + 0.02 * want).all() and (found > 1000).sum() > 100

@@ -17,7 +17,7 @@ def test_equals_a_plain_version(spark, tmp_path):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in rows if (model if isinstance(model, float) else model.score(r[1])) < 0.3]
-    field = line_crf.fit_field(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    field = line_crf.fit_field(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in rows if line_crf.judge(r[1], field)[6]]
     verdicts = brute([r[:2] for r in rows], 5, 80)
     rows = [r for r in rows if verdicts[r[0]][1] == r[0]]
