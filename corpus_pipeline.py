@@ -1,17 +1,20 @@
 """Training-corpus pipeline: toxicity, quality rules, near-dedup, mixing, packing.
 
 Each stage is written as Parquet and read again as the next one's documents.
+
+Defined cases, by stage: null and empty texts get the toxicity score of texts
+without segments, and fail the base quality rules; a row with a null doc_id is
+linked with nothing and stays through near-dedup; rows that repeat an id stay or
+go by their own texts, but share a verdict in mixing; a null source is a source
+of its own; an empty table gives empty stages.  Other columns are left out.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakeleaf.llm import line_crf, mixing, near_dedup, packing, toxicity
-from lakeleaf.llm.common import shared_dir, table
+from lakeleaf.llm.common import drop, scratch, table
 from lakeleaf.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,12 +23,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score reaches 0.3; learns from the labels beside the tables."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.select(*COLUMNS).filter(~toxicity.is_toxic(spark, model)(F.col("text")))
+    return toxicity.without_toxic(docs.select(*COLUMNS), model)
 
 
 def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or hold less content than boilerplate."""
-    return docs.select(*COLUMNS).filter(line_crf.is_kept(line_crf.fit_field(docs))(F.col("text")))
+    """Rejects documents that fail the base rules or hold less content than boilerplate; learns from the labels beside the tables."""
+    field = line_crf.fit_field(docs, table(spark, sf_dir, "labels"))
+    return line_crf.with_quality(docs.select(*COLUMNS), field)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents; a stage's rows are removed once the next stage has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        folder = scratch(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/rows")
+        docs = spark.read.parquet(f"{folder}/rows")
+        if before:
+            drop(spark, before)
+        before = folder
     return docs
