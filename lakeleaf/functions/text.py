@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from . import udfs as U
 
 W = r"[\p{L}\p{N}_]"
 WORDS = r"[\p{L}\p{N}_]+"
@@ -76,7 +77,8 @@ def chunk_ok(c: Column, tamil: bool = True) -> Column:
 
 
 def sanitize(c: Column) -> Column:
-    """Controls, quotes, rulers, fences and runs of blanks (O-161), without NFC."""
+    """NFC, then controls, quotes, rulers, fences and runs of blanks (O-161)."""
+    c = U.nfc(c)
     steps = (
         (r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]", ""),
         (r"[\"']", ""),
@@ -91,7 +93,8 @@ def sanitize(c: Column) -> Column:
 
 
 def truncate(c: Column, most: int = L.MAX_QUERY) -> Column:
-    """At most so many characters, cut at the last space if that is past half (O-162)."""
+    """Sanitised, at most so many characters, cut at the last space if that is past half (O-162)."""
+    c = sanitize(c)
     head = F.substring(c, 1, most)
     last = F.length(head) - F.instr(F.reverse(head), " ")
     cut = F.when((F.instr(head, " ") > 0) & (last > most // 2), F.substring(head, F.lit(1), last)).otherwise(head)
@@ -177,6 +180,7 @@ def safe_to_correct(a: Column, b: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
+    """Tamil, Latin and digit runs of two characters and more that are no stop words; the caller gives NFC text (O-168)."""
     found = matches(F.lower(c), r"[\x{0B80}-\x{0BFF}a-z0-9]+")
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*L.STOP_WORDS))
 

@@ -93,6 +93,20 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio(a: pd.Series, names: pd.Series) -> pd.Series:
+    """The largest ratio of a text to one of several names."""
+    return pd.Series([max((ratio_of(x, n) for n in ns), default=0.0) for x, ns in zip(a, names, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def least_best_ratio(wanted: pd.Series, names: pd.Series) -> pd.Series:
+    """The smallest of the largest ratios that each wanted text has to one of the names; 0 without names."""
+    none = lambda x: x is None or not len(x)
+    best = lambda w, ns: max(ratio_of(w, n) for n in ns)
+    return pd.Series([0.0 if none(ns) or none(ws) else min(best(w, ns) for w in ws) for ws, ns in zip(wanted, names, strict=True)], dtype=float)
+
+
 @F.pandas_udf(DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
-
-ALIASES = {"author": "authors", "Author": "authors", "title": "title", "Title": "title", "heading": "title"}
-
+from .understanding import TITLE_SUFFIXES
 
 def clean(catalog: DataFrame) -> DataFrame:
     """Author cells trimmed, rows without an author dropped, titles trimmed (O-010)."""
@@ -134,9 +134,10 @@ def author_matches(search: str, cell: Column) -> Column:
         tokens = ~want.rlike(mixed) & ~have.rlike(mixed) & (F.size(long(want)) > 0) & F.forall(long(want), lambda t: F.array_contains(long(have), t))
         return (have != "") & ((want == have) | part | alias | tokens | T.within_one_edit(want, have))
 
-    # The similarity UDF cannot run inside a lambda; one name a cell is compared as a whole.
-    whole = ratio(want, T.author_key(U.nfc(cell))) >= 0.95
-    return (want != "") & (F.exists(T.authors_of(U.nfc(cell)), one) | (whole & (F.size(T.authors_of(cell)) > 0)))
+    # The similarity UDF cannot run inside a lambda, so it takes the cell's array and compares name by name.
+    keys = F.transform(T.authors_of(U.nfc(cell)), T.author_key)
+    alike = U.best_ratio(want, F.coalesce(keys, F.array().cast("array<string>"))) >= 0.95
+    return (want != "") & (F.exists(T.authors_of(U.nfc(cell)), one) | alike)
 
 
 def articles_of_author(catalog: DataFrame, name: str) -> DataFrame:
@@ -155,41 +156,69 @@ def issue_contents(catalog: DataFrame, volume: int, issue: int) -> DataFrame:
     return catalog.filter((F.expr("try_cast(volume as double)") == volume) & (F.expr("try_cast(issue as double)") == issue))
 
 
+def topic_text(topic: str, suffixes: tuple[str, ...] = TITLE_SUFFIXES) -> str:
+    """A topic without content-type words at its end, possessives, quotes and question marks (O-145a)."""
+    out = topic
+    for s in suffixes:
+        out = re.sub(rf"\s*{re.escape(s)}\s*$", "", out.strip(), flags=re.IGNORECASE)
+    return re.sub("['\"?]", "", without_possessive(out)).strip()
+
+
+def without_possessive(text: str) -> str:
+    """``text.without_possessive`` of one string on the driver."""
+    for suffix, by in L.POSSESSIVES:
+        text = re.sub(rf"{suffix}(?=\s|$)", by, text)
+    for suffix in L.POSSESSIVES_AFTER_TAMIL:
+        text = re.sub(rf"([\u0B80-\u0BFF]){suffix}(?=\s|$)", r"\1", text)
+    return text
+
+
 def by_topic(catalog: DataFrame, topic: str) -> DataFrame:
-    """The first of seven stages that finds something for a topic (O-145): adds stage and score.
+    """The first of the stages that finds something for a topic (O-145): adds stage and ratio.
 
     All stages are computed in one pass over the catalogue; a stage over its row
     guard counts as empty.
     """
-    q = topic.lower().strip().strip("?'\"").strip()
+    q = topic_text(topic).lower()
     words = q.split()
-    tamil = [w for w in words if sum("஀" <= c <= "௿" for c in w) >= 5]
+    runs = re.findall("[\u0B80-\u0BFF]+", q)
     title = F.lower(F.col("title"))
     contains = lambda w: F.contains(title, F.lit(w))
     everything = lambda ws: F.lit(bool(ws)) & _all([contains(w) for w in ws])
-    tokens = F.split(title, r"(?U)\s+")
+    tokens = T.matches(title, r"[\x{0B80}-\x{0BFF}]+|[a-zA-Z]+")
     some = [w for w in words if len(w) >= 3]
     hits = sum((F.array_contains(tokens, w).cast("int") for w in some), F.lit(0))
     stages: list[tuple[str, Column, int | None]] = [
         ("1", F.lit(bool(q)) & contains(q), None),
         ("2", F.lit(len(words) >= 2) & everything(words), None),
-        ("2b", F.lit(len(words) > 2) & (hits >= max(2, int(0.6 * len(some)))), 8),
+        ("2b", F.lit(len(words) > 2 and len(some) >= 2) & (hits >= max(2, int(0.6 * len(some)))), 8),
     ]
-    longest = max((w for w in words if sum("஀" <= c <= "௿" for c in w) >= 6), key=len, default=None)
+    longest = max((w for w in words if re.search("[\u0B80-\u0BFF]{6,}", w)), key=len, default=None)
     stages.append(("3", contains(longest) if longest else F.lit(False), 10))
-    base = max(tamil, key=len, default="")
+    base = max((w for w in runs if len(w) >= 5), key=len, default="")
     stages += [(f"3b{i:03}", contains(base[:i] + base[i + 1 :]), 8) for i in range(len(base))]
-    ratio = U.ratio(F.lit(q), title)
-    stages.append(("4", ratio >= 0.72, None))
+    # Stage 4: the whole title, or every long token of the topic has one of the title; the latter counts a little less.
+    asked = [w for w in runs if len(w) >= 4]
+    by_token = 0.95 * U.least_best_ratio(F.array(*map(F.lit, asked)), F.filter(T.matches(F.col("title"), r"[\x{0B80}-\x{0BFF}]+"), lambda t: F.length(t) >= 4)) if asked else F.lit(0.0)
+    whole = U.ratio(F.lit(q), F.col("title"))
+    rows = catalog.withColumn("_whole", whole).withColumn("_token", by_token)
+    rows = rows.withColumn("ratio", F.when(F.col("_whole") >= 0.72, F.col("_whole")).when(F.col("_token") >= 0.95 * 0.79 - 1e-12, F.col("_token")).otherwise(F.col("_whole")))
+    stages.append(("4", (F.col("_whole") >= 0.72) | (F.col("_token") >= 0.95 * 0.79 - 1e-12), None))
     long = [w for w in words if len(w) >= 5]
     stages.append(("5", everything(long) if len(long) >= 2 else F.lit(False), None))
     stages.append(("5s", contains(long[0]) if len(long) == 1 and len(long[0]) >= 7 else F.lit(False), 5))
-    rows = catalog.withColumn("ratio", ratio).withColumn("_hits", F.array(*(p for _, p, _ in stages)))
+    rows = rows.withColumn("_hits", F.array(*(p for _, p, _ in stages)))
     counts = rows.agg(*(F.count_if(F.get("_hits", F.lit(i))).alias(f"c{i}") for i in range(len(stages)))).first()
+    rest = ("_hits", "_whole", "_token")
     for i, (name, _, guard) in enumerate(stages):
         if counts[f"c{i}"] and (guard is None or counts[f"c{i}"] <= guard):
-            return rows.filter(F.get("_hits", F.lit(i))).drop("_hits").withColumn("stage", F.lit(name[:2])).orderBy(F.col("ratio").desc(), "title")
-    return rows.filter("false").drop("_hits").withColumn("stage", F.lit(None).cast("string"))
+            return rows.filter(F.get("_hits", F.lit(i))).drop(*rest).withColumn("stage", F.lit(name[:2])).orderBy(F.col("ratio").desc(), "title")
+    return rows.filter("false").drop(*rest).withColumn("stage", F.lit(None).cast("string"))
+
+
+def suggestion(catalog: DataFrame, topic: str, least: float = 0.70) -> DataFrame:
+    """The most similar title for a topic that finds nothing (O-145i)."""
+    return nearest(catalog, "title", topic_text(topic), least)
 
 
 def _all(parts: list[Column]) -> Column:

@@ -91,7 +91,7 @@ def permutation_p(differences: np.ndarray, draws: int = 10_000, seed: int = 12_3
     if not len(d) or not d.any():
         return 1.0
     signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(draws, len(d)))
-    extreme = int((np.abs((signs * d).mean(axis=1)) >= abs(d.mean()) - 1e-12).sum())
+    extreme = int((np.abs((signs * d).mean(axis=1)) >= abs(d.mean())).sum())
     return (extreme + 1) / (draws + 1)
 
 
@@ -107,3 +107,48 @@ def permutation_tests(metrics: DataFrame, metric: str, base: str) -> DataFrame:
 
     return paired.groupBy("system").applyInPandas(tested, "system string, difference double, p_value double")
 
+
+
+def ready(samples: DataFrame) -> DataFrame:
+    """Samples with both answers (O-071)."""
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return samples.filter(filled("human_answer") & filled("llm_answer"))
+
+
+def evaluated(samples: DataFrame, similarity) -> DataFrame:
+    """Metrics of every ready sample with its question and category (O-083, O-238).
+
+    ``similarity(human column, answer column)`` is the hook for unit vectors' cosine (O-232).
+    """
+    pairs = ready(samples).select("id", F.col("human_answer").alias("human"), F.col("llm_answer").alias("answer"))
+    scored = answer_metrics(pairs.withColumn("similarity", similarity(F.col("human"), F.col("answer"))))
+    return scored.drop("human", "answer").join(samples.select("id", "question", "category"), "id")
+
+
+def report(samples: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row: total, evaluated and skipped samples and the mean of every metric, 0 without any (O-112)."""
+    names = ("similarity", "bleu_1", "bleu_2", "rouge_l", "composite")
+    means = metrics.agg(F.count("*").alias("evaluated"), *(F.coalesce(F.avg(n), F.lit(0.0)).alias(f"avg_{n}") for n in names))
+    total = samples.agg(F.count("*").alias("total"))
+    return total.crossJoin(F.broadcast(means)).withColumn("skipped", F.col("total") - F.col("evaluated"))
+
+
+def article_key(volume, issue, title):
+    """'volume || issue || title', each trimmed (O-229)."""
+    return F.concat_ws(" || ", *(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (volume, issue, title)))
+
+
+def article_snippets(points: DataFrame, most: int = 900) -> DataFrame:
+    """(doc_key, author, snippet) of article points: chunks by number, their first characters, the first author that is not empty (O-229)."""
+    rows = points.filter(F.col("type") == "article").withColumn("doc_key", article_key("volume", "doc_issue", "title"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda c: c["content"]), " ")
+    author = F.min_by("author", F.when(F.trim("author") != "", F.col("chunk_id")))
+    return rows.groupBy("doc_key").agg(F.coalesce(author, F.lit("")).alias("author"), F.substring(body, 1, most).alias("snippet"))
+
+
+def built_judgements(pool: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qrels, reviews) from a pool (qid, doc_key, place) and a judge's replies (qid, pool_size, reply): grades above 0, and rows for people (O-231)."""
+    grades = parsed_grades(replies).select("qid", (F.col("position") + 1).alias("place"), F.col("gain").alias("llm_gain"))
+    graded = pool.join(grades, ["qid", "place"], "left").withColumn("llm_gain", F.coalesce("llm_gain", F.lit(0)))
+    reviews = graded.select("qid", "doc_key", "llm_gain", F.lit("").alias("human_gain"), F.col("place").alias("row_no"))
+    return graded.filter("llm_gain > 0").select("qid", "doc_key", F.col("llm_gain").alias("gain")), reviews

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs as U
 
 DIGEST_CHARS = 200
 
@@ -43,7 +44,7 @@ def heading_matches(phrases: Column, heading: Column) -> Column:
 
 def pin_headings(ranking: DataFrame, top: int = 30) -> DataFrame:
     """Documents whose heading has a phrase of the question come first, up to ``top``; the rest keep their order (O-129)."""
-    rows = ranking.withColumn("_hit", heading_matches(T.phrases(F.col("question")), F.col("heading")))
+    rows = ranking.withColumn("_q", U.nfc(F.col("question"))).withColumn("_hit", heading_matches(T.phrases(F.col("_q")), F.col("heading"))).drop("_q")
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("qid", "_hit").orderBy("rank"))).withColumn("_m", F.count_if("_hit").over(Window.partitionBy("qid")))
     rest = F.greatest(F.lit(0), F.lit(top) - F.col("_m"))
     bucket = F.when(F.col("_hit"), F.when(F.col("_nth") <= top, 0).otherwise(2)).otherwise(F.when(F.col("_nth") <= rest, 1).otherwise(3))
@@ -53,7 +54,7 @@ def pin_headings(ranking: DataFrame, top: int = 30) -> DataFrame:
 
 def clear_winners(ranking: DataFrame, most: int = 3) -> DataFrame:
     """1 to ``most`` documents with a question phrase in the heading are the answer, with score 1 (O-130)."""
-    hits = ranking.filter(heading_matches(T.phrases(F.col("question")), F.col("heading")))
+    hits = ranking.withColumn("_q", U.nfc(F.col("question"))).filter(heading_matches(T.phrases(F.col("_q")), F.col("heading"))).drop("_q")
     hits = hits.withColumn("_m", F.count("*").over(Window.partitionBy("qid"))).filter(F.col("_m") <= most)
     return hits.drop("_m").withColumn("rerank_score", F.lit(1.0))
 
@@ -105,13 +106,19 @@ def extractive_answer(facts: DataFrame, top: int = 5) -> DataFrame:
     return joined.withColumn("answer", F.when(F.col("answer").rlike(r"[.!?।]$"), F.col("answer")).otherwise(F.concat("answer", F.lit("."))))
 
 
-def contexts(ranking: DataFrame, first: int = 15, budget: int = 15_000, least: int = 500) -> DataFrame:
-    """(qid, context): numbered headers and excerpts within a budget shared evenly (O-138)."""
-    rows = ranking.filter(F.col("rank") <= first).withColumn("_n", F.count("*").over(Window.partitionBy("qid"))).withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-    share = F.greatest(F.lit(least), F.expr(f"{budget} div _n"))
-    part = F.concat(F.lit("["), F.col("_i"), F.lit("] "), F.coalesce("heading", F.lit("")), F.lit("\n"), F.substring(F.col("content"), F.lit(1), share.cast("int")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_i"), part.alias("part")))), lambda p: p["part"]), "\n\n")
-    return rows.groupBy("qid").agg(body.alias("context"))
+def contexts(ranking: DataFrame, first: int = 15, budget: int = 15_000, least: int = 500, pattern: str = r"[\x{0B80}-\x{0BFF}]{3,}|[a-z]{4,}") -> DataFrame:
+    """(qid, context, documents): a first line, then numbered headers with the best excerpts, within a budget shared evenly (O-138)."""
+    rows = ranking.filter(F.col("rank") <= first).withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).withColumn("_words", F.array_distinct(T.matches(F.lower("question"), pattern)))
+    # The share depends on the number of documents, of which there are ``first`` at most.
+    excerpt = F.lit(None).cast("string")
+    for n in range(1, first + 1):
+        excerpt = F.when(F.col("_n") == n, T.best_excerpt(F.col("content"), F.col("_words"), max(least, budget // n))).otherwise(excerpt)
+    title = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit(" — "), F.col("heading"))).otherwise("")
+    part = F.concat(F.lit("ஆவணம் "), F.col("_i"), F.lit("/"), F.col("_n"), title, F.lit(":\n"), F.coalesce(excerpt, F.lit("")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_i"), part.alias("part")))), lambda p: p["part"])
+    head = F.concat(F.lit("["), F.first("_n"), F.lit(" ஆவணங்கள் — ஒவ்வொன்றின் தகவலையும் பயன்படுத்தவும்]\n"))
+    return rows.groupBy("qid").agg(F.array_join(F.concat(F.array(head), parts), "\n\n").alias("context"), F.first("_n").alias("documents"))
 
 
 def first_and_last(rows: DataFrame, order: list, ends: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..session import checkpoint
 
 BEST = lambda k: [F.col("score").desc(), F.col(k)]
 
@@ -16,22 +17,27 @@ def ranked(scored: DataFrame, key: str, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*BEST(key)))).filter(F.col("rank") <= limit)
 
 
-def postings(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl)"""
+def postings(documents: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, dl, term, tf) of the given terms, and a row with the term '' per document, which carries its length.
+
+    One scan and one tokenisation: totals, document frequencies and term
+    frequencies all come from this table.  Other terms are dropped before the shuffle.
+    """
     found = documents.select(key, T.tokens(F.col("text")).alias("terms"))
-    return found.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    rows = found.select(key, F.coalesce(F.size("terms"), F.lit(0)).alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("terms", F.array()))).alias("term"))
+    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    return rows.join(wanted, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(documents: DataFrame, queries: DataFrame, limit: int = 10, k1: float = L.BM25_K1, b: float = L.BM25_B) -> DataFrame:
     """(qid, doc_id, score, rank) for queries (qid, text); each distinct query term counts once (O-121).
 
-    Terms no query has are dropped before postings are counted: the semi-join by term comes first.
+    The postings of the query terms are checkpointed and read three times.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    rows = documents.select("doc_id", T.tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    totals = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    held = rows.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = checkpoint(queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
+    known = checkpoint(postings(documents, asked))
+    totals = known.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    held = known.filter("term <> ''")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     # One row of totals: its size is fixed, so it is broadcast.
     weighed = held.join(df, "term").crossJoin(F.broadcast(totals))
@@ -103,8 +109,3 @@ def merge_chunks(hits: DataFrame, points: DataFrame, min_words: int = 50) -> Dat
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "_title", "content"))), lambda c: c["content"]), " ")
     merged = found.groupBy("qid", *keys, "title", "score").agg(T.strip(F.regexp_replace(body, r"(?U)\s+", " ")).alias("content"), F.count("*").alias("chunk_count"))
     return merged.withColumn("word_count", T.word_count(F.col("content"))).filter(F.col("word_count") >= min_words)
-
-
-def expect_scores(texts: DataFrame, scorer) -> DataFrame:
-    """Hook for a model: ``scorer(query column, text column)`` gives a score column (O-131, O-250)."""
-    return texts.withColumn("rerank_score", scorer(F.col("question"), F.col("document")))

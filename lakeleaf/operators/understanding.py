@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# --- Fixed values: they must equal those of the semantics this engine implements. ---
+# --- Fixed values: they must equal those of the semantics this engine implements.  Phrases with the publication's name are the caller's. ---
 
 YEAR_WORDS = ("எந்த ஆண்டு", "ஆண்டு", "வெளியான ஆண்டு")
 CONTENT_WORDS = (
@@ -34,20 +34,42 @@ LIST_AUTHORS = (
     "all contributors",
 )
 TOPIC_AUTHOR = (
-    "யார் எழுதிய", "யார் எழுதினார்", "யார் எழுதியது", "யார் எழுதியவர்", "யார் இயற்றியவர்", "எழுதியவர் யார்", "எழுதியது யார்", "யார் படைத்தார்",
-    "படைத்தவர் யார்", "ஆசிரியர் யார்", "எழுத்தாளர் யார்", "ஆசிரியர்?", "கட்டுரையின் ஆசிரியர்", "கதையின் ஆசிரியர்", "கவிதையின் ஆசிரியர்",
-    "பாடலின் ஆசிரியர்", "தொடரின் ஆசிரியர்", "நாவலின் ஆசிரியர்", "தலைப்பின் ஆசிரியர்", "படைப்பின் ஆசிரியர்", "பகுதியின் ஆசிரியர்", "பகுதி ஆசிரியர்",
-    "நூலின் ஆசிரியர்", "நூலை எழுதியவர்", "பாடியவர் யார்", "இயற்றியவர் யார்", "இசையமைத்தவர்", "எழுதியவரின் பெயர்", "எழுதியவர்", "எழுதியவரின்",
-    "ஆசிரியரின் பெயர்", "எழுத்தாளரின் பெயர்", "படைத்தவரின் பெயர்", "இயற்றியவரின் பெயர்", "பாடியவரின் பெயர்", "பகுதியை எழுதியவர்", "ஆசிரியர் என்ன",
-    "ஆசிரியர் எவர்", "பற்றிய படைப்புகள்", "பற்றிய கட்டுரைகள்", "தொடர்பான படைப்புகள்", "தொடர்பான கட்டுரைகள்", "பற்றி படைப்புகள்", "who wrote",
-    "who is the author", "author of", "written by", "who composed", "composer of", "who penned", "penned by", "who created", "creator of",
-    "who authored", "name of the author", "name of the writer", "who is the writer", "writer of",
+    "யார் எழுதிய", "யார் எழுதினார்", "யார் எழுதியது", "யார் எழுதியவர்", "யார் இயற்றியவர்", "எழுதியவர் யார்", "எழுதியது யார்",
+    "எழுதியவத் யார்", "யார் படைத்தார்", "படைத்தவர் யார்", "ஆசிரியர் யார்", "எழுத்தாளர் யார்", "ஆசிரியர்?", "அசிரியர் யார்",
+    "கட்டுரையின் ஆசிரியர்", "கதையின் ஆசிரியர்", "கவிதையின் ஆசிரியர்", "பாடலின் ஆசிரியர்", "தொடரின் ஆசிரியர்", "நாவலின் ஆசிரியர்",
+    "தலைப்பின் ஆசிரியர்", "படைப்பின் ஆசிரியர்", "பகுதியின் ஆசிரியர்", "பகுதி ஆசிரியர்", "நூலின் ஆசிரியர்", "நூலை எழுதியவர்",
+    "பாடியவரின் பெயர்", "பாடியவர் யார்", "பாடியவர் பெயர்", "இயற்றியவர் யார்", "இயற்றியவர் பெயர்", "இயற்றியவரின் பெயர்", "இயற்றியவர் யாவர்",
+    "இயற்றியவர் எவர்", "இசையமைத்தவர்", "இசையமைத்தவர் யார்", "எழுதியவரின் பெயர்", "எழுதியவர்", "எழுதியவரின்", "ஆசிரியரின் பெயர்",
+    "ஆசிரியரின் பெயர் என்ன", "எழுத்தாளரின் பெயர்", "எழுத்தாளரின் பெயர் என்ன", "படைத்தவரின் பெயர்", "படைத்தவரின் பெயர் என்ன",
+    "இயற்றியவரின் பெயர் என்ன", "பாடியவரின் பெயர் என்ன", "யார் இந்த கதை எழுதினார்", "யார் இந்த கவிதை எழுதினார்",
+    "யார் இந்த கட்டுரை எழுதினார்", "பகுதியை எழுதியவர்", "பகுதியை இயற்றியவர்", "நெடுவரிசையின் ஆசிரியர்", "நெடுவரிசை ஆசிரியர்",
+    "தொடரை எழுதியவர்", "தொடரை இயற்றியவர்", "எனும் பகுதியில் எழுதிய ஆசிரியர்", "என்னும் பகுதியில் எழுதிய ஆசிரியர்",
+    "பகுதியில் எழுதிய ஆசிரியர்", "பகுதியில் எழுதியவர்களைப் பட்டியலிடுக", "பகுதியில் எழுதியவர்கள்", "பகுதியில் எழுதியவர் பெயர்",
+    "பகுதியில் எழுதிய எழுத்தாளர்", "பகுதியில் எழுதிய ஆசிரியர் பெயர்", "பகுதி எழுதிய ஆசிரியர்", "ஆசிரியர் என்ன", "ஆசிரியர் எவர்",
+    "அதிகம் இயற்றியவர்", "அதிகமாக இயற்றியவர்", "அதிகம் எழுதியவர்", "அதிகமாக எழுதியவர்", "அதிகம் படைத்தவர்", "அதிகமாக படைத்தவர்",
+    "அதிக படைப்புகள் உள்ளவர்", "அதிக கட்டுரை எழுதியவர்", "குறித்து கட்டுரை எழுதிய ஆசிரியர்", "குறித்து கட்டுரை எழுதியவர் யார்",
+    "குறித்து கட்டுரை எழுதியவர்", "குறித்து எழுதிய ஆசிரியர்", "குறித்து எழுதியவர் யார்", "குறித்து எழுதியவர்",
+    "பற்றி கட்டுரை எழுதிய ஆசிரியர்", "பற்றி கட்டுரை எழுதியவர் யார்", "பற்றி கட்டுரை எழுதியவர்", "பற்றி எழுதிய ஆசிரியர்",
+    "பற்றி எழுதியவர் யார்", "பற்றி எழுதியவர்", "பற்றிய கட்டுரை எழுதியவர்", "பற்றிய கட்டுரை எழுதிய ஆசிரியர்", "கட்டுரை எழுதிய ஆசிரியர்",
+    "கட்டுரை எழுதியவர் யார்", "கட்டுரை எழுதியவர்", "பற்றிய படைப்புகள்", "பற்றிய கட்டுரைகள்", "தொடர்பான படைப்புகள்", "தொடர்பான கட்டுரைகள்",
+    "பற்றி படைப்புகள்", "who wrote", "who is the author", "author of", "written by", "who composed", "composer of", "who penned",
+    "penned by", "who created", "creator of", "who authored", "name of the author", "name of the writer", "who is the writer", "writer of",
 )
 AUTHOR_ACTION = (
     "என்ன எழுதினார்", "என்னென்ன எழுதினார்", "எழுதியது என்ன", "எழுதியவை என்ன", "எழுதியவை யாவை", "எழுதிய தலைப்பு", "எழுதிய தலைப்புகள்",
-    "எழுதிய கட்டுரைகள்", "எழுதிய கட்டுரை", "எழுதிய கதைகள்", "எழுதிய கதை", "எழுதிய கவிதைகள்", "எழுதிய கவிதை", "எழுதிய நாவல்", "எழுதிய நாவல்கள்",
-    "எழுதிய படைப்புகள்", "எழுதிய படைப்பு", "எழுதிய தொடர்", "எழுதிய தொடர்கள்", "எழுதிய பகுதி", "எழுதிய பாடல்", "எழுதிய பாடல்கள்",
-    "இயற்றிய படைப்புகள்", "இயற்றிய கவிதை", "இயற்றிய கவிதைகள்", "இயற்றிய பாடல்", "படைத்த படைப்புகள்", "படைத்தவை என்ன", "பங்களிப்புகள்",
+    "எழுதிய கட்டுரைகள்", "எழுதிய கட்டுரை", "எழுதிய கதைகள்", "எழுதிய கதை", "எழுதிய கவிதைகள்", "எழுதிய கவிதை", "எழுதிய நாவல்",
+    "எழுதிய நாவல்கள்", "எழுதிய படைப்புகள்", "எழுதிய படைப்பு", "எழுதிய தொடர்", "எழுதிய தொடர்கள்", "எழுதிய தொடரின்", "எழுதிய பகுதி",
+    "எழுதிய பாடல்", "எழுதிய பாடல்கள்", "இயற்றிய படைப்புகள்", "இயற்றிய கவிதை", "இயற்றிய கவிதைகள்", "இயற்றிய பாடல்", "படைத்த படைப்புகள்",
+    "படைத்தவை என்ன", "பங்களிப்புகள்", "பங்களிப்பு என்ன", "பங்கு என்ன", "பங்களிப்பு யாவை", "பற்றி எழுதினார்", "எந்த தலைப்புகள்",
+    "எந்தெந்த தலைப்புகள்", "என்னென்ன தலைப்புகள்", "என்னென்ன கதைகள்", "எந்தெந்த கதைகள்", "என்னென்ன கட்டுரைகள்", "அவர் எழுதிய",
+    "அவரது படைப்புகள்", "அவரின் படைப்புகள்", "அவர்கள் எழுதிய", "படைப்புகள்", "படைப்புகளை", "படைப்பு என்ன", "படைப்புகளைப் பட்டியலிடுக",
+    "பட்டியலிடுக", "தொடரின் பெயர்", "தொடர் பெயர்", "அவர் எழுதிய தொடர்", "எழுதிய தொடரின் பெயர்", "list of writings", "articles by",
+    "works of", "works by", "what did write", "list works", "writings by", "contributions by", "what has written", "what wrote",
+    "poems by", "stories by", "articles written by", "written works", "literary works", "what authored", "படைப்புகள் யாவை",
+)
+TITLE_SUFFIXES = (
+    "தொடரின்", "தொடர்", "கதையின்", "கதை", "நாவலின்", "கட்டுரையின்", "கவிதையின்", "பாடலின்", "பகுதியின்", "நூலின்", "series", "story",
+    "novel", "article", "poem", "part",
 )
 TOPIC_CONTENT = (
     "பற்றிய படைப்புகள்", "பற்றிய கட்டுரைகள்", "பற்றிய கவிதைகள்", "பற்றிய கதைகள்", "பற்றி படைப்புகள்", "பற்றி கட்டுரைகள்", "தொடர்பான படைப்புகள்",
@@ -55,10 +77,17 @@ TOPIC_CONTENT = (
 )
 ISSUE_OF = ("எந்த மலர்", "எந்த இதழ்", "இதழில் இடம்பெற்றுள்ளது", "எந்த மலர் மற்றும் இதழில்")
 START_YEAR = ("எந்த ஆண்டு தொடங்கியது", "முதல் ஆண்டு", "தொடங்கிய ஆண்டு", "எப்போது தொடங்கியது", "start year")
-ISSUE_COUNT = ("இதழ் count", "issue count", "how many issues", "number of issues", "total issues", "இதழ் பட்டியல்", "இதழ்களின் பட்டியல்")
+ISSUE_COUNT = ("இதழ் எண்ணிக்கை", "எத்தனை இதழ்", "இதழ்கள் எத்தனை", "மொத்த இதழ்", "இதழ் count", "issue count", "how many issues", "number of issues", "total issues", "இதழ் பட்டியல்", "இதழ்களின் பட்டியல்")
 ORDINALS = ("முதல்", "இரண்டாவது", "மூன்றாவது", "நான்காவது", "ஐந்தாவது", "ஆறாவது", "ஏழாவது", "எட்டாவது", "ஒன்பதாவது", "பத்தாவது", "பதினொன்றாவது", "பன்னிரண்டாவது", "பதிமூன்றாவது", "பதினான்காவது", "பதினைந்தாவது", "பதினாறாவது", "பதினேழாவது", "பதினெட்டாவது", "பத்தொன்பதாவது", "இருபதாவது")
 CARDINALS = ("ஒன்று", "இரண்டு", "மூன்று", "நான்கு", "ஐந்து", "ஆறு", "ஏழு", "எட்டு", "ஒன்பது", "பத்து", "பதினொன்று", "பன்னிரண்டு", "பதிமூன்று", "பதினான்கு", "பதினைந்து", "பதினாறு", "பதினேழு", "பதினெட்டு", "பத்தொன்பது", "இருபது")
 
+FILE_NAMES = (
+    r"(?i)VOL\s*[-_]?\s*(\d+)\s*[-_]\s*(\d+)\s*[-_]\s*(\d{4})",
+    r"(?i)VOL\s*[-_]?\s*(\d+)\s*[-_]\s*([A-Za-z]+)\s*[-_]\s*(\d{4})",
+    r"(?i)vol[-_\s]*(\d+)[-_\s]*(?:issue)?[-_\s]*(\d+)[-_\s]*(\d{4})?",
+    r"(\d+)\s*[-_]\s*(\d+)\s*[-_]\s*(\d{4})",
+)
+
 # --- Rules. ---
 
 INITIALS = r"[\x{0B80}-\x{0BFF}]{1,3}\.\s*[\x{0B80}-\x{0BFF}]{2,}"
@@ -147,11 +176,10 @@ def entity(question: Column, bank: Bank = Bank(), noise: tuple[str, ...] = ()) -
 
 def file_numbers(name: Column) -> Column:
     """struct<volume, issue, year> of a file name, by four patterns in order (O-172)."""
-    patterns = (r"(?i)VOL\s*[-_]?\s*(\d+)\s*[-_]\s*(\d+)\s*[-_]\s*(\d{4})", r"(?i)VOL\s*[-_]?\s*(\d+)\s*[-_]\s*([A-Za-z]+)\s*[-_]\s*(\d{4})", r"(?i)vol[-_\s]*(\d+)[-_\s]*(?:issue)?[-_\s]*(\d+)[-_\s]*(\d{4})?", r"(\d+)\s*[-_]\s*(\d+)\s*[-_]\s*(\d{4})")
 
     def part(group: int) -> Column:
         out = F.lit(None).cast("string")
-        for p in reversed(patterns):
+        for p in reversed(FILE_NAMES):
             out = F.when(name.rlike(p), F.nullif(F.regexp_extract(name, p, group), F.lit(""))).otherwise(out)
         return out
 

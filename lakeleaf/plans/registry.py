@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
-from ..operators import catalog, evaluation, indexing, ranking, retrieval, segmentation, state, understanding
+from ..operators import answers, catalog, evaluation, indexing, ranking, retrieval, segmentation, state, understanding
+
+from ..sources import readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,19 +110,56 @@ def sentence_explode(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("t").cast("long")).alias("chars"), F.min(F.md5(F.col("t").cast("binary"))).alias("first_md5"))
 
 
-@query()
+CHUNKS_SQL = rf"""
+{SENTENCES_SQL.strip()},
+counted as (select doc_id, t, len({WORDS.format('t')}) as w, row_number() over (partition by doc_id order by i) as k from sentences where length(t) > 10),
+fold as (
+  select doc_id, 0 as k, cast(null as varchar) as cur, 0 as n, cast([] as varchar[]) as out from (select distinct doc_id from counted)
+  union all
+  select f.doc_id, f.k + 1,
+    case when w > {{most}} then null when n + w > {{most}} and cur is not null then if(w >= {{target}}, null, t) when n + w >= {{target}} then null else concat_ws(' ', cur, t) end,
+    case when w > {{most}} then 0 when n + w > {{most}} and cur is not null then if(w >= {{target}}, 0, w) when n + w >= {{target}} then 0 else n + w end,
+    case when w > {{most}} then if(cur is null, [t], [cur, t]) when n + w > {{most}} and cur is not null then if(w >= {{target}}, [cur, t], [cur]) when n + w >= {{target}} then [concat_ws(' ', cur, t)] else [] end
+  from fold f join counted c on c.doc_id = f.doc_id and c.k = f.k + 1),
+closed as (
+  select doc_id, k, out from fold
+  union all select doc_id, k + 1, [cur] from (select *, max(k) over (partition by doc_id) as top from fold) where k = top and n >= 10),
+listed as (select doc_id, k, unnest(out) as content, generate_subscripts(out, 1) as j from closed),
+chunks as (select doc_id, row_number() over (partition by doc_id order by k, j) - 1 as chunk_id, count(*) over (partition by doc_id) as total_chunks, content from listed),
+judged as (select *, len({WORDS.format('content')}) as words, length(regexp_replace(content, '^[\s\x0b\x{{{{1c}}}}-\x{{{{1f}}}}\x{{{{85}}}}\p{{{{Z}}}}]+|[\s\x0b\x{{{{1c}}}}-\x{{{{1f}}}}\x{{{{85}}}}\p{{{{Z}}}}]+$', '', 'g')) >= 20 and len({WORDS.format('content')}) >= 10 as ok from chunks)"""
+
+
+def chunks_sql(size: int = L.CHUNK_SIZE) -> str:
+    """The chunks of documents: ``judged`` (doc_id, chunk_id, total_chunks, content, words, ok)."""
+    return CHUNKS_SQL.replace("{most}", str(int(size // 6 * 1.5))).replace("{target}", str(size // 6)).replace("{{", "{").replace("}}", "}")
+
+
+@query(f"with recursive {chunks_sql()} select doc_id, cast(chunk_id as integer) as chunk_id, cast(total_chunks as integer) as total_chunks, cast(words as integer) as words, md5(content) as content_md5 from judged where ok")
 def chunk_greedy(spark, d):
     return indexing.chunk_rows(table(spark, d, "documents"), ["doc_id"], "text").filter(T.chunk_ok(F.col("content"), tamil=False)).select("doc_id", "chunk_id", "total_chunks", T.word_count(F.col("content")).alias("words"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query()
+@query(f"with recursive {chunks_sql()} select count(*) as chunks, count(*) filter (ok) as valid, count(*) filter (not ok) as invalid, cast(min(words) filter (ok) as integer) as least_words, cast(max(words) filter (ok) as integer) as most_words, cast(floor(avg(words) filter (ok)) as bigint) as mean_words from judged")
 def chunk_stats(spark, d):
     return indexing.chunk_stats(indexing.chunk_rows(table(spark, d, "documents"), ["doc_id"], "text"), tamil=False)
 
 
-@query("select source, count(*) as chunks, md5(string_agg(text, chr(10) order by doc_id)) as content_md5 from documents where n_chars < 2000 group by source")
+MERGED_SQL = "trim(regexp_replace(string_agg(content, ' ' order by chunk_id), '[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g'))"
+
+
+@query(f"with recursive {chunks_sql()} select doc_id, chunk_count, word_count, md5(content) as content_md5 from (select doc_id, count(*) as chunk_count, {MERGED_SQL} as content, len({WORDS.format(MERGED_SQL)}) as word_count from judged where ok group by doc_id) where word_count >= 50")
 def chunk_reassemble(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars < 2000")
+    """Every document's valid chunks by number, joined by blanks and collapsed; results under 50 words go (O-106)."""
+    chunks = indexing.chunk_rows(table(spark, d, "documents"), ["doc_id"], "text").filter(T.chunk_ok(F.col("content"), tamil=False))
+    points = chunks.select(F.lit("v").alias("volume"), F.col("doc_id").alias("doc_id"), F.lit("i").alias("doc_issue"), F.lit("").alias("title"), "chunk_id", "content", F.lit("article").alias("type"))
+    hits = points.select(F.lit(1).alias("qid"), "volume", "doc_id", "doc_issue", "title", F.lit(1.0).alias("score")).distinct()
+    return retrieval.merge_chunks(hits, points).select("doc_id", "chunk_count", F.col("word_count").cast("bigint").alias("word_count"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("select source, count(*) as chunks, md5(string_agg(text, chr(10) order by doc_id)) as content_md5 from documents group by source")
+def article_lines(spark, d):
+    """Texts of a source by line, in the order of their ids (O-107)."""
+    docs = table(spark, d, "documents")
     points = docs.select(F.lit("v").alias("doc_id"), F.col("source").alias("doc_issue"), F.lit(1).alias("article_no"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("title"))
     return catalog.article_content(points).select(F.col("doc_issue").alias("source"), "chunks", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
@@ -130,7 +169,7 @@ def vocab_build(spark, d):
     return catalog.vocabulary(table(spark, d, "documents"), "text", "[a-z]{4,}")
 
 
-@query(r"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '["'']', '', 'g'), '={4,}', '---', 'g'), '`{3,}', '''', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {3,}', ' ', 'g'), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g') as clean from conversations""")
+@query(r"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '["'']', '', 'g'), '={4,}', '---', 'g'), '`{3,}', '''', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {3,}', ' ', 'g'), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g') as clean from conversations""")
 def sanitize_queries(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.sanitize(F.col("text")).alias("clean"))
 
@@ -155,9 +194,9 @@ def key_parse(spark, d):
     return table(spark, d, "pages").select("page_id", T.normal_key(url).alias("file_key"), T.year_of(url).alias("year"), T.volume_of(url).alias("volume"), T.base64url(url.cast("binary")).alias("token"))
 
 
-@query(r"select item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\x{0B80}-\x{0BFF}a-z0-9]+'), lambda t: length(t) >= 2), ' ') as content_tokens from benchmark")
+@query(r"select item_id, array_to_string(list_filter(regexp_extract_all(lower(nfc_normalize(text)), '[\x{0B80}-\x{0BFF}a-z0-9]+'), lambda t: length(t) >= 2), ' ') as content_tokens from benchmark")
 def content_tokens(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.content_tokens(F.col("text")), " ").alias("content_tokens"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.content_tokens(U.nfc(F.col("text"))), " ").alias("content_tokens"))
 
 
 # --- Retrieval ---
@@ -188,18 +227,18 @@ def bm25_topk(spark, d):
 
 
 DENSE_SQL = """
-dq as (select vec_id as qid, embedding as e from embeddings where vec_id % 25 = 0),
+dq as (select vec_id as qid, embedding as e from embeddings where vec_id % 100 = 0),
 dense as (select qid, vec_id, score, rank from (select qid, vec_id, score, row_number() over (partition by qid order by score desc, vec_id) as rank from (
   select qid, vec_id, round(list_sum(list_transform(generate_series(1, 64), lambda i: cast(embedding[i] as double) * cast(e[i] as double))), 6) as score from embeddings, dq {where}) where score >= 0.2) where rank <= {k})"""
 
 
 def vector_queries(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @query(f"with {DENSE_SQL.format(k=20, where='')} select qid, vec_id, score, rank from dense")
 def dense_topk(spark, d):
-    """The query set is stated: every vector whose id is divisible by 25, against all vectors."""
+    """The query set is stated: every vector whose id is divisible by 100, against all vectors."""
     return retrieval.dense(table(spark, d, "embeddings"), vector_queries(spark, d), 20, 0.2)
 
 
@@ -211,7 +250,7 @@ def dense_topk_tagged(spark, d):
 
 #: The question of a benchmark item is also asked as the vector of that number.
 FUSED_SQL = f"""{BM25_SQL.replace("{k}", "20")},
-{DENSE_SQL.format(k=40, where='').replace('where vec_id % 25 = 0', 'where vec_id in (select item_id from benchmark)').strip()},
+{DENSE_SQL.format(k=40, where='').replace('where vec_id % 100 = 0', 'where vec_id in (select item_id from benchmark)').strip()},
 branches as (select qid, doc_id, rank from sparse union all select qid, vec_id, rank from dense),
 fused as (select qid, doc_id, round(sum(1.0 / ({L.RRF_K} + rank)), 9) as score from branches group by qid, doc_id),
 hybrid as (select qid, doc_id, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from fused) where rank <= 20)"""
@@ -267,34 +306,71 @@ def adaptive_cutoff(spark, d):
     return ranking.adaptive_cutoff(retrieval.dense(table(spark, d, "embeddings"), vector_queries(spark, d), 20, 0.2))
 
 
-@query()
+RANKED_SQL = f"""{BM25_SQL.replace("{k}", "{k}")},
+r as (select s.qid, s.doc_id, s.rank, s.score, left(d.text, 40) as heading, d.text as content, q.text as question from sparse s join documents d using (doc_id) join q using (qid))"""
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + ")"
+STRIP_SQL = r"regexp_replace({}, '^[\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|[\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+@query(rf"""with {RANKED_SQL.replace("{k}", "20")},
+a as (select *, list_filter(regexp_extract_all(lower(question), '[\x{{0B80}}-\x{{0BFF}}]{{2,}}|[a-z0-9]{{3,}}'), lambda t: t not in {STOP_SQL}) as ordered, lower(content || ' ' || heading) as txt, lower(heading) as h from r),
+b as (select *, list_distinct(ordered) as terms, list_distinct(regexp_extract_all(txt, '[\x{{0B80}}-\x{{0BFF}}]{{2,}}|[a-z0-9]{{3,}}')) as words from a),
+c as (select *, len(list_filter(terms, lambda t: contains(txt, t) or len(list_filter(words, lambda w: least(length(w), length(t)) >= 3 and left(w, greatest(3, floor(least(length(w), length(t)) * 0.6)::int)) = left(t, greatest(3, floor(least(length(w), length(t)) * 0.6)::int)))) > 0)) as matched,
+  len(list_filter(range(1, len(ordered)), lambda i: contains(h, ordered[i] || ' ' || ordered[i + 1]))) > 0 as bigram_hit, len(list_filter(terms, lambda t: contains(h, t))) > 0 as term_hit from b),
+e as (select *, term_hit or bigram_hit as heading_hit from c where len(terms) = 0 or term_hit or bigram_hit or matched >= greatest(1, least(2, floor(len(terms) * 0.3))))
+select qid, doc_id, cast(matched as integer) as matched, heading_hit, bigram_hit, row_number() over (partition by qid order by bigram_hit desc, heading_hit desc, matched desc, rank) as filtered_rank from e""")
 def lexical_filter(spark, d):
     return ranking.lexical_filter(ranked_documents(spark, d)).select("qid", "doc_id", "matched", "heading_hit", "bigram_hit", "filtered_rank")
 
 
-@query()
+@query(rf"""with {RANKED_SQL.replace("{k}", "20")},
+a as (select *, list_filter(regexp_extract_all(lower(question), '[\x{{0B80}}-\x{{0BFF}}a-z0-9]+'), lambda t: length(t) >= 2 and t not in {STOP_SQL}) as t from r),
+b as (select *, len(list_filter(list_concat({", ".join(f"list_transform(range(1, greatest(1, len(t) - {n - 2})), lambda i: array_to_string(t[i:i + {n - 1}], ' '))" for n in (4, 3, 2))}), lambda p: contains(lower(heading), p))) > 0 as hit from a),
+c as (select *, row_number() over (partition by qid, hit order by rank) as nth, count(*) filter (hit) over (partition by qid) as m from b),
+e as (select *, case when hit then if(nth <= 30, 0, 2) else if(nth <= greatest(0, 30 - m), 1, 3) end as bucket from c)
+select qid, doc_id, rank, row_number() over (partition by qid order by bucket, rank) as pinned_rank from e""")
 def heading_pin(spark, d):
     return ranking.pin_headings(ranked_documents(spark, d)).select("qid", "doc_id", "rank", "pinned_rank")
 
 
-@query()
+FACTS_SQL = rf"""{RANKED_SQL.replace("{k}", "20")},
+fa as (select *, list_distinct(regexp_extract_all(lower(question), '[\x{{0B80}}-\x{{0BFF}}]{{3,}}|[a-z]{{4,}}')) as keywords from r where rank <= 15),
+fb as (select qid, rank, keywords, unnest(string_split_regex(content, '[.।!?]+')) as s, generate_subscripts(string_split_regex(content, '[.।!?]+'), 1) as pos from fa),
+fc as (select *, {STRIP_SQL.format('s')} as fact from fb),
+fd as (select *, 3 * len(list_filter(keywords, lambda k: contains(lower(fact), k))) as score from fc where length(fact) >= 30),
+facts as (select qid, fact_rank, fact, score from (select *, row_number() over (partition by qid order by score desc, rank, pos) as fact_rank from fd where score >= 5) where fact_rank <= 20)"""
+
+
+@query(f"with {FACTS_SQL} select qid, fact_rank, fact, cast(score as integer) as score from facts")
 def key_facts(spark, d):
     return ranking.key_facts(ranked_documents(spark, d))
 
 
-@query()
+@query(f"""with {FACTS_SQL}, j as (select qid, {STRIP_SQL.format("string_agg(regexp_replace(fact, '__.*?__', '', 'g'), '. ' order by fact_rank)")} as answer from facts where fact_rank <= 5 group by qid)
+select qid, if(regexp_matches(answer, '[.!?।]$'), answer, answer || '.') as answer from j""")
 def extractive_answers(spark, d):
     return ranking.extractive_answer(ranking.key_facts(ranked_documents(spark, d)))
 
 
-@query()
+def excerpt_sql(most: str) -> str:
+    """The best window of ``content`` for ``keywords``, over rows (qid, doc_id, content, keywords, most)."""
+    x = f"substr(lower(content), cast(p + 1 as bigint), {most})"
+    hits = f"coalesce(list_sum(list_transform(keywords, lambda k: (length({x}) - length(replace({x}, k, ''))) // length(k))), 0)"
+    return f"if(length(content) <= {most}, content, substr(content, cast(1 + list_first(list_transform(list_sort(list_transform(generate_series(0, greatest(0, length(content) - {most}), greatest(100, {most} // 10)), lambda p: {{'n': -({hits}), 'p': p}})), lambda z: if(z.n < 0, z.p, 0))) as bigint), {most}))"
+
+
+@query(f"with {RANKED_SQL.replace("{k}", "5")}, a as (select *, list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')) as keywords from r) select qid, doc_id, {excerpt_sql('400')} as excerpt from a")
 def best_excerpt(spark, d):
     rows = ranked_documents(spark, d, 5)
     words = F.array_distinct(T.matches(F.lower("question"), "[a-z]{4,}"))
     return rows.select("qid", "doc_id", T.best_excerpt(F.col("content"), words, 400).alias("excerpt"))
 
 
-@query()
+@query(rf"""with {RANKED_SQL.replace("{k}", "20")},
+a as (select *, list_distinct(regexp_extract_all(lower(question), '[\x{{0B80}}-\x{{0BFF}}]{{3,}}|[a-z]{{4,}}')) as keywords, count(*) over (partition by qid) as n, row_number() over (partition by qid order by rank) as i from r where rank <= 15),
+b as (select *, greatest(500, 15000 // n) as most from a),
+c as (select qid, n, i, 'ஆவணம் ' || i || '/' || n || if(heading <> '', ' — ' || heading, '') || ':' || chr(10) || {excerpt_sql('most')} as part from b)
+select qid, '[' || max(n) || ' ஆவணங்கள் — ஒவ்வொன்றின் தகவலையும் பயன்படுத்தவும்]' || chr(10) || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) order by i) as context, max(n) as documents from c group by qid""")
 def answer_contexts(spark, d):
     return ranking.contexts(ranked_documents(spark, d))
 
@@ -395,26 +471,36 @@ def tfidf_classify(spark, d):
     return indexing.tfidf_tags(vectors, idf, CATEGORIES)
 
 
-@query()
+def tags_sql(names: dict[str, str]) -> str:
+    """Comma-joined names of the categories whose rules fit a title t."""
+    cases = []
+    for category, (exact, parts) in L.TITLE_RULES.items():
+        whole = (*exact, *(L.SERIAL_TITLES if category == "FICTION" else ()))
+        tests = [f"t in ({', '.join(repr(x) for x in whole)})"] * bool(whole) + [f"contains(t, '{x}')" for x in parts]
+        cases.append(f"case when {' or '.join(tests)} then '{names[category]}' end")
+    return f"array_to_string(list_filter([{', '.join(cases)}], lambda x: x is not null), ',')"
+
+
+@query(f"select conv_id, turn, {tags_sql({c: c for c in L.TAXONOMY})} as tags, {tags_sql({c: t for c, (t, _) in L.TAXONOMY.items()})} as tags_tamil from (select conv_id, turn, {STRIP_SQL.format("coalesce(text, '')")} as t from conversations)")
 def rule_tags(spark, d):
     titles = table(spark, d, "conversations").select("conv_id", "turn", indexing.rule_tags(F.col("text"), F.lit(True)).alias("t"))
     return titles.select("conv_id", "turn", F.array_join("t", ",").alias("tags"), F.array_join(indexing.tamil_tags(F.col("t")), ",").alias("tags_tamil"))
 
 
 @query("""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as word from benchmark),
-v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as known from documents where lang = 'en')
+v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as known from documents)
 select w.word, v.known, levenshtein(w.word, v.known) as edits from w join v on left(w.word, 3) = left(v.known, 3) and abs(length(w.word) - length(v.known)) <= 2 where levenshtein(w.word, v.known) <= 1""")
 def fuzzy_block_join(spark, d):
     words = catalog.vocabulary(table(spark, d, "benchmark"), "text", "[a-z]{5,}").withColumn("block", F.substring("word", 1, 3))
-    known = catalog.vocabulary(table(spark, d, "documents").filter("lang = 'en'"), "text", "[a-z]{5,}").select(F.col("word").alias("known"), F.substring("word", 1, 3).alias("block"))
+    known = catalog.vocabulary(table(spark, d, "documents"), "text", "[a-z]{5,}").select(F.col("word").alias("known"), F.substring("word", 1, 3).alias("block"))
     edits = F.levenshtein(F.col("word"), F.col("known"))
     return words.join(known, "block").filter(T.safe_to_correct(F.col("word"), F.col("known"))).select("word", "known", edits.alias("edits")).filter("edits <= 1")
 
 
 @query()
 def ratio_nearest(spark, d):
-    names = table(spark, d, "documents").select(F.substring("text", 1, 60).alias("name"))
-    return catalog.nearest(names, "name", "the thing that was with the other", 0.0)
+    """The most similar part name."""
+    return catalog.nearest(table(spark, d, "part").select(F.col("p_name").alias("name")), "name", "green steel hammer", 0.0)
 
 
 @query()
@@ -431,7 +517,18 @@ def source_hash(spark, d):
     return indexing.source_hash(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("modified")))
 
 
-@query()
+SANITIZE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({}), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g'), '["'']', '', 'g'), '={{4,}}', '---', 'g'), '`{{3,}}', '''', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{3,}}', ' ', 'g'), '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')"""
+HIGH_SQL = "(?i)" + "|".join(f"(?:{p})" for p in L.INJECTION_HIGH).replace("'", "''")
+HISTORY_SQL = f"""
+ha as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) as n from conversations),
+hb as (select conv_id, turn, role, {SANITIZE_SQL.format("left(coalesce(text, ''), 5000)")} as text from ha where n <= 20 and role in ('user', 'assistant')),
+hc as (select *, row_number() over (partition by conv_id order by turn) as k, role = 'user' and regexp_matches(text, '{HIGH_SQL}') as bad from hb),
+walk as (select conv_id, 0 as k, 'user' as want, false as kept from (select distinct conv_id from hc) union all
+  select w.conv_id, w.k + 1, if(role = want and not bad, if(want = 'user', 'assistant', 'user'), want), role = want and not bad from walk w join hc h on h.conv_id = w.conv_id and h.k = w.k + 1),
+history as (select conv_id, cast(row_number() over (partition by conv_id order by k) - 1 as integer) as position, turn, role, text from walk join hc using (conv_id, k) where kept)"""
+
+
+@query(f"with recursive {HISTORY_SQL} select * from history")
 def history_validate(spark, d):
     return state.valid_history(table(spark, d, "conversations"))
 
@@ -467,13 +564,12 @@ def retry_delays(spark, d):
 
 @query("select conv_id, turn, md5(left(text, 200)) as prefix_md5, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as cache_key from conversations")
 def text_digests(spark, d):
-    key = F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.substring("text", 1, 200).cast("binary")).alias("prefix_md5"), F.sha2(key, 256).alias("cache_key"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.substring("text", 1, 200).cast("binary")).alias("prefix_md5"), answers.cache_key(F.col("text")).alias("cache_key"))
 
 
-@query("select doc_id, coalesce(trim(h) <> '' and not regexp_matches(trim(h), '^\\d+$') and length(trim(h)) < 25 and not regexp_matches(trim(h), '^[—–-]'), false) as heading from (select doc_id, split_part(text, '.', 1) as h from documents where not contains(split_part(text, '.', 1), chr(10)))")
+@query(f"select doc_id, coalesce(h <> '' and not regexp_matches(h, '^\\d+$') and length(h) < 25 and not regexp_matches(h, '^[—–-]'), false) as heading from (select doc_id, {STRIP_SQL.format("split_part(text, '.', 1)")} as h from documents)")
 def heading_validity(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("h")).filter(~F.contains("h", F.lit("\n")))
+    rows = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("h"))
     return rows.select("doc_id", T.valid_heading(F.col("h")).alias("heading"))
 
 
@@ -483,22 +579,28 @@ def author_cells(spark, d):
     return catalog.author_counts(table(spark, d, "customer").select(cell.alias("author")))
 
 
-@query("select date_trunc('hour', ts) as hour, event_type, count(*) as requests from events group by all")
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as requests, round(sum(value), 4) as value from events group by all")
 def hourly_requests(spark, d):
-    return table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("requests"))
+    from ..streaming.requests import hourly
+
+    rows = hourly(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "requests", F.round("value", 4).alias("value"))
 
 
-@query("select n.n_name, count(c.c_custkey) as articles from nation n left join customer c on c.c_nationkey = n.n_nationkey and c.c_acctbal > 9000 group by n.n_name")
+@query("select tag, english, count(doc_id) as articles from (values " + ", ".join(f"('{t}', '{e.replace(chr(39), chr(39) * 2)}', {i})" for i, (t, (_, e)) in enumerate(L.TAXONOMY.items())) + ") v(tag, english, i) left join documents on doc_id % 15 = i and doc_id % 2 = 0 group by all")
 def taxonomy_counts(spark, d):
-    """Every category with its count, absent ones with 0 (O-091)."""
-    hits = table(spark, d, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("articles"))
-    return table(spark, d, "nation").join(hits, "n_nationkey", "left").select("n_name", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"))
+    """Every category with its number of articles, absent ones with 0 (O-091, O-104); documents get a category by their id."""
+    tags = F.array(*map(F.lit, L.TAXONOMY))
+    points = table(spark, d, "documents").select((F.col("doc_id") % 2).alias("chunk_id"), F.array(F.get(tags, (F.col("doc_id") % 15).cast("int"))).alias("tags"))
+    return catalog.tag_counts(points).select("tag", "english", "articles")
 
 
-@query("select o_orderkey, o_totalprice from orders where o_custkey % 10 = 3 and o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
+@query("select o_orderkey, o_totalprice from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
 def unprocessed_keys(spark, d):
-    done = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").filter("o_custkey % 10 = 3").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    """Orders without an output, by the anti join of normalised keys (O-020, O-093)."""
+    path = lambda c: F.concat(F.lit("Order "), c, F.lit(" .json")).alias("path")
+    done = table(spark, d, "lineitem").filter("l_quantity > 45").select(path(F.col("l_orderkey")))
+    return readers.unprocessed(table(spark, d, "orders").select("o_orderkey", "o_totalprice", path(F.col("o_orderkey"))), done).select("o_orderkey", "o_totalprice")
 
 
 @query("select doc_id, quality as gain from labels where quality > 0 union all select doc_id, toxic from labels where quality = 0 and toxic > 0")
@@ -507,13 +609,10 @@ def merged_judgements(spark, d):
     return evaluation.merged_judgements(rows).select(F.col("doc_key").alias("doc_id"), "gain")
 
 
-@query()
-def question_routes(spark, d):
-    rows = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
-    return understanding.routed(rows).select("conv_id", "turn", "route", "entity")
-
-
-@query()
+@query(f"""with recursive {HISTORY_SQL},
+h as (select conv_id, list({{'role': if(role = 'assistant', 'model', role), 'text': left(text, 15000)}} order by position) as l from history group by conv_id),
+c as (select c.conv_id, list_append(coalesce(l, []), {{'role': 'user', 'text': c.text}}) as contents from conversations c left join h using (conv_id) where turn = 0)
+select conv_id, cast(len(contents) as integer) as turns, cast(to_json(contents) as varchar) as contents from c""")
 def multi_turn_contents(spark, d):
     history = state.valid_history(table(spark, d, "conversations"))
     asked = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("question"))
@@ -531,7 +630,7 @@ def segmented_articles(spark, d):
 
 @query()
 def spelling_corrections(spark, d):
-    known = catalog.vocabulary(table(spark, d, "documents").filter("lang = 'en'"), "text", "[a-z]{5,}")
+    known = catalog.vocabulary(table(spark, d, "documents"), "text", "[a-z]{5,}")
     asked = catalog.vocabulary(table(spark, d, "benchmark"), "text", "[a-z]{5,}").select(F.col("word").alias("token"))
     return catalog.corrections(asked, known).select("token", "word", F.round("ratio", 6).alias("ratio"))
 

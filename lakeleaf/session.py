@@ -23,8 +23,10 @@ def session(name: str = "lakeleaf", **conf: str) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """A reliable checkpoint in the cluster's spark.checkpoint.dir; a temporary folder only on a local master that sets none."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeleaf-"))
     return df.checkpoint(eager=True)

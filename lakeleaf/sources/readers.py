@@ -113,3 +113,30 @@ def remaining_context(articles_: DataFrame, least: int = 50, each: int = 400, mo
 def unprocessed(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Inputs whose normalised key has no output yet (O-020)."""
     return inputs.withColumn("_key", T.normal_key(F.col("path"))).join(outputs.select(T.normal_key(F.col("path")).alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark reads; other errors are raised (O-005)."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def is_processed(spark: SparkSession, path: str) -> bool:
+    """Whether an output is there and holds an object with a list of articles (O-259)."""
+    if not exists(spark, path):
+        return False
+    found = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "struct<articles:array<string>>").alias("j"))
+    return not found.filter("j.articles is not null").isEmpty()
+
+
+def index_metadata(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored description of an index; None where there is none (O-257)."""
+    return spark.read.json(path) if exists(spark, path) else None
+
+
+def publication(registry_: DataFrame, name: str) -> DataFrame:
+    """The registry's entry of an id; an unknown one is an error (O-016)."""
+    found = registry_.filter(F.col("id") == name)
+    if found.isEmpty():
+        raise ValueError(f"unknown publication {name}")
+    return found

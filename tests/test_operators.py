@@ -199,9 +199,22 @@ def test_history(spark):
     assert cache.get("b", 3.0) is None and cache.get("a", 20.0) is None and cache.check_version(1) is False and cache.check_version(2)
 
 
-def test_numbering_and_merge(spark):
-    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
-    assert all(r["n"] == r["v"] + 1 for r in numbered(df, [F.col("v")], "n").collect())
+@pytest.mark.parametrize("parts", [1, 4, 8, 50])
+def test_numbers_have_no_gaps(spark, parts):
+    """Skewed values over several partition counts: the bounds of ranges differ from job to job."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 7 % 9001).alias("v"), "id")
+        out = numbered(df, [F.col("v"), F.col("id")], "n")
+        rows = sorted((r["v"], r["id"], r["n"]) for r in out.collect())
+        assert [n for *_, n in rows] == list(range(1, 20_001))
+        assert numbered(df.limit(0), [F.col("v"), F.col("id")], "n").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_merge(spark):
     points = spark.createDataFrame([("v", "d", "i", "t", k, "article", f"chunk {k} " + "word " * 30) for k in (1, 0)], "volume string, doc_id string, doc_issue string, title string, chunk_id int, type string, content string")
     hits = spark.createDataFrame([(1, "v", "d", "i", "t", 0.5), (1, "v", "d", "i", "", 0.4)], "qid int, volume string, doc_id string, doc_issue string, title string, score double")
     merged = retrieval.merge_chunks(hits, points).collect()
@@ -278,3 +291,84 @@ def test_streaming_limit(spark, tmp_path):
     run.awaitTermination()
     got = {r["request_id"]: r["allowed"] for r in spark.table("limited").collect()}
     assert got == plain_limit([(i, e, f"x{i}", ts) for i, e, ts in rows])
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    root = str(tmp_path)
+    points = spark.createDataFrame([("article", "v", 1, "i", 1, 0, "அ"), ("author", "v", 2, "i", 1, 0, "b")], "type string, volume string, doc_id int, doc_issue string, article_no int, chunk_id int, content string")
+    writers.points_table(points, f"{root}/points")
+    writers.points_table(points.limit(1), f"{root}/points")
+    assert spark.read.parquet(f"{root}/points").count() == 1 and not readers.exists(spark, f"{root}/none") and readers.exists(spark, f"{root}/points")
+    writers.json_lines(points, f"{root}/json")
+    assert "அ" in "".join(r["value"] for r in spark.read.text(f"{root}/json").collect())
+    writers.texts(points, f"{root}/text", "content")
+    assert {r["value"] for r in spark.read.text(f"{root}/text").collect()} == {"அ", "b"}
+    assert readers.index_metadata(spark, f"{root}/meta") is None
+    writers.index_metadata(points, "h", "f", "k", model="m").write.json(f"{root}/meta")
+    stored = readers.index_metadata(spark, f"{root}/meta").first()
+    assert (stored["points_count"], stored["source_data_hash"], stored["model"]) == (2, "h", "m")
+    now = spark.createDataFrame([("f", "h"), ("f", "x")], "fingerprint string, source_hash string")
+    known = spark.createDataFrame([("f", "h")], now.schema)
+    assert [r[0] for r in indexing.needs_reindex(now, known).collect()] == [False, True] and indexing.needs_reindex(now, known.limit(0)).first()[0]
+    (tmp_path / "out.json").write_text('{"articles": [{"title": "x"}]}')
+    (tmp_path / "bad.json").write_text('{"articles": 3}')
+    assert readers.is_processed(spark, f"{root}/out.json") and not readers.is_processed(spark, f"{root}/bad.json") and not readers.is_processed(spark, f"{root}/gone.json")
+    writers.report_tables(points, points.limit(1), f"{root}/report")
+    assert spark.read.option("header", True).csv(f"{root}/report/per_query").count() == 2
+    assert writers.version_of("a/b/", "7") == "a/b/version=7"
+    (tmp_path / "registry.json").write_text('{"id": "m", "volumes": [{"id": "1", "year": 1950, "issues": [{"num": "1"}, {"num": "2", "year": 1951}]}]}')
+    known = readers.registry(spark, f"{root}/registry.json")
+    assert [(r["issue"], r["year"]) for r in catalog.registry_issues(readers.publication(known, "m")).orderBy("issue").collect()] == [("1", 1950), ("2", 1951)]
+    with pytest.raises(ValueError):
+        readers.publication(known, "x")
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines/a.txt").write_text("one\r\ntwo\n")
+    assert [r["line"] for r in readers.text_lines(spark, f"{root}/lines").orderBy("line_no").collect()] == ["one", "two"]
+    assert [r["length"] for r in readers.listing(spark, f"{root}/lines").collect()] == [9]
+
+
+def test_browsing(spark):
+    rows = [(1, "பொங்கல் மலர்", 1, 0, "தேர்தல்", ["A"], ["POLITICAL"]), (1, "pongal", 2, 0, "கவிதை", ["B"], ["POETRY"]), (1, "3", 1, 0, "x", [], ["GENERAL"]), (1, "3", 1, 1, "x", [], ["GENERAL"])]
+    points = spark.createDataFrame(rows, "doc_id int, doc_issue string, article_no int, chunk_id int, title string, authors array<string>, tags array<string>")
+    assert catalog.browse(points, "POETRY").count() == 1 and catalog.browse(points, search="அரசியல்").first()["title"] == "தேர்தல்" and catalog.browse(points, search="b").count() == 1
+    assert catalog.issue_articles(points, "1", "Pongal").count() == 2 and catalog.issue_articles(points, "1", "3").count() == 1
+    assert tuple(catalog.browse_stats(catalog.browse(points)).first()) == (2, 3)
+    with pytest.raises(ValueError):
+        catalog.browse(points, "NONE")
+    issues = spark.createDataFrame([("10",), ("9",)], "issue string")
+    assert [r["issue"] for r in catalog.issue_order(issues).orderBy("sort_key").collect()] == ["9", "10"]
+    assert [r["issue"] for r in catalog.issue_order(issues.union(spark.createDataFrame([("PONGAL",)], issues.schema))).orderBy("sort_key").collect()] == ["10", "9", "PONGAL"]
+    assert catalog.semantic_rows(points.limit(1), ["title", "doc_issue"]).first()["row_text"] == "தேர்தல் | பொங்கல் மலர்"
+    assert catalog.suggestion(points.select("title"), "தேர்தல").first()["name"] == "தேர்தல்"
+
+
+def test_judgements_are_built(spark):
+    pool = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "qid int, doc_key string, place int")
+    replies = spark.createDataFrame([(1, 3, '[{"index": 0, "grade": 2}, {"index": 1, "grade": 0}, {"index": 9, "grade": 3}]')], "qid int, pool_size int, reply string")
+    qrels, reviews = evaluation.built_judgements(pool, replies)
+    assert [tuple(r) for r in qrels.collect()] == [(1, "a", 2)] and reviews.count() == 3
+    assert evaluation.scorable(pool.select("qid").distinct(), qrels).count() == 1
+    assert writers.judgement_json(qrels).first()["value"] == '{"1":{"a":2}}'
+    samples = spark.createDataFrame([(1, "abcd", "abxd", None)], "id int, human string, answer string, similarity double")
+    r = evaluation.answer_metrics(samples).first()
+    assert r["similarity"] == 0 and math.isclose(r["rouge_l"], 0.75) and math.isclose(r["composite"], 0.2 * 0.75 + 0.1 * r["bleu_1"])
+
+
+def test_upsert_and_hybrid(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert {tuple(r) for r in indexing.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], old.schema), ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, None)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, "apple", [0.0, 1.0])], "qid long, text string, embedding array<float>")
+    assert {r["doc_id"] for r in retrieval.hybrid(docs, vectors, asked).collect()} == {1, 2}
+
+
+def test_incremental_files(spark, tmp_path):
+    from lakeleaf.streaming import requests
+
+    (tmp_path / "in").mkdir()
+    run = lambda: requests.new_files(spark, str(tmp_path / "in"), "a int", str(tmp_path / "out"), str(tmp_path / "c"), lambda df: df)
+    for i in (1, 2):
+        (tmp_path / f"in/{i}.json").write_text(f'{{"a": {i}}}')
+        run()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == i

@@ -1,6 +1,6 @@
 import pytest
 
-from lakeleaf.plans import registry
+from lakeleaf.plans import cases, registry  # noqa: F401
 from tests.oracle import assert_same
 
 
