@@ -208,14 +208,20 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")
 
 
-def best_excerpt(content: Column, keywords: Column, most: int) -> Column:
-    """The window with most keyword occurrences, the earliest among equals; the head where none occurs (O-137)."""
-    step = max(100, most // 10)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(content) - most), F.lit(step))
-    hits = lambda p: F.aggregate(keywords, F.lit(0), lambda n, k: n + occurrences(F.substring(F.lower(content), p + 1, F.lit(most)), k))
-    best = F.array_max(F.transform(starts, lambda p: F.struct(hits(p).alias("n"), (-p).alias("p"))))
-    chosen = F.when(best["n"] > 0, -best["p"]).otherwise(F.lit(0))
-    return F.when(F.length(content) <= most, content).otherwise(F.substring(content, chosen + 1, F.lit(most)))
+def best_excerpt(content: Column, keywords: Column, most: Column | int, low: Column | None = None) -> Column:
+    """The window with most keyword occurrences, the earliest among equals; the head where none occurs (O-137).
+
+    ``low`` is the lower-case content; long texts want it as a column of its own, as
+    every window is cut from it.
+    """
+    low, size = F.lower(content) if low is None else low, F.lit(most) if isinstance(most, int) else most.cast("int")
+    step = F.greatest(F.lit(100), F.floor(size / 10).cast("int"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(low) - size), step)
+    hits = lambda w: F.aggregate(keywords, F.lit(0), lambda n, k: n + occurrences(w, k))
+    windows = F.transform(starts, lambda p: F.substring(low, p + 1, size))
+    best = F.array_max(F.transform(windows, lambda w, i: F.struct(hits(w).alias("n"), (-i).alias("i"))))
+    chosen = F.when(best["n"] > 0, -best["i"] * step).otherwise(F.lit(0))
+    return F.when(F.length(content) <= size, content).otherwise(F.substring(content, chosen + 1, size))
 
 
 def year_of(key: Column) -> Column:

@@ -110,10 +110,8 @@ def contexts(ranking: DataFrame, first: int = 15, budget: int = 15_000, least: i
     """(qid, context, documents): a first line, then numbered headers with the best excerpts, within a budget shared evenly (O-138)."""
     rows = ranking.filter(F.col("rank") <= first).withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).withColumn("_words", F.array_distinct(T.matches(F.lower("question"), pattern)))
-    # The share depends on the number of documents, of which there are ``first`` at most.
-    excerpt = F.lit(None).cast("string")
-    for n in range(1, first + 1):
-        excerpt = F.when(F.col("_n") == n, T.best_excerpt(F.col("content"), F.col("_words"), max(least, budget // n))).otherwise(excerpt)
+    rows = rows.withColumn("_low", F.lower("content")).withColumn("_share", F.greatest(F.lit(least), F.floor(F.lit(budget) / F.col("_n")).cast("int")))
+    excerpt = T.best_excerpt(F.col("content"), F.col("_words"), F.col("_share"), F.col("_low"))
     title = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit(" — "), F.col("heading"))).otherwise("")
     part = F.concat(F.lit("ஆவணம் "), F.col("_i"), F.lit("/"), F.col("_n"), title, F.lit(":\n"), F.coalesce(excerpt, F.lit("")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_i"), part.alias("part")))), lambda p: p["part"])

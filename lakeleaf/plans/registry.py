@@ -361,9 +361,9 @@ def excerpt_sql(most: str) -> str:
 
 @query(f"with {RANKED_SQL.replace("{k}", "5")}, a as (select *, list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')) as keywords from r) select qid, doc_id, {excerpt_sql('400')} as excerpt from a")
 def best_excerpt(spark, d):
-    rows = ranked_documents(spark, d, 5)
     words = F.array_distinct(T.matches(F.lower("question"), "[a-z]{4,}"))
-    return rows.select("qid", "doc_id", T.best_excerpt(F.col("content"), words, 400).alias("excerpt"))
+    rows = ranked_documents(spark, d, 5).withColumn("_low", F.lower("content")).withColumn("_words", words)
+    return rows.select("qid", "doc_id", T.best_excerpt(F.col("content"), F.col("_words"), 400, F.col("_low")).alias("excerpt"))
 
 
 @query(rf"""with {RANKED_SQL.replace("{k}", "20")},
