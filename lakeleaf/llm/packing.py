@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from .common import RecentCache, map_batches, slices
 
 END_ID = 1
+#: Of token ids by chunk, per Python worker, where packing has the executors for itself.
+CACHE_BYTES = 240 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long"
 
 
@@ -41,7 +43,7 @@ class CachedTokenizer:
 
     MARKS = ".,"
 
-    def __init__(self, path: str, cache_bytes: int = 192 << 20):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -65,7 +67,15 @@ class CachedTokenizer:
                 found[c] = None
             else:
                 plain.append(c)
-        plain = list({*plain, *(c[:-1] for c in marked)})
+        young, old, held = self.known.young, self.known.old, {}
+        for c in marked:
+            bare = c[:-1]
+            ids = young.get(bare) or old.get(bare)
+            if ids is None:
+                plain.append(bare)
+            else:
+                held[bare] = ids
+        plain = list(set(plain))
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = self.np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -75,34 +85,30 @@ class CachedTokenizer:
                 continue
             data, bounds = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
             found.update(zip(some, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        found.update((c, found[c[:-1]] + marks[c[-1]]) for c in marked)
+        for c in marked:
+            found[c] = (found.get(c[:-1]) or held[c[:-1]]) + marks[c[-1]]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         firsts = [p.pop(0) for p in parts]
-        get = self.known.young.get
-        seen = [list(map(get, rest)) for rest in parts]
-        lacking = {c for rest, ids in zip(parts, seen, strict=True) if None in ids for c, i in zip(rest, ids, strict=True) if i is None}
-        get = self.known.lookup(lacking, self.learn).__getitem__
+        get = self.known.lookup(set().union(*parts), self.learn).__getitem__
         heads = self.heads.lookup(set(firsts), lambda new: {f: self.whole(f) for f in new})
         out = []
-        for text, first, rest, ids in zip(texts, firsts, parts, seen, strict=True):
+        for text, first, rest in zip(texts, firsts, parts, strict=True):
             if rest and (not first or first[-1].isspace()):
                 out.append(self.whole(text))
                 continue
-            if None in ids:
-                ids = [get(c) if i is None else i for c, i in zip(rest, ids, strict=True)]
             try:
-                out.append(heads[first] + b"".join(ids))
+                out.append(heads[first] + b"".join(map(get, rest)))
             except TypeError:  # a chunk without ids of its own
                 out.append(self.whole(text))
         return out
 
 
 @lru_cache(maxsize=1)
-def tokenizer_of(path: str) -> CachedTokenizer:
-    return CachedTokenizer(path)
+def tokenizer_of(path: str, cache_bytes: int = CACHE_BYTES) -> CachedTokenizer:
+    return CachedTokenizer(path, cache_bytes)
 
 
 @lru_cache(maxsize=4096)
@@ -165,9 +171,11 @@ class HarmonicPacker:
             yield self.number(pieces)
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, slack: float = 0.03, smallest: int = 32) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, slack: float = 0.03, smallest: int = 32, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Pieces of all documents (schema PIECES; ids as little-endian uint32), each document ending with END_ID.
 
+    Workers keep their cache from task to task; beside other stages it wants a smaller bound.
+
     ``sequence_id`` is the task's partition number in the upper bits and its own count below.
     """
 
@@ -190,10 +198,11 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, slack: floa
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in (c.split()[0] for c in PIECES.split(", "))])
-        base, packer, encoder, end = TaskContext.get().partitionId() << 40, HarmonicPacker(capacity, slack, smallest), tokenizer_of(tokenizer), END_ID.to_bytes(4, "little")
+        base, end = TaskContext.get().partitionId() << 40, END_ID.to_bytes(4, "little")
+        packer, encoder = HarmonicPacker(capacity, slack, smallest), tokenizer_of(tokenizer, cache_bytes)
         out: list[tuple] = []
         for batch in batches:
-            for part in slices(batch, 1, 256):
+            for part in slices(batch, 1, 256, 1 << 20):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     rows(packer.add(doc_id, ids + end))
                 if out:
