@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids by sequence."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), cache_bytes=64 << 20)
 
 
 STAGES = [("toxicity", without_toxic), ("quality rules", with_quality), ("near-dedup", without_near_copies), ("mixing", mixed), ("packing", packed)]
