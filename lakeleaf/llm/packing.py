@@ -25,7 +25,7 @@ from .common import RecentCache, map_batches, slices
 
 END_ID = 1
 #: Of token ids by chunk, per Python worker, where packing has the executors for itself.
-CACHE_BYTES = 240 << 20
+CACHE_BYTES = 400 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long"
 
 
@@ -89,21 +89,47 @@ class CachedTokenizer:
             found[c] = (found.get(c[:-1]) or held[c[:-1]]) + marks[c[-1]]
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        firsts = [p.pop(0) for p in parts]
-        get = self.known.lookup(set().union(*parts), self.learn).__getitem__
-        heads = self.heads.lookup(set(firsts), lambda new: {f: self.whole(f) for f in new})
-        out = []
-        for text, first, rest in zip(texts, firsts, parts, strict=True):
-            if rest and (not first or first[-1].isspace()):
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(heads[first] + b"".join(map(get, rest)))
-            except TypeError:  # a chunk without ids of its own
-                out.append(self.whole(text))
-        return out
+    def encode(self, texts) -> list[bytes]:
+        """Ids of the texts of an Arrow array or a list.
+
+        Arrow splits the texts and numbers their chunks, so that a chunk is a
+        Python string and asked for once a slice, and numpy gathers its ids.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy()
+        bounds, coded = bounds - bounds[0], parts.flatten().dictionary_encode()
+        codes, chunks, firsts = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False), bounds[:-1]
+        heads, rest = chunks[codes[firsts]].tolist(), codes.copy()
+        rest[firsts] = len(chunks)
+        used = np.flatnonzero(np.bincount(rest, minlength=len(chunks) + 1)[:-1])
+        names = chunks[used].tolist()
+        pooled = list(map(self.known.lookup(set(names), self.learn).__getitem__, names))
+        alone = np.zeros(len(names) + len(heads), bool)
+        alone[len(names) :] = [not h or h[-1].isspace() for h in heads]
+        if None in pooled:
+            alone[: len(names)] = [ids is None for ids in pooled]
+            pooled = [ids or b"" for ids in pooled]
+        pooled += map(self.heads.lookup(set(heads), lambda new: {f: self.whole(f) for f in new}).__getitem__, heads)
+        # The place of every chunk in the pool of ids, where each text's head has its own after the chunks in use.
+        place = np.zeros(len(chunks) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        at = place[rest]
+        at[firsts] = len(used) + np.arange(len(heads))
+        pool, sizes = np.frombuffer(b"".join(pooled), "<u4"), np.fromiter(map(len, pooled), np.int64, len(pooled)) // 4
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        data = pool[np.arange(total) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends + lengths, lengths)].tobytes()
+        cuts = [0, *(ends[bounds[1:] - 1] * 4).tolist()]
+        whole = np.logical_or.reduceat(alone[at], firsts).tolist()
+        return [self.whole(texts[i].as_py()) if w else data[cuts[i] : cuts[i + 1]] for i, w in enumerate(whole)]
 
 
 @lru_cache(maxsize=1)
@@ -202,8 +228,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, slack: floa
         packer, encoder = HarmonicPacker(capacity, slack, smallest), tokenizer_of(tokenizer, cache_bytes)
         out: list[tuple] = []
         for batch in batches:
-            for part in slices(batch, 1, 256, 1 << 20):
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for part in slices(batch, 1, 4096, 4 << 20):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     rows(packer.add(doc_id, ids + end))
                 if out:
                     yield taken()
