@@ -30,6 +30,14 @@ def test_ids_of_documents(small):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == plain_ids(texts)
 
 
+def test_ids_of_an_arrow_slice_with_nulls():
+    import pyarrow as pa
+
+    texts = ["left out", None, "", " lead", "a  b", "end ", "one\ntwo. three,", "x" * 90 + " y", "漢 字", "left out"]
+    got = pk.CachedTokenizer(PATH, cache_bytes=1 << 20).encode(pa.array(texts).slice(1, 8))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == plain_ids([t or "" for t in texts[1:9]])
+
+
 def check(df, pieces):
     """Every id in one piece, sequences gapless and within the capacity."""
     rows = [r.asDict() for r in pieces.collect()]
