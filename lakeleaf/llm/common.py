@@ -65,6 +65,15 @@ def drop(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def renamed(spark: SparkSession, path: str, to: str) -> None:
+    """Move a scratch folder; its parent is made where it lacks."""
+    files, place = _place(spark, path)
+    _, target = _place(spark, to)
+    files.mkdirs(target.getParent())
+    if not files.rename(place, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder.
 
