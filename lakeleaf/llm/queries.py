@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, line_crf, mixing, near_dedup, packing, periodic, simhash, token_counts, toxicity, turns, url_trust, warc
+from . import byte_cnn, group_join, line_crf, mixing, near_dedup, packing, periodic, simhash, token_counts, toxicity, turns, url_trust, warc
 from .common import table
 
 
@@ -68,11 +68,15 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.with_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op13_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_trust, op2_warc, op3_token_counts, op4_byte_cnn, op5_line_crf, op6_minmax_dedup,
-        op7_simhash, op8_toxic_segments, op9_harmonic_packing, op10_mix, op11_turns, op12_runs,
+        op7_simhash, op8_toxic_segments, op9_harmonic_packing, op10_mix, op11_turns, op12_runs, op13_group_join,
     )
 }
 
@@ -81,5 +85,6 @@ ORACLE_SQL = {
     "op2_warc": warc.archive_round_trip_sql(),
     "op6_minmax_dedup": near_dedup.near_duplicates_sql(),
     "op10_mix": mixing.mix_sql(),
+    "op13_group_join": group_join.join_documents_sql(),
     "op11_turns": turns.reassembly_sql(),
 }
