@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +32,21 @@ def postings(documents: DataFrame, terms: DataFrame, key: str = "doc_id") -> Dat
     return rows.join(wanted, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(documents: DataFrame, queries: DataFrame, limit: int = 10, k1: float = L.BM25_K1, b: float = L.BM25_B) -> DataFrame:
-    """(qid, doc_id, score, rank) for queries (qid, text); each distinct query term counts once (O-121).
+# --- Sparse retrieval with exact pruning ---
+
+#: Postings of a term in one block; part of a question's postings read for its threshold; documents scored in full for it,
+#: a multiple of the limit; share of the threshold that terms left for last may add up to.
+BLOCK_ROWS, RARE_SHARE, TRIED, LAST_SHARE = 4096, 0.1, 5, 0.5
+#: Scores are rounded to six digits, so a bound must clear the threshold by more.
+MARGIN = 2e-6
+
+
+def sparse_index(documents: DataFrame, terms: DataFrame, k1: float = L.BM25_K1, b: float = L.BM25_B, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(blocks, stats): weighted postings (term, block, key, w) of the terms, and (term, df, blocks, top) with each term's largest weight.
 
-    The postings of the query terms are checkpointed and read three times.
+    A common term is dealt by hash to blocks of about BLOCK_ROWS postings, by which all joins go.
     """
-    asked = checkpoint(queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
-    known = checkpoint(postings(documents, asked))
+    known = checkpoint(postings(documents, terms, key))
     totals = known.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     held = known.filter("term <> ''")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
@@ -43,32 +54,254 @@ def bm25(documents: DataFrame, queries: DataFrame, limit: int = 10, k1: float =
     weighed = held.join(df, "term").crossJoin(F.broadcast(totals))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weighed.select("term", "doc_id", weight.alias("w")), "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(scored, "doc_id", limit)
+    blocks = checkpoint(weighed.select("term", F.pmod(F.xxhash64(key), F.ceil(F.col("df") / BLOCK_ROWS)).alias("block"), key, weight.alias("w")))
+    stats = checkpoint(blocks.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("top")))
+    return blocks, stats.withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS))
+
+
+def read_blocks(asked: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """(qid, key, w) of the asked (qid, term, blocks): every block of each term."""
+    spread = asked.select("qid", "term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return spread.join(blocks, ["term", "block"]).select("qid", key, "w")
+
+
+def looked_up(found: DataFrame, asked: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """(qid, key, w) of the asked (qid, term, blocks) in the found (qid, key) only."""
+    wanted = found.select("qid", key).join(asked, "qid").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+    return wanted.select("qid", "term", "block", key).join(blocks, ["term", "block", key]).select("qid", key, "w")
+
+
+def question_plan(asked: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qid, term, df, blocks, top, rare): the terms of each question that occur, the rare ones marked.
+
+    Rare are the first by document frequency, up to RARE_SHARE of the question's postings, and one at least.
+    """
+    order = Window.partitionBy("qid").orderBy("df", "term")
+    rows = asked.join(stats, "term")
+    upto = F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("df").over(Window.partitionBy("qid"))
+    return rows.withColumn("rare", (upto <= RARE_SHARE * whole) | (F.row_number().over(order) == 1))
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def pruned_scores(asked: DataFrame, blocks: DataFrame, stats: DataFrame, limit: int, key: str = "doc_id", reads: dict | None = None) -> DataFrame:
+    """(qid, key, score) of all documents that can be among a question's best, scores whole.
 
+    Weights are positive, so a partial score is a lower bound and the largest weights of the missing
+    terms are an upper one.  1. The rare terms' best documents are scored in full: the limit-th of
+    them is a threshold.  2. Terms with the smallest weights, whose sum stays below LAST_SHARE of it, are
+    left out; documents found by the other terms go on if the sum can lift them to the
+    threshold.  3. Only these are looked up in the left-out terms.  ``reads`` takes the numbers of postings read.
+    """
+    planned = checkpoint(question_plan(asked, stats))
+    sums = lambda rows: rows.groupBy("qid", key).agg(F.sum("w").alias("w"))
+    first = sums(read_blocks(planned.filter("rare"), blocks, key))
+    tried = checkpoint(ranked(first.withColumnRenamed("w", "score"), key, TRIED * limit).select("qid", key, F.col("score").alias("w")))
+    whole = sums(tried.unionByName(looked_up(tried, planned.filter("not rare"), blocks, key)))
+    places = ranked(whole.withColumnRenamed("w", "score"), key, limit)
+    bar = places.filter(F.col("rank") == limit).select("qid", (F.col("score") - MARGIN).alias("bar"))
+    order = Window.partitionBy("qid").orderBy("top", "term")
+    parted = planned.join(bar, "qid", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+    parted = checkpoint(parted.withColumn("last", F.sum("top").over(order) < LAST_SHARE * F.col("bar")))
+    rest = parted.groupBy("qid").agg(F.first("bar").alias("bar"), F.coalesce(F.sum(F.when(F.col("last"), F.col("top"))), F.lit(0.0)).alias("rest"))
+    partial = sums(read_blocks(parted.filter("not last"), blocks, key))
+    going = checkpoint(partial.join(rest, "qid").filter(F.col("w") + F.col("rest") >= F.col("bar")).select("qid", key, "w"))
+    missing = looked_up(going, parted.filter("last"), blocks, key)
+    if reads is not None:
+        count = lambda rows: rows.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+        reads |= {"all": count(planned), "threshold": count(planned.filter("rare")) + looked_up(tried, planned.filter("not rare"), blocks, key).count(), "main": count(parted.filter("not last")), "last": missing.count()}
+    return sums(going.unionByName(missing)).select("qid", key, F.round("w", 6).alias("score"))
+
+
+def bm25(documents: DataFrame, queries: DataFrame, limit: int = 10, k1: float = L.BM25_K1, b: float = L.BM25_B, reads: dict | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank) for queries (qid, text); each distinct query term counts once (O-121, O-252)."""
+    asked = checkpoint(queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
+    blocks, stats = sparse_index(documents, asked, k1, b)
+    return ranked(pruned_scores(asked, blocks, stats, limit, "doc_id", reads), "doc_id", limit)
+
+
+# --- Dense retrieval over cells ---
+
+#: Vectors that cells are fitted on, and their most; vectors and questions of one tile; cells read first.
+SAMPLE, MOST_CELLS, TILE_VECTORS, TILE_QUESTIONS, PROBES = 20_000, 1024, 4096, 512, 4
+CELL = "cell int, far double"
 
-def dense(vectors: DataFrame, queries: DataFrame, limit: int = 20, threshold: float = L.DENSE_THRESHOLD, max_queries: int = 10_000) -> DataFrame:
-    """(qid, vec_id, score, rank): cosine of unit vectors, at least the threshold (O-120).
 
-    The query set is stated and counted; up to ``max_queries`` it is broadcast against all
-    vectors, beyond it goes in blocks of that many.
+@dataclass
+class Cells:
+    """An inverted file of vectors: (vec_id, embedding, cell, part), cells of more than TILE_VECTORS cut into parts by hash.
+
+    ``parts`` is (cell, parts, radius): the farthest distance of a member from the cell's centre, so the index is exact
+    whatever the sample; only the centres, at most MOST_CELLS vectors, are held by the driver and every task.
     """
+
+    vectors: DataFrame
+    parts: DataFrame
+    centres: np.ndarray
+
+
+def matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """(places of vectors that are not null, their float64 rows) of an Arrow list column; a null element counts as zero."""
+    held = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    values = column.take(pa_array(held))
+    flat = values.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    return held, flat.reshape(len(held), -1) if len(held) else np.empty((0, 0))
+
+
+def pa_array(values):
+    import pyarrow as pa
+
+    return pa.array(values)
+
+
+def fitted_centres(vectors: DataFrame, sample: int = SAMPLE, most: int = MOST_CELLS, rounds: int = 10) -> np.ndarray:
+    """Centres of k-means over the ``sample`` vectors with the smallest hashes of their id; the square root of the table's size, ``most`` at most."""
+    rows = vectors.filter("embedding is not null").select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding")
+    picked = rows.orderBy("h", "vec_id").limit(sample).collect()
+    if not picked:
+        return np.empty((0, 0))
+    points = np.array([r["embedding"] for r in picked], np.float64)
+    k = max(1, min(most, len(points), round(vectors.count() ** 0.5)))
+    centres = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        near = np.argmin((centres**2).sum(axis=1) - 2 * points @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        held = np.bincount(near, minlength=k)
+        centres[held > 0] = sums[held > 0] / held[held > 0, None]
+    return centres
+
+
+def cells(vectors: DataFrame, centres: np.ndarray | None = None) -> Cells:
+    """The index of all vectors (vec_id, embedding); one with a null embedding is in no cell."""
+    found = fitted_centres(vectors) if centres is None else centres
+
+    def assigned(batches):
+        for batch in batches:
+            held, rows = matrix(batch.column("embedding"))
+            if len(held):
+                square = (found**2).sum(axis=1) - 2 * rows @ found.T
+                near = np.argmin(square, axis=1)
+                far = np.sqrt(((rows - found[near]) ** 2).sum(axis=1))
+                yield batch.take(pa_array(held)).append_column("cell", pa_array(near.astype(np.int32))).append_column("far", pa_array(far))
+
+    plain = vectors.select("vec_id", "embedding")
+    dealt = checkpoint(plain.mapInArrow(assigned, f"vec_id {plain.schema['vec_id'].dataType.simpleString()}, embedding {plain.schema['embedding'].dataType.simpleString()}, {CELL}"))
+    parts = checkpoint(dealt.groupBy("cell").agg(F.ceil(F.count("*") / TILE_VECTORS).alias("parts"), F.max("far").alias("radius")))
+    held = dealt.join(F.broadcast(parts), "cell")  # a row per cell, so MOST_CELLS at most
+    return Cells(held.select("vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part")), parts, found)
+
+
+def bounds(index: Cells, queries: DataFrame) -> DataFrame:
+    """(qid, cell, near, bound) of every question and cell: the product with its centre, and what no member can exceed (length times radius more)."""
+    radius = {r["cell"]: r["radius"] for r in index.parts.collect()}  # MOST_CELLS rows at most
+    known = np.array(sorted(radius), np.int32)
+    reach, centres = np.array([radius[c] for c in known]), index.centres[known] if len(known) else index.centres
+
+    def bounded(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(known) else 0, 1024):
+                part = batch.slice(at, 1024)
+                held, rows = matrix(part.column("query"))
+                if len(held):
+                    near = rows @ centres.T
+                    most = near + np.sqrt((rows**2).sum(axis=1))[:, None] * reach
+                    qid = part.column("qid").take(pa.array(np.repeat(held, len(known))))
+                    yield pa.RecordBatch.from_arrays([qid, pa.array(np.tile(known, len(held))), pa.array(near.ravel()), pa.array(most.ravel())], ["qid", "cell", "near", "bound"])
+
     asked = queries.select("qid", F.col("embedding").alias("query"))
-    n = asked.count()
-    if n > max_queries:
-        blocks = -(-n // max_queries)
-        numbered = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        parts = [dense(vectors, numbered.filter(F.col("_block") == i).drop("_block"), limit, threshold, 2 * max_queries) for i in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    scored = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(asked)).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return ranked(scored.filter(F.col("score") >= threshold), "vec_id", limit)
+    return asked.mapInArrow(bounded, f"qid {asked.schema['qid'].dataType.simpleString()}, cell int, near double, bound double")
+
+
+def read_cells(index: Cells, probes: DataFrame, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
+    """(qid, vec_id, score): the best of every tile, which is a part of a cell against a block of the questions (qid, cell) that probe it."""
+    blocks = probes.groupBy("cell").agg(F.ceil(F.count("*") / TILE_QUESTIONS).alias("blocks"))
+    sizes = F.broadcast(checkpoint(blocks.join(index.parts, "cell").select("cell", "blocks", "parts")))  # a row per cell
+    block = F.pmod(F.xxhash64("qid"), F.col("blocks"))
+    tile = lambda part, block: F.xxhash64("cell", part, block).alias("tile")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    embedding = index.vectors.schema["embedding"].dataType.simpleString()
+    asked = probes.join(queries.select("qid", F.col("embedding").cast(embedding).alias("embedding")), "qid").join(sizes, "cell")
+    asked = asked.select("cell", "qid", "embedding", block.alias("block"), upto("parts").alias("part")).select(tile("part", "block"), "qid", F.lit(None).cast("long").alias("vec_id"), "embedding")
+    members = index.vectors.join(sizes, "cell").select("cell", "vec_id", "embedding", F.col("part"), upto("blocks").alias("block"))
+    members = members.select(tile("part", "block"), F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "vec_id", "embedding")
+
+    def products(batches):
+        import pyarrow as pa
+
+        def scored(rows):
+            _, qid, vec_id, _ = rows.columns
+            is_query = vec_id.is_null().to_numpy(zero_copy_only=False)
+            q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+            if not len(q) or not len(v):
+                return None
+            held, values = matrix(rows.column("embedding"))
+            if len(held) < len(is_query):
+                q, v = np.intersect1d(q, held), np.intersect1d(v, held)
+                place = np.searchsorted(held, np.concatenate([q, v]))
+                values = values[place]
+            else:
+                values = values[np.concatenate([q, v])]
+            score = np.round(values[: len(q)] @ values[len(q) :].T, 6)
+            ids = vec_id.take(pa.array(v)).to_numpy()
+            at_q, at_v = [], []
+            for i, row in enumerate(score):
+                best = np.flatnonzero(row >= threshold)
+                best = best[np.lexsort((ids[best], -row[best]))[:limit]]
+                at_q.append(np.full(len(best), i))
+                at_v.append(best)
+            at_q, at_v = np.concatenate(at_q), np.concatenate(at_v)
+            return pa.RecordBatch.from_arrays([qid.take(pa.array(q[at_q])), vec_id.take(pa.array(v[at_v])), pa.array(score[at_q, at_v])], ["qid", "vec_id", "score"])
+
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = (new if held is None else pa.concat_tables([held, new])).combine_chunks()
+            tiles = held.column(0).to_numpy()
+            ends = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+            for a, b in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
+                if (out := scored(held.slice(a, b - a).combine_chunks().to_batches()[0])) is not None:
+                    yield out
+            held = held.slice(int(ends[-1])) if len(ends) else held
+        if held is not None and held.num_rows and (out := scored(held.combine_chunks().to_batches()[0])) is not None:
+            yield out
+
+    rows = asked.unionByName(members).repartition("tile").sortWithinPartitions("tile")
+    return rows.mapInArrow(products, f"qid {queries.schema['qid'].dataType.simpleString()}, vec_id long, score double")
+
+
+def ordered_cells(index: Cells, queries: DataFrame, threshold: float) -> DataFrame:
+    """(qid, cell, bound, place): the cells that can hold a hit of each question, nearest centre first."""
+    order = Window.partitionBy("qid").orderBy(F.col("near").desc(), "cell")
+    return checkpoint(bounds(index, queries).withColumn("place", F.row_number().over(order)).filter(F.col("bound") >= threshold - MARGIN))
+
+
+def probes_for(index: Cells, queries: DataFrame, recall: float = 0.95, limit: int = 20, threshold: float = L.DENSE_THRESHOLD, sample: int = 200) -> int:
+    """Cells that a question must read so that ``recall`` of the exact hits of ``sample`` questions (smallest hashes) lie in them."""
+    some = checkpoint(queries.orderBy(F.xxhash64("qid"), "qid").limit(sample))
+    hits = dense(index.vectors, some, limit, threshold, index=index).join(index.vectors.select("vec_id", "cell"), "vec_id")
+    places = hits.join(ordered_cells(index, some, threshold), ["qid", "cell"]).groupBy("place").count().orderBy("place").collect()  # MOST_CELLS rows at most
+    held = np.cumsum([r["count"] for r in places])
+    return int(places[np.searchsorted(held, recall * held[-1])]["place"]) if places else 1
+
+
+def dense(vectors: DataFrame, queries: DataFrame, limit: int = 20, threshold: float = L.DENSE_THRESHOLD, probes: int = PROBES, exact: bool = True, index: Cells | None = None) -> DataFrame:
+    """(qid, vec_id, score, rank): products of unit vectors, at least the threshold (O-120), for questions (qid, embedding).
+
+    Every question reads the ``probes`` cells with the nearest centres.  That is all of the index mode.  The exact mode
+    then reads the other cells whose bound reaches the question's limit-th score so far, so no neighbour is lost.
+    """
+    index = index or cells(vectors)
+    first = ordered_cells(index, queries, threshold).withColumn("first", F.col("place") <= probes)
+    found = read_cells(index, first.filter("first").select("qid", "cell"), queries, limit, threshold)
+    if not exact:
+        return ranked(found, "vec_id", limit)
+    near = checkpoint(ranked(found, "vec_id", limit))
+    bar = near.filter(F.col("rank") == limit).select("qid", F.col("score").alias("bar"))
+    more = first.filter("not first").join(bar, "qid", "left").filter(F.col("bound") + MARGIN >= F.coalesce("bar", F.lit(threshold)))
+    rest = read_cells(index, more.select("qid", "cell"), queries, limit, threshold)
+    return ranked(near.drop("rank").unionByName(rest), "vec_id", limit)
 
 
 def fuse(branches: list[DataFrame], key: str = "doc_id", k: int = L.RRF_K, limit: int = 10) -> DataFrame:
