@@ -186,7 +186,8 @@ def cells(vectors: DataFrame, centres: np.ndarray | None = None) -> Cells:
 
     plain = vectors.select("vec_id", "embedding")
     dealt = checkpoint(plain.mapInArrow(assigned, f"vec_id {plain.schema['vec_id'].dataType.simpleString()}, embedding {plain.schema['embedding'].dataType.simpleString()}, {CELL}"))
-    parts = checkpoint(dealt.groupBy("cell").agg(F.ceil(F.count("*") / TILE_VECTORS).alias("parts"), F.max("far").alias("radius")))
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / TILE_VECTORS).alias("parts"), F.max("far").alias("radius"))
+    parts = vectors.sparkSession.createDataFrame(sizes.collect(), sizes.schema)  # MOST_CELLS rows at most
     held = dealt.join(F.broadcast(parts), "cell")  # a row per cell, so MOST_CELLS at most
     return Cells(held.select("vec_id", "embedding", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part")), parts, found)
 
@@ -217,7 +218,7 @@ def bounds(index: Cells, queries: DataFrame) -> DataFrame:
 def read_cells(index: Cells, probes: DataFrame, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
     """(qid, vec_id, score): the best of every tile, which is a part of a cell against a block of the questions (qid, cell) that probe it."""
     blocks = probes.groupBy("cell").agg(F.ceil(F.count("*") / TILE_QUESTIONS).alias("blocks"))
-    sizes = F.broadcast(checkpoint(blocks.join(index.parts, "cell").select("cell", "blocks", "parts")))  # a row per cell
+    sizes = F.broadcast(blocks.join(index.parts, "cell").select("cell", "blocks", "parts"))  # a row per cell
     block = F.pmod(F.xxhash64("qid"), F.col("blocks"))
     tile = lambda part, block: F.xxhash64("cell", part, block).alias("tile")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
