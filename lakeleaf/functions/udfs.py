@@ -30,17 +30,28 @@ def ratio_of(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, nfc_text(a).lower(), nfc_text(b).lower()).ratio()
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number.
+
+    A zero bit at i marks that the length grows there.  Memory is a bit per character of a for each distinct one.
+    """
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def rouge_l_of(reference: str | None, answer: str | None) -> float:
-    """F1 of the longest common subsequence of non-blank characters, in memory linear in the answer."""
+    """F1 of the longest common subsequence of non-blank characters of whole texts; 0 where one has none."""
     a, b = ("".join((x or "").split()) for x in (reference, answer))
     if not a or not b:
         return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    lcs = row[-1]
+    lcs = common_subsequence(a, b)
     return 2 * lcs / (len(a) + len(b)) if lcs else 0.0
 
 

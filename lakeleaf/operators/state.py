@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import OrderedDict, deque
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,47 +14,79 @@ from ..session import checkpoint
 WINDOW_S, PER_EMAIL, PER_ADDRESS = 3600, 3, 10
 
 
+def sessions(requests: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, slot, session): a key's slots of ``window`` seconds with requests, and where its stretch without a pause of that length began.
+
+    No pause fits inside a slot, so only the ends of slots are compared, one row for each, however hot the key.
+    """
+    slots = requests.groupBy(key, F.floor(F.col("ts") / window).alias("slot")).agg(F.min("ts").alias("least"), F.max("ts").alias("most"))
+    order = Window.partitionBy(key).orderBy("slot")
+    begins = F.coalesce(F.col("least") - F.lag("most").over(order) >= window, F.lit(True))
+    return slots.withColumn("_begin", F.when(begins, F.col("slot"))).select(key, "slot", F.last("_begin", ignorenulls=True).over(order).alias("session"))
+
+
+def bursts(requests: DataFrame, window: int) -> DataFrame:
+    """The requests with ``burst``: those that share an e-mail or an address without a pause of ``window`` seconds, directly or through others."""
+    rows = requests.withColumn("slot", F.floor(F.col("ts") / window))
+    for key, mark in (("email", "e"), ("address", "i")):
+        found = sessions(rows, key, window).withColumn(f"_{mark}", F.concat_ws(":", F.lit(mark), "session", key)).drop("session")
+        rows = rows.join(found, [key, "slot"])
+    roots = key_groups(rows.select(F.col("_e").alias("a"), F.col("_i").alias("b")).distinct())
+    return rows.join(roots, F.col("_e") == F.col("key")).select(*requests.columns, F.col("root").alias("burst"))
+
+
 def rate_limit(requests: DataFrame, per_email: int = PER_EMAIL, per_address: int = PER_ADDRESS, window: int = WINDOW_S) -> DataFrame:
     """(request_id, allowed) of (request_id, email, address, ts seconds), exact (O-240).
 
-    A request counts against its email and its address only if it was allowed, so
-    two keys depend on each other through time.  Requests that share keys, directly or through
-    others, form a group; groups are independent and one fold runs per group.
+    A request counts against its email and its address only if it was allowed, so two keys
+    depend on each other through time, but not over a pause as long as the window.
+    Requests are cut into bursts by such pauses; each burst is folded in order as a
+    stream of sorted rows, which holds the allowed requests of the last window only.
+    A null e-mail or address is a key of its own; ties go by request_id.
     """
-    links = requests.select(F.concat(F.lit("e:"), F.coalesce("email", F.lit(""))).alias("a"), F.concat(F.lit("i:"), F.coalesce("address", F.lit(""))).alias("b")).distinct()
-    roots = key_groups(links)
-    rows = requests.withColumn("_k", F.concat(F.lit("e:"), F.coalesce("email", F.lit("")))).join(roots, F.col("_k") == F.col("key")).drop("_k", "key")
-
-    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        logs: dict[tuple[str, str], deque] = {}
-        allowed = []
-        for email, address, ts in zip(pdf["email"].fillna(""), pdf["address"].fillna(""), pdf["ts"], strict=True):
-            own = [logs.setdefault(k, deque()) for k in (("e", email), ("i", address))]
-            for log in own:
-                while log and log[0] <= ts - window:
-                    log.popleft()
-            ok = len(own[0]) < per_email and len(own[1]) < per_address
-            allowed.append(ok)
-            if ok:
+    rows = requests.select("request_id", F.coalesce("email", F.lit("")).alias("email"), F.coalesce("address", F.lit("")).alias("address"), F.col("ts").cast("double").alias("ts"))
+
+    def folded(batches):
+        import pyarrow as pa
+
+        burst, logs, purged = None, {}, 0.0
+        for batch in batches:
+            allowed = []
+            for now, email, address, ts in zip(*(batch.column(c).to_pylist() for c in ("burst", "email", "address", "ts")), strict=True):
+                if now != burst:
+                    burst, logs, purged = now, {}, ts
+                if ts - purged >= window:  # keys that have been idle are forgotten
+                    logs, purged = {k: log for k, log in logs.items() if log and log[-1] > ts - window}, ts
+                own = [logs.setdefault(k, deque()) for k in (("e", email), ("i", address))]
                 for log in own:
-                    log.append(ts)
-        return pd.DataFrame({"request_id": pdf["request_id"], "allowed": allowed})
+                    while log and log[0] <= ts - window:
+                        log.popleft()
+                ok = len(own[0]) < per_email and len(own[1]) < per_address
+                allowed.append(ok)
+                if ok:
+                    for log in own:
+                        log.append(ts)
+            yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array(allowed, pa.bool_())], ["request_id", "allowed"])
 
-    return rows.select("root", "request_id", "email", "address", F.col("ts").cast("double").alias("ts")).groupBy("root").applyInPandas(folded, "request_id long, allowed boolean")
+    placed = bursts(rows, window).repartition("burst").sortWithinPartitions("burst", "ts", "request_id")
+    return placed.mapInArrow(folded, f"request_id {rows.schema['request_id'].dataType.simpleString()}, allowed boolean")
 
 
 def key_groups(links: DataFrame) -> DataFrame:
-    """(key, root) of the connected keys of (a, b) links, by repeated minima until nothing changes."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    roots = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("key"), "root")
+    """(key, root) of the connected keys of (a, b) links, root the smallest key.
+
+    A key takes the least root among its neighbours, and then the root of its root, so
+    that long chains shrink by half or more in each round.
+    """
+    both = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("key"), "root"))
     while True:
         near = both.join(roots, both["b"] == roots["key"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots["key"] == near["a"]).select("key", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
-        step = checkpoint(step)
-        moved = step.filter("moved").limit(1).count()
+        step = checkpoint(roots.join(near, roots["key"] == near["a"]).select("key", "root", F.least("root", "near").alias("least")))
+        above = step.select(F.col("key").alias("_key"), F.col("least").alias("_root"))
+        step = checkpoint(step.join(above, F.col("least") == F.col("_key")).select("key", F.col("_root").alias("root"), (F.col("_root") < F.col("root")).alias("moved")))
         roots = step.select("key", "root")
-        if not moved:
+        if step.filter("moved").isEmpty():
             return roots
 
 
@@ -109,6 +140,112 @@ class ResponseCache:
         return {"size": len(self.entries), "hits": self.hits, "misses": self.misses}
 
 
+CACHE_SLICES = 64
+
+
+class Recent:
+    """The most recent distinct keys of a sequence with versions, ``size`` at most: what a least-recently-used cache holds."""
+
+    def __init__(self, size: int, keys: list[str] = (), version=None):
+        self.size, self.version = size, version
+        self.first = self.cleared = None
+        self.keys = OrderedDict((k, None) for k in keys)
+
+    def use(self, key: str, version) -> bool:
+        """Whether the key is held; afterwards it is the most recent one."""
+        if version is not None:
+            if self.version is not None and version != self.version:
+                self.keys.clear()
+                self.cleared = True
+            self.version = version
+            self.first = version if self.first is None else self.first
+        held = key in self.keys
+        self.keys[key] = None
+        self.keys.move_to_end(key)
+        if len(self.keys) > self.size:
+            self.keys.popitem(last=False)
+        return held
+
+
+def carried(summaries: list, size: int) -> dict[int, tuple[list[str], int | None]]:
+    """(keys, version) at the start of each slice, from (slice, keys, first version, last version, cleared) of the slices in order."""
+    keys, version, out = [], None, {}
+    for part, own, first, last, cleared in summaries:
+        out[part] = (keys, version)
+        fresh = cleared or (first is not None and version is not None and first != version)
+        seen = dict.fromkeys(own)
+        keys = (list(own) if fresh else [k for k in keys if k not in seen] + list(own))[-size:]
+        version = version if last is None else last
+    return out
+
+
+def cache_hits(requests: DataFrame, size: int = 100, ttl: float = 3600.0, slices: int = CACHE_SLICES) -> DataFrame:
+    """(request_id, hit) of (request_id, key, ts seconds, version): hits of one least-recently-used cache with a time to live (O-241).
+
+    Every request leaves its key the most recent, so the cache holds the last ``size``
+    distinct keys since the version last changed, whatever has expired.  The log is
+    cut into ``slices`` ranges of time.  A slice streams through ``size`` keys; what it leaves,
+    size keys at most, is carried over the slices on the driver (slices * size
+    keys), and each slice is then replayed from its start.  Expiry depends on the
+    key's own hits alone and is a fold over its rows, streamed in order.
+
+    A null version is no change of it; a null key is a key of its own; ties go by request_id.
+    """
+    ident = requests.schema["request_id"].dataType.simpleString()
+    rows = requests.select("request_id", F.concat(F.when(F.col("key").isNull(), "n").otherwise("k"), F.coalesce("key", F.lit(""))).alias("key"), F.col("ts").cast("double").alias("ts"), F.col("version").cast("long").alias("version"))
+    dealt = checkpoint(rows.repartitionByRange(slices, "ts", "request_id").withColumn("slice", F.spark_partition_id()))
+    ordered = dealt.repartition(slices, "slice").sortWithinPartitions("slice", "ts", "request_id")
+
+    def summed(batches):
+        import pyarrow as pa
+
+        def row():
+            return pa.RecordBatch.from_pylist([{"slice": part, "keys": list(held.keys), "first": held.first, "last": held.version, "cleared": bool(held.cleared)}], schema)
+
+        schema = pa.schema([("slice", pa.int32()), ("keys", pa.list_(pa.string())), ("first", pa.int64()), ("last", pa.int64()), ("cleared", pa.bool_())])
+        part, held = None, None
+        for batch in batches:
+            for now, key, version in zip(*(batch.column(c).to_pylist() for c in ("slice", "key", "version")), strict=True):
+                if now != part:
+                    if held is not None:
+                        yield row()
+                    part, held = now, Recent(size)
+                held.use(key, version)
+        if held is not None:
+            yield row()
+
+    ends = ordered.mapInArrow(summed, "slice int, keys array<string>, first long, last long, cleared boolean").orderBy("slice").collect()
+    starts = carried([tuple(r) for r in ends], size)
+
+    def replayed(batches):
+        import pyarrow as pa
+
+        part, held = None, None
+        for batch in batches:
+            found = []
+            for now, key, version in zip(*(batch.column(c).to_pylist() for c in ("slice", "key", "version")), strict=True):
+                if now != part:
+                    part, held = now, Recent(size, *starts[now])
+                found.append(held.use(key, version))
+            yield batch.select(["request_id", "key", "ts"]).append_column("held", pa.array(found, pa.bool_()))
+
+    def expired(batches):
+        import pyarrow as pa
+
+        key, put = None, 0.0
+        for batch in batches:
+            hits = []
+            for now, ts, held in zip(*(batch.column(c).to_pylist() for c in ("key", "ts", "held")), strict=True):
+                hit = held and now == key and ts - put <= ttl
+                if not hit:
+                    key, put = now, ts
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array(hits, pa.bool_())], ["request_id", "hit"])
+
+    used = ordered.mapInArrow(replayed, f"request_id {ident}, key string, ts double, held boolean")
+    return used.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInArrow(expired, f"request_id {ident}, hit boolean")
+
+
 def retry_delay(attempt: Column, base: float = 0.5, most: float = 4.0, jitter: Column | None = None) -> Column:
     """min(base * 2^n, most), times 1 + jitter in [-0.25, 0.25] (O-243)."""
     delay = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers, catalog, evaluation, issues, understanding
-from .registry import STRIP_SQL, query, table
+from .registry import STRIP_SQL, case, query, table
 
 
 def quoted(value) -> str:
@@ -64,7 +64,7 @@ def numbered(texts: list) -> list[tuple]:
     return list(enumerate(texts))
 
 
-@query(f"with asked as (select * from {values(numbered(QUESTIONS), 'i int, t string')}), {route_sql()} select i, kind, route, volume, issue from routes")
+@case(f"with asked as (select * from {values(numbered(QUESTIONS), 'i int, t string')}), {route_sql()} select i, kind, route, volume, issue from routes")
 def question_cases(spark, d):
     t = F.col("t")
     numbers = understanding.issue_numbers(t)
@@ -83,7 +83,7 @@ def question_routes(spark, d):
 LINES = ["தொடர் கதை", " சிறுவர் ", "--- Page 51 (scan_51.png) ---", "-- page 2 --", "சிறுவர் கதை", "", "a\nஅரங்கம்\nb\n--- Page 3 x ---", "- Page 3 -", "?!", "க", "_", None]
 
 
-@query(
+@case(
     f"""with a as (select * from {values(numbered(LINES), 'i int, t string')}), s as (select *, {STRIP_SQL.format('t')} as b from a),
 p as (select i, string_split(t, chr(10)) as parts from a),
 k as (select i, list_filter(parts, lambda x: not ({STRIP_SQL.format('x')} in ({', '.join(map(quoted, answers.SKIP_LINES))}) or regexp_matches({STRIP_SQL.format('x')}, '{answers.PAGE_MARKER}'))) as kept from p)
@@ -103,7 +103,7 @@ ANSWERS = [
 GARBAGE_SQL = " or ".join(f"regexp_matches(line, '{p}')" for p in answers.GARBAGE_LINES)
 
 
-@query(f"""with a as (select * from {values(numbered(ANSWERS), 'i int, t string')}),
+@case(f"""with a as (select * from {values(numbered(ANSWERS), 'i int, t string')}),
 l as (select i, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from a),
 o as (select *, sum(length(line) + 1) over (partition by i order by k) as upto, {GARBAGE_SQL} as bad from l),
 g as (select *, coalesce(max(case when not bad and trim(line) <> '' then upto end) over (partition by i order by k rows between unbounded preceding and 1 preceding), 0) as good from o),
@@ -121,7 +121,7 @@ EVIDENCE = [
 ]
 
 
-@query(rf"""with e as (select * from {values(EVIDENCE, 'qid int, rank int, question string, content string, heading string, doc_issue string, volume string')} where rank <= 10),
+@case(rf"""with e as (select * from {values(EVIDENCE, 'qid int, rank int, question string, content string, heading string, doc_issue string, volume string')} where rank <= 10),
 b as (select qid, first(question) as question, lower(string_agg(concat_ws(' ', content, heading, doc_issue, volume, 'an author'), ' ' order by rank)) as body from e group by qid),
 t as (select *, regexp_extract_all(question, '\b(19\d{{2}}|20\d{{2}})\b', 1) as years, regexp_extract_all(question, '[\x{{0B80}}-\x{{0BFF}}]{{2,}}') as tamil, regexp_extract_all(lower(question), '[a-z]{{3,}}') as english, regexp_extract_all(body, '[\x{{0B80}}-\x{{0BFF}}]{{2,}}') as words from b)
 select qid, case when len(years) > 0 then len(list_filter(years, lambda y: contains(body, y))) > 0 when len(tamil) + len(english) = 0 then true
@@ -161,7 +161,7 @@ HEADER_LINES = lines_of(HEADERS)
 HEADER_TABLE = values(HEADER_LINES, "source_document string, line_no int, line string")
 
 
-@query(rf"""with l as (select * from {HEADER_TABLE}), t as (select source_document, string_agg(line, chr(10) order by line_no) as t from l where line_no < 50 group by 1),
+@case(rf"""with l as (select * from {HEADER_TABLE}), t as (select source_document, string_agg(line, chr(10) order by line_no) as t from l where line_no < 50 group by 1),
 n as (select *, regexp_matches(t, 'பொங்கல்\s*மலர்') as f, cast(try_cast(nullif(regexp_extract(t, 'மலர்\s*[:—\-]?\s*(\d+)', 1), '') as bigint) as varchar) as v, cast(try_cast(nullif(regexp_extract(t, 'இதழ்\s*[:—\-]?\s*(\d+)', 1), '') as bigint) as varchar) as i, nullif(regexp_extract(t, '((?:19|20)\d{{2}})', 1), '') as y from t),
 b as (select source_document, if(f, 'பொங்கல்', v) as v, if(f, 'பொங்கல் மலர்', i) as i, y from n)
 select source_document, if(v is not null and i is not null, v, null) as volume, if(v is not null and i is not null, i, null) as issue, if(v is not null and i is not null, y, null) as year from b""".replace("\\\\", "\\"))
@@ -169,7 +169,7 @@ def header_numbers(spark, d):
     return issues.header_numbers(spark.createDataFrame(HEADER_LINES, "source_document string, line_no int, line string"))
 
 
-@query(rf"""with l as (select *, max(line_no) over (partition by source_document) as top from {HEADER_TABLE}),
+@case(rf"""with l as (select *, max(line_no) over (partition by source_document) as top from {HEADER_TABLE}),
 a as (select *, case when line_no < 150 then 0 when line_no > top - 50 then 1 end as area, nullif(regexp_extract(line, 'மலர்\s*[:—\-]?\s*(\d{{1,3}})', 1), '') as v, nullif(regexp_extract(line, 'இதழ்\s*[:—\-]?\s*(\d{{1,3}})', 1), '') as i from l)
 select source_document, coalesce(arg_min(v, area * 1000 + line_no) filter (v is not null), 'NA') as doc_id, coalesce(arg_min(i, area * 1000 + line_no) filter (i is not null), 'NA') as doc_issue from a where area is not null group by 1""".replace("\\\\", "\\"))
 def header_lines(spark, d):
@@ -180,7 +180,7 @@ FILES = [("f1", "1", "7"), ("f2", "1", "பொங்கல்"), ("f3", "2", "99
 ROWS = [("1", "7", "A"), ("1.0", "7.0", "B"), ("1", "பொங்கல் மலர் ", "C"), ("2", "3", "D"), ("1", None, "E")]
 
 
-@query(rf"""with f as (select source_document, regexp_replace(trim(volume), '^(-?\d+)\.0+$', '\1') as v, regexp_replace(trim(issue), '^(-?\d+)\.0+$', '\1') as i from {values(FILES, 'source_document string, volume string, issue string')}),
+@case(rf"""with f as (select source_document, regexp_replace(trim(volume), '^(-?\d+)\.0+$', '\1') as v, regexp_replace(trim(issue), '^(-?\d+)\.0+$', '\1') as i from {values(FILES, 'source_document string, volume string, issue string')}),
 c as (select *, regexp_replace(trim(volume), '^(-?\d+)\.0+$', '\1') as v, trim(regexp_replace(trim(coalesce(issue, '')), '^(-?\d+)\.0+$', '\1')) as i from {values(ROWS, 'volume string, issue string, title string')}),
 e as (select source_document, title, 'exact' as matched from f join c on f.v = c.v and f.i = c.i),
 s as (select source_document, title, 'similar' as matched from f join c on f.v = c.v and (contains(c.i, f.i) or contains(f.i, c.i)) where source_document not in (select source_document from e))
@@ -209,7 +209,7 @@ def distinct_authors(spark, d):
 CATALOGUE = [("T", "[A, B]", "1950.0", "7", "3", "x"), (None, "NA", "unknown", "PONGAL", None, "4.0"), ("U", "[C]", None, None, "12", "-2")]
 
 
-@query(f"""select coalesce(title, '') as title, case author when 'NA' then 'NA' else replace(replace(author, '[', ''), ']', '') end as author, {', '.join(f"coalesce(cast(try_cast(try_cast({c} as double) as bigint) as varchar), {c}) as {c}" for c in ('year', 'serial', 'order_no'))}, issue from {values(CATALOGUE, 'title string, author string, year string, issue string, serial string, order_no string')}""")
+@case(f"""select coalesce(title, '') as title, case author when 'NA' then 'NA' else replace(replace(author, '[', ''), ']', '') end as author, {', '.join(f"coalesce(cast(try_cast(try_cast({c} as double) as bigint) as varchar), {c}) as {c}" for c in ('year', 'serial', 'order_no'))}, issue from {values(CATALOGUE, 'title string, author string, year string, issue string, serial string, order_no string')}""")
 def article_projection(spark, d):
     return issues.article_projection(spark.createDataFrame(CATALOGUE, "title string, author string, year string, issue string, serial string, order_no string"))
 
@@ -217,7 +217,7 @@ def article_projection(spark, d):
 KEYS = ["covers/Vol1.png", "covers/x", "a.b/c.JPG", "https://drive.example/file/d/abc-1/view", "/d/x", None]
 
 
-@query(f"""select i, case when contains(t, '.') then t || coalesce(',' || array_to_string(list_transform(list_filter(['jpg', 'png', 'jpeg'], lambda s: s <> lower(regexp_extract(t, '\\.([^.]*)$', 1))), lambda s: regexp_replace(t, '[^.]*$', '') || s), ','), '') else t end as candidates, nullif(regexp_extract(t, '/d/([^/]+)', 1), '') as drive, coalesce(nullif(trim(split_part(coalesce(t, ''), ',', 1)), ''), 'peer') as address, trim(translate(t, '[]"' || chr(39), '')) as plain from {values(numbered(KEYS), 'i int, t string')}""")
+@case(f"""select i, case when contains(t, '.') then t || coalesce(',' || array_to_string(list_transform(list_filter(['jpg', 'png', 'jpeg'], lambda s: s <> lower(regexp_extract(t, '\\.([^.]*)$', 1))), lambda s: regexp_replace(t, '[^.]*$', '') || s), ','), '') else t end as candidates, nullif(regexp_extract(t, '/d/([^/]+)', 1), '') as drive, coalesce(nullif(trim(split_part(coalesce(t, ''), ',', 1)), ''), 'peer') as address, trim(translate(t, '[]"' || chr(39), '')) as plain from {values(numbered(KEYS), 'i int, t string')}""")
 def key_cases(spark, d):
     t = F.col("t")
     df = spark.createDataFrame(numbered(KEYS), "i int, t string")
@@ -236,7 +236,7 @@ TITLES = ["வேண்டாத ஆசை கதை", "பாரதியின
 TOPICS = {"வேண்டாத ஆசை": "1", "one old": "2", "கல்வி கலை அரசியல் xyz": "2b", "சிலப்பதிகாரக் அது": "3", "old titla": "4", "zzzz": None}
 
 
-@query(f"select * from (values {', '.join(f'({quoted(t)}, {quoted(s)})' for t, s in TOPICS.items() if s)}) v(topic, stage)")
+@case(f"select * from (values {', '.join(f'({quoted(t)}, {quoted(s)})' for t, s in TOPICS.items() if s)}) v(topic, stage)")
 def topic_cases(spark, d):
     """The stage that finds each topic."""
     rows = spark.createDataFrame([(t,) for t in TITLES], "title string")
@@ -253,7 +253,7 @@ AUTHORS = [
 ]
 
 
-@query(f"select i, m as matches from (values {', '.join(f'({i}, {str(m).lower()})' for i, (_, _, m) in enumerate(AUTHORS))}) v(i, m)")
+@case(f"select i, m as matches from (values {', '.join(f'({i}, {str(m).lower()})' for i, (_, _, m) in enumerate(AUTHORS))}) v(i, m)")
 def author_cases(spark, d):
     """Whether a name fits a cell, by any step of the match (O-150)."""
     out = None

@@ -7,7 +7,7 @@ for questions, ``embeddings`` for dense vectors, ``labels.quality`` for gains,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -36,6 +36,21 @@ def query(sql: str | None = None):
     return kept
 
 
+#: Semantics over a few rows made for them, with their SQL: tests, not registered queries, as they read no table.
+CASES: dict = {}
+CASES_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    """Keeps a function and its SQL under its name for the tests."""
+
+    def kept(f):
+        CASES[f.__name__], CASES_SQL[f.__name__] = f, sql
+        return f
+
+    return kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -444,8 +459,11 @@ def permutation_test(spark, d):
 
 @query()
 def rouge_l_chars(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"), F.substring("text", -200, 200).alias("tail"))
-    return docs.select("doc_id", F.round(U.rouge_l(F.col("head"), F.col("tail")), 6).alias("rouge_l"), F.round(U.bleu_1(F.col("head"), F.col("tail")), 6).alias("bleu_1"))
+    """Every turn of a conversation as an answer, scored whole against the turn before it."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(order).alias("before")).filter("before is not null")
+    scores = [F.round(f(F.col("before"), F.col("text")), 6).alias(n) for n, f in (("rouge_l", U.rouge_l), ("bleu_1", U.bleu_1), ("bleu_2", U.bleu_2))]
+    return turns.select("conv_id", "turn", *scores)
 
 
 # --- Tagging, vocabulary, fuzzy lookup ---
@@ -537,7 +555,16 @@ def requests(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id")).alias("email"), F.concat(F.lit("a"), F.col("user_id") % 40).alias("address"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts")).withColumn("ts", F.col("ts") / 1e6)
 
 
-@query()
+RATE_SQL = """with recursive r as materialized (select event_id as id, coalesce('u' || user_id, '') as e, coalesce('a' || user_id % 40, '') as a, epoch_us(ts) / 1e6 as ts,
+    row_number() over (order by ts, event_id) as n from events),
+walk as (select cast(0 as bigint) as n, cast(null as bigint) as id, false as ok, cast([] as struct(e varchar, a varchar, ts double)[]) as log
+  union all select n, id, ok, if(ok, list_append(l, {'e': e, 'a': a, 'ts': ts}), l) from (
+    select *, len(list_filter(l, lambda x: x.e = e)) < 3 and len(list_filter(l, lambda x: x.a = a)) < 10 as ok from (
+      select r.*, list_filter(w.log, lambda x: x.ts > r.ts - 3600) as l from walk w join r on r.n = w.n + 1)))
+select id as request_id, ok as allowed from walk where n > 0"""
+
+
+@query(RATE_SQL)
 def rate_limit_exact(spark, d):
     return state.rate_limit(requests(spark, d))
 
@@ -552,7 +579,25 @@ def ttl_cache_hits(spark, d):
     return state.ttl_hits(table(spark, d, "events"), "user_id").select("event_id", "hit")
 
 
-@query("select cast(n as integer) as attempt, least(0.5 * pow(2, n), 4.0) as delay from range(6) t(n)")
+LRU_SQL = """with recursive r as materialized (select event_id as id, coalesce(cast(user_id as varchar), '') || ':' || coalesce(event_type, '') as k, epoch_us(ts) / 1e6 as ts,
+    cast(floor(epoch_us(ts) / 1e6 / 604800) as bigint) as v, row_number() over (order by ts, event_id) as n from events),
+walk as (select cast(0 as bigint) as n, cast(null as bigint) as id, false as hit, cast([] as struct(k varchar, put double)[]) as held, cast(null as bigint) as v
+  union all select n, id, hit, list_append(list_filter(l, lambda x: x.k <> k)[-99:], {'k': k, 'put': if(hit, put, ts)}), v from (
+    select *, list_filter(l, lambda x: x.k = k)[1].put as put, coalesce(ts - list_filter(l, lambda x: x.k = k)[1].put <= 3600, false) as hit from (
+      select r.*, if(r.v <> w.v, [], w.held) as l from walk w join r on r.n = w.n + 1)))
+select id as request_id, hit from walk where n > 0"""
+
+
+@query(LRU_SQL)
+def lru_cache_hits(spark, d):
+    """One cache of 100 answers over the event log: a user's event type is the question, and the table's version changes every week."""
+    key = F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("event_type", F.lit("")))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    events = table(spark, d, "events").select(F.col("event_id").alias("request_id"), key.alias("key"), seconds.alias("ts"), F.floor(seconds / 604_800).alias("version"))
+    return state.cache_hits(events)
+
+
+@case("select cast(n as integer) as attempt, least(0.5 * pow(2, n), 4.0) as delay from range(6) t(n)")
 def retry_delays(spark, d):
     return spark.range(6).select(F.col("id").cast("int").alias("attempt"), state.retry_delay(F.col("id")).alias("delay"))
 

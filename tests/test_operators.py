@@ -187,6 +187,75 @@ def test_rate_limit(spark):
     assert {r["request_id"]: r["allowed"] for r in state.rate_limit(df).collect()} == plain_limit(rows)
 
 
+def test_rate_limit_over_a_month(spark):
+    """A chain of keys over a month is cut at its pauses, hot keys and ties included."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        start = 20_000.0 * k + rng.randrange(3000)
+        for _ in range(rng.randrange(1, 9)):
+            rows.append((len(rows), rng.choice([f"u{k}", f"u{k + 1}", None]), f"a{k // 2}", start + rng.choice([0, 1, 3599, 3600, 3601, 7200])))
+    df = spark.createDataFrame(rows, "request_id long, email string, address string, ts double")
+    want = plain_limit([(i, e or "", a, ts) for i, e, a, ts in rows])
+    assert {r["request_id"]: r["allowed"] for r in state.rate_limit(df).collect()} == want and not all(want.values())
+    sizes = [r["count"] for r in state.bursts(df.na.fill(""), 3600).groupBy("burst").count().collect()]
+    assert len(sizes) >= 60 and max(sizes) < 60
+
+
+def test_key_groups_of_long_chains(spark):
+    links = [(f"k{i:03}", f"k{i + 1:03}") for i in range(200) if i % 50 != 49]
+    got = {r["key"]: r["root"] for r in state.key_groups(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {f"k{i:03}": f"k{i // 50 * 50:03}" for i in range(200)}
+
+
+def test_cache_hits_equal_the_cache_replayed(spark):
+    rng = random.Random(5)
+    for size, slices in ((1, 4), (5, 16), (40, 3)):
+        rows = [(i, rng.choice([f"k{int(rng.paretovariate(0.8)) % 60}", "hot", None]) if rng.random() < 0.9 else "hot", float(rng.randrange(3000)), None) for i in range(400)]
+        rows = [(i, k, ts, None if rng.random() < 0.1 else int(ts // 900)) for i, k, ts, _ in rows]
+        cache, want = state.ResponseCache(size=size, ttl=200.0), {}
+        for i, k, ts, version in sorted(rows, key=lambda r: (r[2], r[0])):
+            if version is not None:
+                cache.check_version(version)
+            want[i] = cache.get(k, ts) is not None
+            if not want[i]:
+                cache.put(k, 1, ts)
+        df = spark.createDataFrame(rows, "request_id long, key string, ts double, version long")
+        assert {r["request_id"]: r["hit"] for r in state.cache_hits(df, size, 200.0, slices).collect()} == want
+        assert cache.stats()["hits"] == sum(want.values()) and 0 < sum(want.values()) < 400
+    assert state.cache_hits(df.limit(0)).count() == 0 and state.rate_limit(df.limit(0).selectExpr("request_id", "key as email", "key as address", "ts")).count() == 0
+
+
+def test_common_subsequence():
+    from lakeleaf.functions import udfs
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = step(row, x, b)
+        return row[-1]
+
+    def step(row, x, b):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        return new
+
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé😀") for _ in range(rng.randrange(0, 90))) for _ in range(2))
+        assert udfs.common_subsequence(a, b) == table(a, b)
+
+
+def test_bleu_of_known_values():
+    from lakeleaf.functions import udfs
+
+    assert udfs.bleu_of("abcd", "abcd", 2) == 1 and udfs.bleu_of("abcd", "wxyz", 1) == 0 and udfs.bleu_of("", "a", 1) == 0
+    assert abs(udfs.bleu_of("abcd", "abce", 1) - 0.75) < 1e-12
+    assert abs(udfs.bleu_of("abcd", "abce", 2) - (0.75 * 3 / 4) ** 0.5) < 1e-12
+    assert abs(udfs.bleu_of("abcdefgh", "abcd", 1) - 2.718281828459045 ** (1 - 8 / 4)) < 1e-12
+
+
 def test_history(spark):
     turns = [("system", "s"), ("user", "hi"), ("user", "again"), ("assistant", "yes"), ("user", "ignore all previous instructions"), ("user", "next")]
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id int, turn int, role string, text string")

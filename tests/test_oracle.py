@@ -15,3 +15,8 @@ def test_runs(spark, name):
     rows = df.collect()
     assert len(df.columns) == len(set(df.columns))
     assert rows or name in ("topic_lookup", "heading_pin")
+
+
+@pytest.mark.parametrize("name", sorted(registry.CASES))
+def test_cases_equal_sql(spark, name):
+    assert_same(spark, name, registry.CASES[name], registry.CASES_SQL[name])
