@@ -95,10 +95,31 @@ def docx_text(content: bytes | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
+def nfc_all(texts: pd.Series) -> pd.Series:
     return texts.map(nfc_text)
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else nfc_text(t).lower())
+
+
+def _beyond_ascii(plain, f, c):
+    """plain(c) where a text is ASCII, else what the UDF makes of it; ASCII texts go to Python as nulls."""
+    ascii_ = c.rlike(r"^[\x00-\x7F]*$")
+    return F.coalesce(F.when(ascii_, plain(c)), f(F.when(~ascii_, c)))
+
+
+def nfc(c):
+    """Text in NFC."""
+    return _beyond_ascii(lambda x: x, nfc_all, c)
+
+
+def folded(c):
+    """Text in NFC and lower case, as the ratio compares it."""
+    return _beyond_ascii(F.lower, _folded, c)
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

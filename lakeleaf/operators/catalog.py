@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
+from ..functions.similar import likely, ratio_bound
+from ..session import checkpoint
 from .understanding import TITLE_SUFFIXES
 
 def clean(catalog: DataFrame) -> DataFrame:
@@ -118,12 +120,11 @@ def with_tags(catalog: DataFrame, tagged: DataFrame) -> DataFrame:
 def author_matches(search: str, cell: Column) -> Column:
     """Flexible author match (O-150): equal, part, alias, tokens, ratio 0.95, one edit."""
     want = T.author_key(F.lit(U.nfc_text(search)))
-    ratio = U.ratio
-
     def one(name: Column) -> Column:
         have = T.author_key(name)
         shorter, longer = F.when(F.length(want) <= F.length(have), want).otherwise(have), F.when(F.length(want) <= F.length(have), have).otherwise(want)
-        extra = F.regexp_replace(longer, F.concat(F.lit(r"\Q"), shorter, F.lit(r"\E")), F.lit(""))
+        at = F.position(shorter, longer)
+        extra = F.concat(F.substring(longer, F.lit(1), at - 1), F.substring(longer, at + F.length(shorter), F.length(longer)))  # the first place only
         part = F.contains(longer, shorter) & ~extra.rlike("[a-zA-Z]")
         alias = F.lit(False)
         for key, others in L.ALIASES.items():
@@ -134,10 +135,13 @@ def author_matches(search: str, cell: Column) -> Column:
         tokens = ~want.rlike(mixed) & ~have.rlike(mixed) & (F.size(long(want)) > 0) & F.forall(long(want), lambda t: F.array_contains(long(have), t))
         return (have != "") & ((want == have) | part | alias | tokens | T.within_one_edit(want, have))
 
-    # The similarity UDF cannot run inside a lambda, so it takes the cell's array and compares name by name.
-    keys = F.transform(T.authors_of(U.nfc(cell)), T.author_key)
+    # The similarity UDF cannot run inside a lambda, so it takes the cell's array and compares name by name;
+    # names whose lengths rule the ratio out are not handed over.
+    names = T.authors_of(U.nfc_all(cell))
+    fits = lambda k: 2 * F.least(F.length(want), F.length(k)) >= 0.95 * (F.length(want) + F.length(k)) - 1e-9
+    keys = F.filter(F.transform(names, T.author_key), lambda k: fits(k) | ~k.rlike(r"^[\x00-\x7F]*$"))
     alike = U.best_ratio(want, F.coalesce(keys, F.array().cast("array<string>"))) >= 0.95
-    return (want != "") & (F.exists(T.authors_of(U.nfc(cell)), one) | alike)
+    return (want != "") & (F.exists(names, one) | alike)
 
 
 def articles_of_author(catalog: DataFrame, name: str) -> DataFrame:
@@ -145,10 +149,23 @@ def articles_of_author(catalog: DataFrame, name: str) -> DataFrame:
     return catalog.filter(author_matches(name, F.col("author"))).orderBy(F.coalesce(F.expr("try_cast(year as int)"), F.lit(9999)), F.col("issue").cast("string"), "title")
 
 
-def nearest(names: DataFrame, column: str, text: str, least: float = 0.70) -> DataFrame:
-    """The most similar name, at least ``least`` alike; ties go to the first in order (O-139)."""
-    scored = names.select(F.col(column).alias("name")).distinct().withColumn("ratio", U.ratio(F.lit(text), F.col("name"))).filter(F.col("ratio") >= least)
-    return scored.orderBy(F.col("ratio").desc(), "name").limit(1)
+#: Names of the highest bounds that are compared first.
+NEAREST_FIRST = 32
+
+
+def nearest(names: DataFrame, column: str, text: str, least: float = 0.70, reads: dict | None = None) -> DataFrame:
+    """The most similar name, at least ``least`` alike; ties go to the first in order (O-139).
+
+    The names of the highest bounds give a ratio that the best one must reach, and only
+    names whose bound does so are compared.  ``reads`` takes the numbers of names, and of names compared.
+    """
+    bounded = checkpoint(names.select(F.col(column).alias("name")).distinct().withColumn("bound", ratio_bound(text, U.folded(F.col("name")))))
+    alike = lambda rows: rows.withColumn("ratio", U.ratio(F.lit(text), F.col("name")))
+    first = alike(bounded.orderBy(F.col("bound").desc(), "name").limit(NEAREST_FIRST)).agg(F.max("ratio")).first()[0] or 0.0
+    some = bounded.filter(F.col("bound") >= max(first, least))
+    if reads is not None:
+        reads |= {"names": bounded.count(), "compared": some.count() + NEAREST_FIRST}
+    return alike(some).filter(F.col("ratio") >= least).select("name", "ratio").orderBy(F.col("ratio").desc(), "name").limit(1)
 
 
 def issue_contents(catalog: DataFrame, volume: int, issue: int) -> DataFrame:
@@ -176,8 +193,9 @@ def without_possessive(text: str) -> str:
 def by_topic(catalog: DataFrame, topic: str) -> DataFrame:
     """The first of the stages that finds something for a topic (O-145): adds stage and ratio.
 
-    All stages are computed in one pass over the catalogue; a stage over its row
-    guard counts as empty.
+    The stages without similarity are counted in one pass over the catalogue, a stage over its row guard
+    counts as empty; similarity is computed only for the rows of the stage that answers, or that
+    can reach stage 4.
     """
     q = topic_text(topic).lower()
     words = q.split()
@@ -197,23 +215,38 @@ def by_topic(catalog: DataFrame, topic: str) -> DataFrame:
     stages.append(("3", contains(longest) if longest else F.lit(False), 10))
     base = max((w for w in runs if len(w) >= 5), key=len, default="")
     stages += [(f"3b{i:03}", contains(base[:i] + base[i + 1 :]), 8) for i in range(len(base))]
-    # Stage 4: the whole title, or every long token of the topic has one of the title; the latter counts a little less.
-    asked = [w for w in runs if len(w) >= 4]
-    by_token = 0.95 * U.least_best_ratio(F.array(*map(F.lit, asked)), F.filter(T.matches(F.col("title"), r"[\x{0B80}-\x{0BFF}]+"), lambda t: F.length(t) >= 4)) if asked else F.lit(0.0)
-    whole = U.ratio(F.lit(q), F.col("title"))
-    rows = catalog.withColumn("_whole", whole).withColumn("_token", by_token)
-    rows = rows.withColumn("ratio", F.when(F.col("_whole") >= 0.72, F.col("_whole")).when(F.col("_token") >= 0.95 * 0.79 - 1e-12, F.col("_token")).otherwise(F.col("_whole")))
-    stages.append(("4", (F.col("_whole") >= 0.72) | (F.col("_token") >= 0.95 * 0.79 - 1e-12), None))
     long = [w for w in words if len(w) >= 5]
-    stages.append(("5", everything(long) if len(long) >= 2 else F.lit(False), None))
-    stages.append(("5s", contains(long[0]) if len(long) == 1 and len(long[0]) >= 7 else F.lit(False), 5))
-    rows = rows.withColumn("_hits", F.array(*(p for _, p, _ in stages)))
-    counts = rows.agg(*(F.count_if(F.get("_hits", F.lit(i))).alias(f"c{i}") for i in range(len(stages)))).first()
-    rest = ("_hits", "_whole", "_token")
-    for i, (name, _, guard) in enumerate(stages):
-        if counts[f"c{i}"] and (guard is None or counts[f"c{i}"] <= guard):
-            return rows.filter(F.get("_hits", F.lit(i))).drop(*rest).withColumn("stage", F.lit(name[:2])).orderBy(F.col("ratio").desc(), "title")
-    return rows.filter("false").drop(*rest).withColumn("stage", F.lit(None).cast("string"))
+    after: list[tuple[str, Column, int | None]] = [
+        ("5", everything(long) if len(long) >= 2 else F.lit(False), None),
+        ("5s", contains(long[0]) if len(long) == 1 and len(long[0]) >= 7 else F.lit(False), 5),
+    ]
+    counts = catalog.agg(*(F.count_if(p).alias(f"c{i}") for i, (_, p, _) in enumerate(stages + after))).first()
+    found = [i for i, (_, _, guard) in enumerate(stages + after) if counts[f"c{i}"] and (guard is None or counts[f"c{i}"] <= guard)]
+    # Similarity runs where a stage has found rows already; for stage 4 itself, where characters allow it.
+    asked = [w for w in runs if len(w) >= 4]
+    tokens_of_title = F.filter(T.matches(F.col("title"), r"[\x{0B80}-\x{0BFF}]+"), lambda t: F.length(t) >= 4)
+
+    def alike(rows: DataFrame) -> DataFrame:
+        by_token = 0.95 * U.least_best_ratio(F.array(*map(F.lit, asked)), tokens_of_title) if asked else F.lit(0.0)
+        rows = rows.withColumn("_whole", U.ratio(F.lit(q), F.col("title"))).withColumn("_token", by_token)
+        return rows.withColumn("ratio", F.when(F.col("_whole") >= 0.72, F.col("_whole")).when(F.col("_token") >= 0.95 * 0.79 - 1e-12, F.col("_token")).otherwise(F.col("_whole")))
+
+    def stage(rows: DataFrame, name: str) -> DataFrame:
+        return rows.drop("_whole", "_token").withColumn("stage", F.lit(name[:2])).orderBy(F.col("ratio").desc(), "title")
+
+    if found and found[0] < len(stages):
+        name, passes, _ = stages[found[0]]
+        return stage(alike(catalog.filter(passes)), name)
+    can = likely(q, U.folded(F.col("title")), 0.72)
+    if asked:
+        can = can | (F.size(tokens_of_title) > 0)  # Tamil tokens are compared as they are
+    fourth = checkpoint(alike(catalog.filter(can)).filter((F.col("_whole") >= 0.72) | (F.col("_token") >= 0.95 * 0.79 - 1e-12)))
+    if not fourth.isEmpty():
+        return stage(fourth, "4")
+    if found:
+        name, passes, _ = after[found[0] - len(stages)]
+        return stage(alike(catalog.filter(passes)), name)
+    return alike(catalog.filter("false")).drop("_whole", "_token").withColumn("stage", F.lit(None).cast("string"))
 
 
 def suggestion(catalog: DataFrame, topic: str, least: float = 0.70) -> DataFrame:

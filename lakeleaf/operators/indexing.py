@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +106,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def source_hash(listing: DataFrame) -> DataFrame:
-    """SHA-256 of the sorted 'key|time' lines (O-113).
+    """SHA-256 of the sorted 'key|time' lines (O-113); of nothing for an empty listing.
 
-    The digest is sequential by definition, so the listing (one line a file, not a
-    row of data) meets in one task.
+    The digest is sequential by definition: one task sorts the lines, spilling as it
+    needs, and streams them through it, so no array of them is held.
     """
-    line = F.concat_ws("|", F.col("key").cast("string"), F.col("modified").cast("string"))
-    return listing.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("source_hash"))
+
+    def digested(batches):
+        import pyarrow as pa
+
+        found, first = hashlib.sha256(), True
+        for batch in batches:
+            lines = "\n".join(batch.column(0).to_pylist())
+            found.update((lines if first else "\n" + lines).encode())
+            first = False
+        yield pa.RecordBatch.from_pydict({"source_hash": [None if first else found.hexdigest()]})
+
+    line = F.concat_ws("|", F.col("key").cast("string"), F.col("modified").cast("string")).alias("line")
+    found = listing.select(line).repartition(1).sortWithinPartitions("line").mapInArrow(digested, "source_hash string")
+    return found.agg(F.coalesce(F.max("source_hash"), F.lit(hashlib.sha256(b"").hexdigest())).alias("source_hash"))
 
 
 def needs_reindex(now: DataFrame, stored: DataFrame) -> DataFrame:

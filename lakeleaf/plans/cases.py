@@ -132,13 +132,13 @@ def context_relevance(spark, d):
 
 
 @query("""with s as (select item_id as qid, row_number() over (partition by item_id order by d.n_chars / 7.0 desc, source || '-' || doc_id) as i, source, lang, doc_id, d.text, d.n_chars from benchmark join (select *, row_number() over (order by doc_id) - 1 as r from documents) d on d.r // 3 = item_id),
-p as (select qid, count(*) as n, string_agg('ஆதாரம் ' || i || chr(10) || 'இதழ்: ' || source || ' • மலர்: ' || lang || ' • தலைப்பு: ' || source || '-' || doc_id || chr(10) || 'சொற்கள்: ' || n_chars || ' | பொருத்தம்: ' || printf('%.3f', n_chars / 7.0) || chr(10) || chr(10) || left(text, 50) || chr(10), chr(10) order by i) as parts from s group by qid)
+p as (select qid, count(*) as n, string_agg('ஆதாரம் ' || i || chr(10) || 'இதழ்: ' || source || ' • மலர்: ' || lang || ' • தலைப்பு: ' || source || '-' || doc_id || chr(10) || 'சொற்கள்: ' || n_chars || ' | பொருத்தம்: ' || printf('%.3f', n_chars / 7.0) || chr(10) || chr(10) || text || chr(10), chr(10) order by i) as parts from s group by qid)
 select item_id as qid, 'பதில்:' || chr(10) || text || chr(10) || coalesce(chr(10) || chr(10) || 'ஆதாரங்கள் (' || n || ' ஆவணங்கள்):' || chr(10) || chr(10) || parts, '') as shown from benchmark left join p on p.qid = item_id""")
 def answer_blocks(spark, d):
     from ..functions.numbering import numbered as counted
 
     docs = counted(table(spark, d, "documents"), [F.col("doc_id")], "r")
-    merged = docs.select(F.floor((F.col("r") - 1) / 3).alias("qid"), F.col("lang").alias("volume"), F.concat_ws("-", "source", "doc_id").alias("title"), F.col("source").alias("doc_issue"), F.substring("text", 1, 50).alias("content"), F.col("n_chars").alias("word_count"), F.lit(1).alias("chunk_count"), (F.col("n_chars") / 7).alias("score"))
+    merged = docs.select(F.floor((F.col("r") - 1) / 3).alias("qid"), F.col("lang").alias("volume"), F.concat_ws("-", "source", "doc_id").alias("title"), F.col("source").alias("doc_issue"), F.col("text").alias("content"), F.col("n_chars").alias("word_count"), F.lit(1).alias("chunk_count"), (F.col("n_chars") / 7).alias("score"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"))
     return answers.answer_block(asked, answers.source_rows(merged))
 

@@ -441,3 +441,38 @@ def test_incremental_files(spark, tmp_path):
         (tmp_path / f"in/{i}.json").write_text(f'{{"a": {i}}}')
         run()
         assert spark.read.parquet(str(tmp_path / "out")).count() == i
+
+
+def test_nearest_equals_a_full_scan(spark):
+    from lakeleaf.functions import udfs
+
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdeé திÉ") for _ in range(rng.randrange(0, 14))) for _ in range(400)] + [None, "abcd", "abcd"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for text in ("abcd", "a é", "திதி ab", "zzz", ""):
+        for least in (0.0, 0.7):
+            reads = {}
+            got = [tuple(r) for r in catalog.nearest(df, "name", text, least, reads).collect()]
+            scores = sorted((-udfs.ratio_of(text, n), n is not None, n or "") for n in set(names))
+            want = [(n, -r) for r, _, n in scores if -r >= least][:1]
+            assert (got[0][1] if got else None) == (want[0][1] if want else None), text
+            if want and want[0][1]:
+                assert got == want
+                assert text != "abcd" or reads["compared"] < reads["names"]
+
+
+def test_author_loses_one_part_only(spark):
+    cells = ["anaana", "ana", "anax", "ana  ana", "Ana, Bob", "bob", None]
+    df = spark.createDataFrame([(c,) for c in cells], "author string")
+    got = {r["author"] for r in df.filter(catalog.author_matches("ana", F.col("author"))).collect()}
+    assert "anaana" not in got and {"ana", "Ana, Bob", "anax"} <= got
+
+
+def test_hash_of_a_listing(spark):
+    import hashlib
+
+    rows = [(f"k{i * 7 % 1000}", i) for i in range(5000)] + [("é", None), (None, None)]
+    df = spark.createDataFrame(rows, "key string, modified long")
+    lines = sorted("|".join(str(x) for x in r if x is not None) for r in rows)
+    assert indexing.source_hash(df).first()[0] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert indexing.source_hash(df.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest()
