@@ -14,6 +14,10 @@ sizes and token positions, and a tile emits a spanning forest of what passes.
 The groups of a candidate component are expanded to their texts and verified on full sets
 in tiles, as in near_dedup.  So no table grows with the square of a list or a group.
 
+Before texts are fetched, in both rounds, tiles compare parity bitmaps of the sets, a
+bit or two for every shingle: a bit that differs proves a shingle that only one set holds, so the
+number of such bits bounds the similarity from above and no link is lost.
+
 Defined cases: a null text, or one without words, has no shingles and is linked with
 nothing; with fewer words than a shingle the whole sequence is one; rows that repeat both id
 and text get the same result; a row with a null doc_id is linked with nothing and has a null
@@ -29,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches, slices, written
-from .near_dedup import class_of, components, confirmed, maybe_in, near_duplicates_sql, normal_words, shingle_set, tiles, word_hashes
+from .near_dedup import class_of, components, confirmed, near_duplicates_sql, normal_words, shingle_set, tiles, word_hashes
 
 CELLS = 1 << 17
 LIST_BLOCK = 512
 SIZES = "doc_id long, class long, n_shingles long, cell int, seen long"
-PREFIXES = "class long, n_shingles long, group long, prefix array<long>"
+PREFIXES = "class long, n_shingles long, group long, prefix array<long>, bits binary"
 
 
 def cells_of(shingles: np.ndarray, cells: int) -> np.ndarray:
@@ -72,20 +76,52 @@ def sized(documents: DataFrame, width: int, cells: int = CELLS) -> DataFrame:
 
 def cell_ranks(rows: DataFrame, cells: int = CELLS) -> np.ndarray:
     """Rank of every cell by what it has counted; at most ``cells`` rows come to the driver."""
+    counted = rows.filter("cell is not null").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     ranks, seen = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
-    for r in rows.filter("cell is not null").groupBy("cell").agg(F.sum("seen").alias("seen")).collect():
-        seen[r["cell"]] = r["seen"]
+    seen[counted.column("cell").to_numpy()] = counted.column("seen").to_numpy()
     ranks[np.lexsort((np.arange(cells), seen))] = np.arange(cells)
     return ranks.astype(np.int32)
 
 
+def among(rows: DataFrame, keys: DataFrame, column: str, most_bits: int = 1 << 24) -> DataFrame:
+    """Rows whose key may be among the keys, by a broadcast bitmap of hashed keys: 16 bits a key, ``most_bits`` in all.
+
+    The bitmap never rules out a key that is there; with more keys more rows pass to the join that follows.
+    It goes through the driver as one Arrow column, which takes a fraction of the memory of rows.
+    """
+    import pyarrow as pa
+
+    bits = min(most_bits, 1 << max(6, (16 * keys.count()).bit_length()))
+    place = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
+    words = keys.select(place().alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    one = pa.table({"_held": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))})
+    bitmap = rows.sparkSession.createDataFrame(one)
+    seen = F.expr("shiftrightunsigned(_held[cast(shiftright(_place, 6) as int)], cast(_place % 64 as int)) & 1L")
+    return rows.crossJoin(F.broadcast(bitmap)).withColumn("_place", place()).filter(seen == 1).select(*rows.columns)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of which a linked set shares one: n less the least intersection, and one."""
     return n + (-percent * n) // 100 + 1
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """For every place of a bitmap of 64 bits or more, at least one a shingle, whether it has an odd number of them."""
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    held = np.bincount(((shingles >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").tobytes()
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows) of half the size."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
 def prefixes(documents: DataFrame, width: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """PREFIXES of the documents with words: class, set size, hash of prefix and size, and the prefix, rare tokens first."""
+    """PREFIXES of the documents with words: class, set size, hash of prefix and size, the prefix, rare tokens first, and the parity bitmap."""
 
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -93,7 +129,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, ranks: np.ndarray)
 
         for batch in batches:
             for part in slices(batch, 1):
-                classes, sizes, groups, heads, offsets = [], [], [], [], [0]
+                classes, sizes, groups, heads, bits, offsets = [], [], [], [], [], [0]
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = normal_words(text)
                     if doc_id is None or not words:
@@ -104,11 +140,12 @@ def prefixes(documents: DataFrame, width: int, percent: int, ranks: np.ndarray)
                     sizes.append(len(shingles))
                     groups.append(xxhash.xxh3_64_intdigest(head.tobytes(), seed=len(shingles)))
                     heads.append(head)
+                    bits.append(parity_bits(shingles))
                     offsets.append(offsets[-1] + len(head))
                 tokens = np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(groups, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))],
-                    ["class", "n_shingles", "group", "prefix"],
+                    [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(groups, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens)), pa.array(bits, pa.binary())],
+                    ["class", "n_shingles", "group", "prefix", "bits"],
                 )
 
     return map_batches(documents.select("doc_id", "text"), cut, PREFIXES)
@@ -118,7 +155,7 @@ def lists(cut: DataFrame) -> DataFrame:
     """(token, group, n, at) of tokens in the prefixes of two groups or more; a group is listed once, whatever its members."""
     postings = cut.select(F.posexplode("prefix").alias("at", "token"), "group", F.col("n_shingles").alias("n"))
     shared = written(postings.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token"))
-    near = maybe_in(postings, shared, "token").groupBy("token", "group").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    near = among(postings, shared, "token").groupBy("token", "group").agg(F.min("n").alias("n"), F.min("at").alias("at"))
     return written(near.join(shared, "token"))
 
 
@@ -127,19 +164,96 @@ def size_band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / -F.log(F.lit(0.8)))
 
 
-def star_links(listed: DataFrame, members: DataFrame, texts, percent: int, width: int) -> DataFrame:
-    """Links (a, b) of the first round: groups against the first of their list and size band, texts against the first of their group."""
+def star_pairs(listed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(centre, member) classes of the first round: groups against the first of their list and size band, texts against the first of their group."""
     leaders = members.groupBy("group").agg(F.min("class").alias("leader"))
     firsts = listed.groupBy("token", size_band(F.col("n")).alias("band")).agg(F.min(F.struct("group", "n")).alias("first"), F.max("group").alias("last")).filter("first.group < last")
     pairs = listed.withColumn("band", size_band(F.col("n"))).join(firsts, ["token", "band"]).filter("group <> first.group")
     pairs = pairs.filter(100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")).select("group", F.col("first.group").alias("centre")).distinct()
-    pairs = pairs.join(leaders, "group").select(F.col("leader").alias("member"), F.col("centre").alias("group")).join(leaders, "group").select("member", F.col("leader").alias("centre"))
-    stars = checkpoint(pairs.unionByName(members.join(leaders, "group").filter("class <> leader").select(F.col("class").alias("member"), F.col("leader").alias("centre"))).distinct())
+    pairs = pairs.join(leaders, "group").select(F.col("leader").alias("member"), F.col("centre").alias("group")).join(leaders, "group").select(F.col("leader").alias("centre"), "member")
+    inside = members.join(leaders, "group").filter("class <> leader").select(F.col("leader").alias("centre"), F.col("class").alias("member"))
+    return pairs.unionByName(inside).distinct()
+
+
+def star_tiles(stars: DataFrame) -> DataFrame:
+    """(tile, side, class) of (centre, member): a centre on side 0 with at most LIST_BLOCK or so of its members."""
+    stars = checkpoint(stars)
     blocks = stars.groupBy("centre").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
-    dealt = stars.join(blocks, "centre").select("member", "centre", F.xxhash64("centre", F.pmod(F.xxhash64("member"), F.col("blocks"))).alias("tile"))
-    dealt = checkpoint(dealt)
-    rows = dealt.select("tile", F.lit(1).alias("side"), F.col("member").alias("class")).unionByName(dealt.select("tile", F.lit(0).alias("side"), F.col("centre").alias("class")).distinct())
-    return verified(rows, texts, percent, width)
+    dealt = checkpoint(stars.join(blocks, "centre").select("member", "centre", F.xxhash64("centre", F.pmod(F.xxhash64("member"), F.col("blocks"))).alias("tile")))
+    return dealt.select("tile", F.lit(1).alias("side"), F.col("member").alias("class")).unionByName(dealt.select("tile", F.lit(0).alias("side"), F.col("centre").alias("class")).distinct())
+
+
+def whole_tiles(batches: Iterable) -> Iterator[list]:
+    """Columns, as Arrow arrays, of batches sorted by their first column, dealt anew so that each tile is in one piece."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        tile = held.column(0).to_numpy()
+        ends = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        if len(ends):
+            yield held.slice(0, int(ends[-1])).combine_chunks().columns
+            held = held.slice(int(ends[-1]))  # the last tile may go on
+    if held is not None and held.num_rows:
+        yield held.combine_chunks().columns
+
+
+def tile_ends(tile: np.ndarray) -> np.ndarray:
+    """Where each tile of the sorted column begins, and the column's length."""
+    return np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
+
+
+def maybe_links(bits: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bitmaps allow a link; across the sides, if there are two, side 0 first.
+
+    A pair is compared at the size of the smaller bitmap, to which the larger is folded.
+    """
+    lengths = np.array([len(b) for b in bits])
+    across = sides.any() and not sides.all()
+    label, out = np.arange(len(bits)), []
+    held = np.empty(0, np.int64)  # the nodes so far, longest bitmaps first
+    rows = np.empty((0, lengths.max()), np.uint8)
+    for m in np.unique(lengths)[::-1]:
+        while rows.shape[1] > m:
+            rows = halved(rows)
+        own = np.flatnonzero(lengths == m)
+        rows = np.concatenate([rows, np.stack([bits[i] for i in own])])
+        first = len(held)
+        held = np.concatenate([held, own])
+        words = np.ascontiguousarray(rows).view(np.uint64)
+        for k in range(max(1, first), len(held)):
+            i, others = held[k], held[:k]
+            differ = np.bitwise_count(words[:k] ^ words[k]).sum(axis=1, dtype=np.int64)
+            some = (100 + percent) * differ <= (100 - percent) * (sizes[i] + sizes[others])
+            some &= 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
+            if across:
+                some &= sides[i] != sides[others]
+            near = others[some]
+            for old, at in zip(*np.unique(label[near], return_index=True), strict=True):
+                if old != label[i]:
+                    label[label == old] = label[i]
+                    out.append((i, near[at]) if sides[i] <= sides[near[at]] else (near[at], i))
+    return out
+
+
+def sifted(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest, per tile of (tile, side, class), of the pairs that their bitmaps allow."""
+
+    def sift(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for columns in whole_tiles(batches):
+            tile, side, node, n = (c.to_numpy() for c in columns[:4])
+            bits, pairs, ends = columns[4], [], tile_ends(tile)
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                maps = [np.frombuffer(x, np.uint8) for x in bits.slice(a, b - a).to_pylist()]
+                pairs += [(a + i, a + k) for i, k in maybe_links(maps, n[a:b], side[a:b], percent)] if b - a > 1 else []
+            both = np.array(pairs, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[both[:, i]]) for i in (0, 1)], ["a", "b"])
+
+    found = rows.join(maps, "class").select("tile", "side", "class", "n_shingles", "bits")
+    return map_batches(found.repartition("tile").sortWithinPartitions("tile"), sift, "a long, b long")
 
 
 def verified(rows: DataFrame, texts, percent: int, width: int) -> DataFrame:
@@ -148,26 +262,44 @@ def verified(rows: DataFrame, texts, percent: int, width: int) -> DataFrame:
     return checkpoint(confirmed(found.repartition("tile").sortWithinPartitions("tile"), percent, width))
 
 
-def passing(sizes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a tile that may be links between different components.
+#: Rows of a tile up to which all passing pairs are emitted; a larger one emits a spanning forest of them.
+SMALL_TILE = 16
+
+
+def may_pass(rows: tuple[np.ndarray, ...], i, j, across, percent: int) -> np.ndarray:
+    """Whether groups i and j of (size, first common place, lowest and highest component, side) may be linked and lie in different components.
 
     What two sets can share after their first common token is bounded by the shorter rest.
     """
-    n = len(sizes)
-    across = sides.any() and not sides.all()
-    label, out = np.arange(n), []
-    for i in range(1, n):
-        some = np.minimum(sizes[i], sizes[:i]) * 100 >= percent * np.maximum(sizes[i], sizes[:i])
-        some &= (100 + percent) * np.minimum(sizes[i] - at[i], sizes[:i] - at[:i]) >= percent * (sizes[i] + sizes[:i])
-        some &= (low[i] != high[i]) | (low[:i] != high[:i]) | (low[i] != low[:i])
-        if across:
-            some &= sides[i] != sides[:i]
-        near = np.flatnonzero(some)
-        for old, first in zip(*np.unique(label[near], return_index=True), strict=True):
-            if old != label[i]:
-                label[label == old] = label[i]
-                out.append((i, int(near[first])))
-    return out
+    n, at, low, high, side = rows
+    some = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
+    some &= (100 + percent) * np.minimum(n[i] - at[i], n[j] - at[j]) >= percent * (n[i] + n[j])
+    some &= (low[i] != high[i]) | (low[j] != high[j]) | (low[i] != low[j])
+    return some & (~across | (side[i] != side[j]))
+
+
+def passing_pairs(tile: np.ndarray, rows: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
+    """Row pairs of the tiles that pass: all of small tiles, at one distance after the other, a spanning forest of each large one."""
+    ends = tile_ends(tile)
+    sizes, side = np.diff(ends), rows[4]
+    mixed_sides = (np.maximum.reduceat(side, ends[:-1]) != np.minimum.reduceat(side, ends[:-1])) if len(tile) else np.empty(0, bool)
+    until, across = np.repeat(np.where(sizes <= SMALL_TILE, ends[1:], 0), sizes), np.repeat(mixed_sides, sizes)
+    found, at = [np.empty((0, 2), np.int64)], np.arange(len(tile))
+    for step in range(1, SMALL_TILE):
+        i = at[at + step < until]
+        i = i[may_pass(rows, i, i + step, across[i], percent)]
+        found.append(np.stack([i, i + step], axis=1))
+    for k in np.flatnonzero(sizes > SMALL_TILE):
+        first = ends[k]
+        label = np.arange(sizes[k])
+        for i in range(1, sizes[k]):
+            others = first + np.arange(i)
+            near = np.flatnonzero(may_pass(rows, np.full(i, first + i), others, across[others], percent))
+            for old, place in zip(*np.unique(label[near], return_index=True), strict=True):
+                if old != label[i]:
+                    label[label == old] = label[i]
+                    found.append(np.array([[first + i, first + near[place]]]))
+    return np.concatenate(found)
 
 
 def candidates(listed: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
@@ -183,25 +315,10 @@ def candidates(listed: DataFrame, labelled: DataFrame, percent: int) -> DataFram
     def filtered(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            tile, side, group, n, at, low, high = columns
-            ends = np.flatnonzero(np.append(tile[1:] != tile[:-1], True)) + 1
-            pairs = []
-            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-                pairs += [(group[a + i], group[a + k]) for i, k in passing(n[a:b], at[a:b], low[a:b], high[a:b], side[a:b], percent)]
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            other = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
-            whole = int(other[-1]) + 1 if len(other) else 0  # all but the last tile, which may go on
-            if whole:
-                yield out([c[:whole] for c in held])
-                held = [c[whole:] for c in held]
-        if held is not None and len(held[0]):
-            yield out(held)
+        for columns in whole_tiles(batches):
+            tile, side, group, n, at, low, high = (c.to_numpy() for c in columns)
+            pairs = passing_pairs(tile, (n, at.astype(np.int64), low, high, side), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(group[pairs[:, i]]) for i in (0, 1)], ["a", "b"])
 
     return map_batches(tiled.repartition("tile").sortWithinPartitions("tile"), filtered, "a long, b long").distinct()
 
@@ -220,9 +337,11 @@ def join_documents(documents: DataFrame, width: int = 5, percent: int = 80, cell
 
     def texts(wanted: DataFrame) -> DataFrame:
         chosen = written(classes.join(wanted, "class").select(F.col("first_id").alias("doc_id"), "class"))
-        return maybe_in(documents.select("doc_id", "text"), chosen, "doc_id").join(chosen, "doc_id").select("class", "text")
+        return among(documents.select("doc_id", "text"), chosen, "doc_id").join(chosen, "doc_id").select("class", "text")
 
-    links = star_links(listed, members, texts, percent, width)
+    maps = checkpoint(cut.select("class", "n_shingles", "bits").dropDuplicates(["class"]))
+    stars = sifted(star_tiles(star_pairs(listed, members, percent)), maps, percent).select(F.col("a").alias("centre"), F.col("b").alias("member"))
+    links = verified(star_tiles(stars), texts, percent, width)
     roots = components(links)
     labelled = members.join(roots, members["class"] == roots["node"], "left").groupBy("group").agg(F.min(F.coalesce("root", "class")).alias("low"), F.max(F.coalesce("root", "class")).alias("high"))
     labelled = checkpoint(labelled)
@@ -231,9 +350,10 @@ def join_documents(documents: DataFrame, width: int = 5, percent: int = 80, cell
     open_groups = labelled.filter("low < high").select("group")
     named = clusters.select(F.col("node").alias("group"), "root").unionByName(open_groups.select("group", F.col("group").alias("root"))).groupBy("group").agg(F.min("root").alias("root"))
     expanded = named.join(members, "group").groupBy("class").agg(F.min("root").alias("group")).join(classes, "class").select("class", "group", "n_shingles")
-    where = written(tiles(checkpoint(expanded)))
-    all_links = links.unionByName(verified(where, texts, percent, width))
-    rooted = components(all_links)
+    allowed = components(sifted(tiles(checkpoint(expanded)), maps, percent))
+    near = allowed.join(classes, allowed["node"] == classes["class"]).select("class", F.col("root").alias("group"), "n_shingles")
+    where = written(tiles(checkpoint(near)))
+    rooted = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(where, texts, percent, width)))
     lowest = classes.join(rooted, classes["class"] == rooted["node"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(lowest, "root").select(F.col("node").alias("class"), "component_id")
     per_class = checkpoint(classes.join(found, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id")))
