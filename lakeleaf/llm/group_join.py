@@ -26,7 +26,6 @@ component; extra columns are ignored.  Texts, groups and shingles are told apart
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -160,12 +159,6 @@ def lists(cut: DataFrame) -> DataFrame:
     return written(near.join(shared, "token"))
 
 
-def tidy(spark) -> None:
-    """Collect the driver's garbage between rounds: Spark's cleaner drops shuffles, broadcasts and plans of finished jobs only once they are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def size_band(n: Column) -> Column:
     """Sizes within a factor of 0.8 or so."""
     return F.floor(F.log(n.cast("double")) / -F.log(F.lit(0.8)))
@@ -346,26 +339,20 @@ def join_documents(documents: DataFrame, width: int = 5, percent: int = 80, cell
         chosen = written(classes.join(wanted, "class").select(F.col("first_id").alias("doc_id"), "class"))
         return among(documents.select("doc_id", "text"), chosen, "doc_id").join(chosen, "doc_id").select("class", "text")
 
-    tidy(documents.sparkSession)
     maps = checkpoint(cut.select("class", "n_shingles", "bits").dropDuplicates(["class"]))
     stars = sifted(star_tiles(star_pairs(listed, members, percent)), maps, percent).select(F.col("a").alias("centre"), F.col("b").alias("member"))
     links = verified(star_tiles(stars), texts, percent, width)
-    tidy(documents.sparkSession)
     roots = components(links)
-    tidy(documents.sparkSession)
     labelled = members.join(roots, members["class"] == roots["node"], "left").groupBy("group").agg(F.min(F.coalesce("root", "class")).alias("low"), F.max(F.coalesce("root", "class")).alias("high"))
     labelled = checkpoint(labelled)
     edges = candidates(listed, labelled, percent)
     clusters = components(edges)
-    tidy(documents.sparkSession)
     open_groups = labelled.filter("low < high").select("group")
     named = clusters.select(F.col("node").alias("group"), "root").unionByName(open_groups.select("group", F.col("group").alias("root"))).groupBy("group").agg(F.min("root").alias("root"))
     expanded = named.join(members, "group").groupBy("class").agg(F.min("root").alias("group")).join(classes, "class").select("class", "group", "n_shingles")
     allowed = components(sifted(tiles(checkpoint(expanded)), maps, percent))
-    tidy(documents.sparkSession)
     near = allowed.join(classes, allowed["node"] == classes["class"]).select("class", F.col("root").alias("group"), "n_shingles")
     where = written(tiles(checkpoint(near)))
-    tidy(documents.sparkSession)
     rooted = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(where, texts, percent, width)))
     lowest = classes.join(rooted, classes["class"] == rooted["node"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(lowest, "root").select(F.col("node").alias("class"), "component_id")
