@@ -7,6 +7,8 @@ for questions, ``embeddings`` for dense vectors, ``labels.quality`` for gains,
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions import text as T
 from ..functions import udfs as U
 from ..operators import answers, catalog, evaluation, indexing, ranking, retrieval, segmentation, state, understanding
 
-from ..sources import readers
+from ..session import scratch
+from ..sources import readers, versions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -696,3 +699,36 @@ def merged_evidence(spark, d):
     points = chunks.select(F.lit("v").alias("volume"), F.col("lang").alias("doc_id"), F.col("source").alias("doc_issue"), F.col("doc_id").cast("string").alias("title"), "chunk_id", "content", F.lit("article").alias("type"))
     hits = sparse(spark, d, 5).join(docs.select("doc_id", "source", "lang"), "doc_id").select("qid", F.lit("v").alias("volume"), F.col("lang").alias("doc_id"), F.col("source").alias("doc_issue"), F.col("doc_id").cast("string").alias("title"), "score")
     return retrieval.merge_chunks(hits, points).select("qid", F.col("title").alias("doc_key"), "score", "chunk_count", "word_count")
+
+
+CLIENT_COLUMNS = ("client_id", "source", "segment", "city", "balance", "changed_at")
+VERSIONS_SQL = """with first_rows as (
+  select client_id, source, segment, city, balance from (
+    select *, row_number() over (partition by client_id order by updated_at desc nulls last, source desc nulls last,
+      segment desc nulls last, city desc nulls last, balance desc nulls last) as k from clients) where k = 1),
+last_changes as (
+  select * from (select *, row_number() over (partition by client_id order by seq desc nulls last, change_id desc nulls last) as k
+    from client_changes) where k = 1),
+changed as (select client_id, source, segment, city, balance from last_changes where op is distinct from 'D'),
+gone as (select client_id from last_changes where op = 'D'),
+second as (
+  select * from changed union all
+  select * from first_rows f where not exists (select 1 from changed c where c.client_id is not distinct from f.client_id)),
+third as (select * from second s where not exists (select 1 from gone g where g.client_id is not distinct from s.client_id))
+select 1 as version, * from first_rows union all select 2, * from second union all select 3, * from third
+union all select 4, * from first_rows"""
+
+
+@query(VERSIONS_SQL)
+def client_versions(spark, d):
+    """Clients saved, upserted with their last changes, without the deleted ones, and restored: the rows of all four versions (O-032, O-034, O-043)."""
+    clients = table(spark, d, "clients").withColumnRenamed("updated_at", "changed_at").select(*CLIENT_COLUMNS)
+    rows = table(spark, d, "client_changes").withColumnRenamed("valid_at", "changed_at")
+    last = rows.groupBy("client_id").agg(F.max(F.struct("seq", "change_id", "op", *CLIENT_COLUMNS[1:])).alias("last")).select("client_id", "last.*")
+    kept = versions.VersionedTable(spark, scratch(spark, "clients") + "/table", ["client_id"])
+    first = kept.save(clients, ["changed_at"], rows_per_bucket=100_000)
+    kept.upsert(last.filter(~F.col("op").eqNullSafe("D")))
+    kept.remove(last.filter("op = 'D'"))
+    kept.restore(first)
+    found = [kept.read(v).select(F.lit(v).alias("version"), *CLIENT_COLUMNS[:-1]) for v in kept.versions()]
+    return functools.reduce(DataFrame.unionAll, found)

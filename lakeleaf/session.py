@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +23,29 @@ def session(name: str = "lakeleaf", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's spark.checkpoint.dir; a temporary folder only on a local master that sets none."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder only on a local master that sets none."""
+    sc = spark.sparkContext
+    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not known:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeleaf-"))
+        known = sc.getCheckpointDir()
+    return known.rstrip("/")
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
