@@ -12,7 +12,8 @@ W = r"[\p{L}\p{N}_]"
 WORDS = r"[\p{L}\p{N}_]+"
 TAMIL_OR_WORD = r"[\x{0B80}-\x{0BFF}]+|[\p{L}\p{N}_]+"
 SENTENCE = r"[^।.!?]*[।.!?]*"
-BLANK_ENDS = r"(?U)^\s+|\s+$"
+#: The characters of Unicode's White_Space property.
+BLANKS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -21,7 +22,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 def word_count(c: Column) -> Column:
     """Tamil runs or word runs; null has none (O-158)."""
-    return F.coalesce(F.size(matches(c, TAMIL_OR_WORD)), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(TAMIL_OR_WORD)), F.lit(0))
 
 
 def tokens(c: Column) -> Column:
@@ -30,14 +31,18 @@ def tokens(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """All white space off both ends, not spaces alone."""
-    return F.regexp_replace(c, BLANK_ENDS, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def sentences(c: Column, min_chars: int = 10) -> Column:
     """Sentences with their closing marks, longer than ``min_chars`` (O-159)."""
-    body = lambda m: F.regexp_extract(m, r"^([^।.!?]*)", 1)
-    marks = lambda m: F.regexp_extract(m, r"([।.!?]*)$", 1)
-    return F.filter(F.transform(matches(c, SENTENCE), lambda m: F.concat(strip(body(m)), marks(m))), lambda s: F.length(s) > min_chars)
+
+    def stripped(m: Column) -> Column:
+        # A match is a body and its marks, which are at the end.
+        body = F.rtrim(m, F.lit("।.!?"))
+        return F.concat(strip(body), F.substring(m, F.length(body) + 1, F.length(m)))
+
+    return F.filter(F.transform(matches(c, SENTENCE), stripped), lambda s: F.length(s) > min_chars)
 
 
 def counted_sentences(c: Column) -> Column:
@@ -50,23 +55,12 @@ def chunks(column: str, size: int = L.CHUNK_SIZE) -> Column:
 
     An oversized sentence closes what is open and stands alone; what is open is
     closed before it would overflow and once it reaches the target; at the end it
-    is kept if it has 10 words.
+    is kept if it has 10 words.  Only the counts go through Arrow, in one pass; the
+    texts are cut by the spans it finds.
     """
-    target, most = size // 6, int(size // 6 * 1.5)
-    none = "cast(array() as array<string>)"
-    return F.expr(f"""
-    aggregate({column},
-      named_struct('done', {none}, 'cur', {none}, 'n', 0),
-      (a, s) -> case
-        when s.n > {most} then named_struct(
-          'done', concat(a.done, if(size(a.cur) > 0, array(array_join(a.cur, ' ')), {none}), array(s.t)), 'cur', {none}, 'n', 0)
-        when a.n + s.n > {most} and size(a.cur) > 0 then named_struct(
-          'done', concat(a.done, array(array_join(a.cur, ' ')), if(s.n >= {target}, array(s.t), {none})),
-          'cur', if(s.n >= {target}, {none}, array(s.t)), 'n', if(s.n >= {target}, 0, s.n))
-        when a.n + s.n >= {target} then named_struct(
-          'done', concat(a.done, array(array_join(concat(a.cur, array(s.t)), ' '))), 'cur', {none}, 'n', 0)
-        else named_struct('done', a.done, 'cur', concat(a.cur, array(s.t)), 'n', a.n + s.n) end,
-      a -> if(a.n >= 10, concat(a.done, array(array_join(a.cur, ' '))), a.done))""")
+    counts = F.transform(column, lambda s: s["n"])
+    spans = U.chunk_spans(counts, F.lit(size // 6), F.lit(int(size // 6 * 1.5)))
+    return F.transform(spans, lambda x: F.array_join(F.transform(F.slice(column, x["first"] + 1, x["n"]), lambda s: s["t"]), " "))
 
 
 def chunk_ok(c: Column, tamil: bool = True) -> Column:

@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 
 def nfc_text(text: str | None) -> str | None:
@@ -171,3 +171,29 @@ def token_signature(payload, secret: str):
         return payloads.map(lambda p: signature_of(p, secret))
 
     return F.pandas_udf(signed, StringType())(payload)
+
+
+def spans_of(counts: list[int], target: int, most: int) -> list[tuple[int, int]]:
+    """(first sentence, number of sentences) of the chunks of a text, given its sentences' words (O-160)."""
+    out, first, words = [], 0, 0
+    for i, n in enumerate(counts):
+        if i > first and (n > most or words + n > most):
+            out.append((first, i - first))
+            first, words = i, 0
+        words += n
+        if words >= target:
+            out.append((first, i + 1 - first))
+            first, words = i + 1, 0
+    if words >= 10:
+        out.append((first, len(counts) - first))
+    return out
+
+
+@F.arrow_udf(ArrayType(StructType().add("first", IntegerType()).add("n", IntegerType())))
+def chunk_spans(counts, target, most):
+    import pyarrow as pa
+
+    found, to, limit = [], target[0].as_py(), most[0].as_py()
+    for words in counts:
+        found.append(None if not words.is_valid else [{"first": a, "n": n} for a, n in spans_of(words.values.to_pylist(), to, limit)])
+    return pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))

@@ -17,7 +17,9 @@ KEYS = ("doc_id", "doc_issue", "article_no")
 def chunk_rows(articles: DataFrame, keys: list[str], column: str = "content", size: int = L.CHUNK_SIZE) -> DataFrame:
     """keys, chunk_id, total_chunks, content: ordinals count invalid chunks too, so filter afterwards (O-160)."""
     rows = articles.select(*keys, T.counted_sentences(F.col(column)).alias("_parts")).withColumn("_chunks", T.chunks("_parts", size))
-    return rows.select(*keys, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_id", "content"))
+    # Outer, or Catalyst infers a filter on the number of chunks, pushes it down and so cuts every text twice.
+    cut = rows.select(*keys, F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_id", "content"))
+    return cut.filter("chunk_id is not null")
 
 
 def chunk_stats(chunks: DataFrame, tamil: bool = True) -> DataFrame:
@@ -93,8 +95,7 @@ def points(tagged: DataFrame, size: int = L.CHUNK_SIZE, embedder=None) -> DataFr
     ``embedder`` is a column function for the dense vector of ``passage: `` texts (O-250).
     """
     keys = [c for c in tagged.columns if c != "content"]
-    cut = tagged.withColumn("_parts", T.counted_sentences(F.col("content"))).withColumn("_chunks", T.chunks("_parts", size))
-    out = cut.select(*keys, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_id", "content")).filter(T.chunk_ok(F.col("content")))
+    out = chunk_rows(tagged, keys, size=size).filter(T.chunk_ok(F.col("content")))
     name = F.concat_ws("-", F.col("s3_key"), F.col("doc_id").cast("string"), F.col("article_no").cast("string"), F.col("chunk_id").cast("string"))
     out = out.withColumn("point_id", U.point_id(name)).withColumn("type", F.lit("article")).withColumn("volume", T.volume_of(F.col("s3_key")))
     return out.withColumn("dense", embedder(F.concat(F.lit("passage: "), F.col("content")))) if embedder else out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
-from ..operators import answers, catalog, evaluation, indexing, ranking, retrieval, segmentation, state, understanding
+from ..operators import answers, catalog, evaluation, indexing, ranking, retrieval, segmentation, spelling, state, understanding
 
 from ..session import scratch
 from ..sources import readers, versions
@@ -732,3 +732,17 @@ def client_versions(spark, d):
     kept.restore(first)
     found = [kept.read(v).select(F.lit(v).alias("version"), *CLIENT_COLUMNS[:-1]) for v in kept.versions()]
     return functools.reduce(DataFrame.unionAll, found)
+
+
+@query()
+def question_corrections(spark, d):
+    """Clients' names as questions, corrected by the words of regions and nations, of the names of the first records, of vendors and of cities (O-190)."""
+    clients = table(spark, d, "clients")
+    texts = lambda rows, c: rows.select(F.lower(c).alias("text"))
+    known = texts(table(spark, d, "region"), "r_name").unionByName(texts(table(spark, d, "nation"), "n_name"))
+    titles = texts(clients.filter("client_id = master_id"), "name")
+    names = clients.select("client_id", F.lower("name").alias("name"))
+    asked = names.select(F.col("name").alias("question"))
+    vendors, cities = texts(table(spark, d, "vendors"), "name"), texts(clients, "city")
+    found = spelling.corrected_questions(asked, known, titles, vendors, cities, r"[\p{L}]+")
+    return names.join(found, names["name"].eqNullSafe(found["question"])).select("client_id", "question", "corrected")

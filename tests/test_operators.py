@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import uuid
 import zipfile
 
@@ -476,3 +477,24 @@ def test_hash_of_a_listing(spark):
     lines = sorted("|".join(str(x) for x in r if x is not None) for r in rows)
     assert indexing.source_hash(df).first()[0] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
     assert indexing.source_hash(df.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_chunk_spans_in_linear_time():
+    rng = random.Random(8)
+    for _ in range(300):
+        counts = [rng.choice([0, 3, 9, 20, 60, 83, 124, 125, 400]) for _ in range(rng.randrange(30))]
+        parts = [" ".join(["w"] * n) for n in counts]
+        got = [" ".join(parts[a : a + n]) for a, n in U.spans_of(counts, 83, 124)]
+        assert got == plain_chunks(parts)
+    many = [9] * 2_000_000
+    started = time.process_time()
+    assert sum(n for _, n in U.spans_of(many, 83, 124)) == len(many)
+    assert time.process_time() - started < 20
+
+
+def test_strip_takes_every_white_space_character(spark):
+    import unicodedata
+
+    blanks = [chr(i) for i in range(0x3001) if unicodedata.category(chr(i)) in ("Zs", "Zl", "Zp")] + list("\t\n\x0b\x0c\r\x85")
+    rows = [b + "a" + b + "b" + b + b for b in blanks] + ["".join(blanks), "", "\x1ca​"]
+    assert values(spark, T.strip(F.col("t")), rows) == ["a" + b + "b" for b in blanks] + ["", "", "\x1ca​"]
