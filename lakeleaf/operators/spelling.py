@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import scratch
 from .catalog import corrections
 
 TAMIL = r"[\x{0B80}-\x{0BFF}]+"
@@ -77,7 +78,10 @@ def corrected_questions(
 
     first = tokens(asked, "question").withColumn("asked", F.col("token"))
     unknown = first.join(sure, F.col("token") == F.col("word"), "left_anti")
-    once = replaced(asked, fixes(unknown, sure.filter(F.length("word") >= 4)))
+    # Written once, as the second pass reads it several times; the folder goes when the driver's JVM ends.
+    path = scratch(questions.sparkSession, "questions") + "/rows"
+    replaced(asked, fixes(unknown, sure.filter(F.length("word") >= 4))).write.parquet(path)
+    once = questions.sparkSession.read.schema("question string, after string").parquet(path)
 
     later = tokens(once, "after").distinct().withColumn("asked", T.without_possessive(F.col("token")))
     both = later.select(F.explode(F.array("token", "asked")).alias("word")).distinct()
