@@ -2,14 +2,15 @@
 
 The hash of every term votes on 128 signed bits with the term's weight; the
 sign of each sum is a bit of the fingerprint.  A term is a lower-cased word and
-weighs min(length, 8) squared, each time it occurs: long words are rare.
+weighs an eighth of min(length, 8) squared, rounded up, each time it occurs: long
+words are rare.
 
 Words are exploded and summed per text in one hash aggregate, whose partial
 step meets all words of a text in one task; what is shuffled is a row of sums
 per text.  Two counters of 32 bits share a long.  A word of n letters takes n + 1
-characters and weighs 64 at most, so weights sum to less than 7.2 a character
-and counters hold any text of up to LONGEST characters; in longer ones, which are
-a quarter of Spark's longest string and more, every word weighs 1.
+bytes or more and weighs at most 8/9 of that, so the weights of the longest
+string that Spark holds (2**31 bytes) sum to less than 2**31: one rule of weights
+fits the counters, and a signed sum, at every length.
 
 Search within a Hamming radius uses permuted block tables: the fingerprint is
 cut into radius + 1 blocks, each table leads with one of them, and fingerprints
@@ -30,7 +31,7 @@ from .common import WORD, checkpoint, written
 
 BITS = 128
 LANES = 32
-LONGEST = 1 << 29
+LONG_WORD = 8
 #: Cuts per level of two levels of ranges, so RANGES ** 2 buckets at most and 8 * RANGES ** 2 bytes of cuts; parts of a hot id.
 RANGES, PARTS = 256, 256
 ROWS_A_BUCKET = 1000
@@ -39,10 +40,10 @@ ROWS_A_BUCKET = 1000
 def fingerprints(texts: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     """keys, carried and ``mark`` (struct<hi, lo>) of every row of (keys, carried, body); keys are unique, carried are longs."""
     words = F.regexp_extract_all(F.lower("body"), F.lit(WORD), 0)
-    most = F.when(F.length("body") > LONGEST, 1).otherwise(8)
-    terms = texts.select(*keys, *carried, most.alias("most"), F.explode_outer(words).alias("term"))
-    weight = F.least(F.coalesce(F.length("term"), F.lit(0)), F.col("most")).cast("long")
-    hashed = terms.select(*keys, *carried, F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"), (weight * weight).alias("w"))
+    terms = texts.select(*keys, *carried, F.explode_outer(words).alias("term"))
+    letters = F.least(F.coalesce(F.length("term"), F.lit(0)), F.lit(LONG_WORD)).cast("long")
+    weight = F.shiftright(letters * letters + 7, 3)
+    hashed = terms.select(*keys, *carried, F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"), weight.alias("w"))
     # SQL text rather than Column calls: hundreds of small expressions are slow to build one by one.
     lane = lambda half, i: F.expr(f"sum((shiftrightunsigned(h{half}, {i}) & {0x0000000100000001}L) * w) as s{half}_{i}")
     sums = hashed.groupBy(*keys).agg(*(F.expr(f"max({c}) as {c}") for c in carried), F.expr("sum(w) as whole"), *(lane(h, i) for h in (0, 1) for i in range(LANES)))

@@ -12,8 +12,10 @@ bytes, as byte fallback does.  Among equal scores fewer tokens win.
 
 No shuffle.  Memory: a slice of a batch, a trie of at most ``most_nodes`` nodes
 (and one more pre-token), which is begun anew beyond that, and a cache of
-results bounded in bytes; a long run of characters without white space is
-counted without being kept in the cache.
+results bounded in bytes.  Of a run of characters without white space the first
+SHARED are nodes of the trie, shared as any prefix; the rest is folded with the
+scores of the last ``longest`` prefixes alone, as no piece reaches further back,
+so a run takes no memory beyond its own text.
 
 Defined cases: a null or empty text has 0 pre-tokens and tokens and score 0;
 repeated rows are counted each; columns other than doc_id and text are ignored.
@@ -22,7 +24,7 @@ repeated rows are counted each; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -33,6 +35,7 @@ VOCABULARY = "piece_bpe_32k.model"
 OFFSET = 2.7
 BYTE_SCORE = -14.0
 SPACE = "▁"
+SHARED = 1024
 COUNTS = "doc_id long, n_pretokens long, n_tokens long, score double"
 
 
@@ -52,11 +55,12 @@ class PrefixTrie:
     A node is made once, however many pre-tokens share it, and so is its step of
     the dynamic programme: the best last piece over the scores of the nodes above
     it.  Last pieces are tried by growing length, until no piece ends so.  A
-    pre-token's last node holds its result.
+    pre-token's last node holds its result; beyond SHARED characters ``rest`` goes on
+    from the last node.
     """
 
     def __init__(self, pieces: dict[str, float], longest: int, most_nodes: int = 200_000):
-        self.most_nodes = most_nodes
+        self.most_nodes, self.longest = most_nodes, longest
         self.ends: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))}
         self.ends.update(pieces)
         self.clear()
@@ -69,18 +73,20 @@ class PrefixTrie:
         """(tokens, score) of the best segmentation."""
         if len(self.scores) > self.most_nodes:
             self.clear()
-        children, node, path = self.children, 0, [0]
-        for end, char in enumerate(word, 1):
+        children, scores, tokens, node, path = self.children, self.scores, self.tokens, 0, [0]
+        for end, char in enumerate(word[:SHARED], 1):
             child = children[node].get(char)
             if child is None:
-                child = children[node][char] = self.grow(word, end, path)
+                self.grow(word, end, path, scores, tokens)
+                child = children[node][char] = len(children)
+                children.append({})
             path.append(child)
             node = child
-        return self.tokens[node], self.scores[node]
+        return (tokens[node], scores[node]) if len(word) <= SHARED else self.rest(word, path)
 
-    def grow(self, word: str, end: int, path: list[int]) -> int:
-        """A new node for word[:end], from the nodes of its shorter prefixes."""
-        scores, tokens, ends = self.scores, self.tokens, self.ends
+    def grow(self, word: str, end: int, path: Sequence[int], scores: list[float], tokens: list[int]) -> None:
+        """Append the score and token count of word[:end]; those of its shorter prefix word[:i] stand at path[i]."""
+        ends = self.ends
         best, count, start = -math.inf, 0, end
         while start:
             start -= 1
@@ -99,8 +105,16 @@ class PrefixTrie:
                 best, count = score, tokens[before] + n
         scores.append(best)
         tokens.append(count)
-        self.children.append({})
-        return len(scores) - 1
+
+    def rest(self, word: str, path: list[int]) -> tuple[int, float]:
+        """(tokens, score) of a word longer than its path in the trie."""
+        near = path[-self.longest :]
+        scores, tokens = [self.scores[i] for i in near], [self.tokens[i] for i in near]
+        for end in range(len(path), len(word) + 1):
+            self.grow(word, end, range(len(scores) - end, len(scores)), scores, tokens)
+            if len(scores) > 2 * self.longest + SHARED:
+                del scores[: -self.longest], tokens[: -self.longest]
+        return tokens[-1], scores[-1]
 
 
 def trie_counts(pretokens: Iterable[str], pieces: dict[str, float], longest: int) -> dict[str, tuple[int, float]]:

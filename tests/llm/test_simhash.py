@@ -27,7 +27,7 @@ def brute_rows(spark, df):
         for w in WORDS.findall(t.lower()):
             for half in (0, 1):
                 for bit in range(64):
-                    votes[64 * half + bit] += min(len(w), 8) ** 2 * (1 if hashes[w][half] >> bit & 1 else -1)
+                    votes[64 * half + bit] += -(-(min(len(w), 8) ** 2) // 8) * (1 if hashes[w][half] >> bit & 1 else -1)
         return tuple(sum(1 << b for b in range(64) if votes[64 * h + b] > 0) for h in (0, 1))
 
     like = lambda x, y: 1 - sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) / 128
@@ -48,6 +48,19 @@ def test_equals_brute_force(spark, small, odd, monkeypatch):
         assert got == brute_rows(spark, df)
 
 
+def test_counters_hold_the_longest_string():
+    """The densest text is made of words of one length and single spaces; its weights stay below 2^31 in 2^31 bytes."""
+    weight = lambda n: (min(n, sh.LONG_WORD) ** 2 + 7) // 8
+    assert max(weight(n) / (n + 1) for n in range(1, 100)) * (2**31 + 1) < 2**31
+
+
+def test_full_counters_neither_overflow_nor_mix(spark):
+    """The hash aggregate's sums at the largest whole weight that a string can hold: no bit leaves its lane."""
+    whole = 8 * (2**31 // 9)
+    low, high = spark.sql(f"select shiftrightunsigned(s, 32), s & {0xFFFFFFFF}L from (select sum({0x0000000100000001}L * w) s from values ({whole - 8}L), (8L) t(w))").first()
+    assert (low, high) == (whole, whole)
+
+
 def test_no_rows_and_one_row(spark, none, odd):
     assert sh.fingerprint_documents(none).count() == 0
     one = sh.fingerprint_documents(odd.filter("doc_id = 1")).first()

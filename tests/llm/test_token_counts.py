@@ -66,9 +66,36 @@ def test_a_full_cache_changes_nothing(spark, small):
 def test_the_trie_shares_prefixes_and_starts_anew_when_full():
     trie = tc.PrefixTrie(PIECES, 3)
     steps, grow = [], trie.grow
-    trie.grow = lambda word, end, path: steps.append(word[:end]) or grow(word, end, path)
+    trie.grow = lambda word, end, *rest: steps.append(word[:end]) or grow(word, end, *rest)
     words = ["abab", "abba", "ab", "abab"]
     first = [trie.insert(w) for w in words]
     assert sorted(steps) == ["a", "ab", "aba", "abab", "abb", "abba"]
     small = tc.PrefixTrie(PIECES, 3, most_nodes=1)
     assert [small.insert(w) for w in words] == first and len(small.scores) <= 1 + 1 + 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab▁é", min_size=1, max_size=60), min_size=1, max_size=6), st.integers(1, 9))
+def test_runs_beyond_the_shared_prefix_count_alike(words, shared):
+    whole = tc.trie_counts(words, PIECES, 3)
+    before, tc.SHARED = tc.SHARED, shared
+    try:
+        assert tc.trie_counts(words, PIECES, 3) == whole
+    finally:
+        tc.SHARED = before
+
+
+def test_a_run_of_five_million_characters_takes_no_memory_but_its_own():
+    import tracemalloc
+
+    pieces, longest = tc.unigram(tokenizer_file(tc.VOCABULARY))
+    word = tc.SPACE + "QmFzZTY0LW" * 500_000
+    tracemalloc.start()
+    trie = tc.PrefixTrie(pieces, longest)
+    tokens, score = trie.insert(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trie.scores) == 1 + tc.SHARED and peak < 60 << 20
+    short, longer = (trie.insert(tc.SPACE + "QmFzZTY0LW" * n) for n in (1000, 2000))
+    assert tokens == short[0] + 499 * (longer[0] - short[0])
+    assert math.isclose(score, short[1] + 499 * (longer[1] - short[1]), rel_tol=1e-9)
