@@ -1,21 +1,22 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot n of the mix takes the golden-ratio point n * phi mod 1 (as a 32-bit
-fraction) through the cumulative target shares to a source; the slots of a
-source are ranked, and rank k takes block k of the source's shuffled stream of
-words, cut into equal blocks.  A stream is read over again, up to ``repeats``
-times, when its target is larger than the source.  A block is one word up to
-about 2**SLOT_BITS words and grows to ``MOST_BLOCK`` words; beyond that the
-slots grow with the table, so a source is never further from its target than
-some blocks of that size.  Where a block is more than one word, a source whose
-target is under ``FINE`` blocks is read to its target by the word instead.
+A source takes its target, rounded to words, in blocks of BLOCK words; the last
+block is cut by the word.  Its number of blocks is its share of 2**bits whole points, as
+many as hold all blocks.  Slot n of the mix takes the golden-ratio point n * g mod
+2**bits, g odd, through the cumulative numbers of blocks to a source: the points
+meet every whole number exactly once, so each source gets exactly its blocks,
+evenly spread, and points beyond the last source (fewer than half) stay empty.
+The slots of a source are ranked, and rank k takes block k of the source's
+shuffled stream of words.  A stream is read over again, up to ``repeats``
+times, when its target is larger than the source.  This is one rule at every
+size; what a document gives does not depend on BLOCK or on the number of slots.
 
 Everything is whole-number arithmetic on built-in functions: reruns agree and
 no Python runs on the executors.  Running totals go by (source, hash bucket)
 with a second sum over the bucket totals, so a source with a third of all rows
 is spread over all tasks.  Slots meet sources, and blocks, by equi-joins on
-fine keys.  Points repeat after 2**32 slots, which then have met every fraction
-exactly once.
+fine keys.  2**38 slots, or 2.8e14 words, are the most that 64-bit products hold;
+a larger mix raises an overflow.
 
 Defined cases: a null text has size 0; a document without words takes part with
 nothing taken; a null source is a source of its own, after all others;
@@ -25,18 +26,18 @@ columns are ignored by ``mix``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, word_count
 
-PHI_32 = 2_654_435_769
-ONE_32 = 1 << 32
 WEIGHTS = (5, 2, 1)
-SLOT_BITS, MOST_BLOCK = 20, 1024
-#: Targets under so many blocks are too small for blocks of several words.
-FINE = 1024
-BINS = 1024
+#: Words of a block.
+BLOCK = 1024
+#: Points are binned by 2**BIN_BITS or more; at most 2**MOST_BINS bins, which is the longest array that a source is exploded from.
+BIN_BITS, MOST_BINS = 6, 16
 BUCKETS = 256
 
 
@@ -80,32 +81,31 @@ def water_level(per: DataFrame) -> float:
 
 
 def spans(targets: DataFrame) -> DataFrame:
-    """Adds lo and hi: the part of [0, 2**32) that leads to the source, and block_words and slots, of the whole mix.
-
-    quota is the words to take of a source by the word, null where blocks are taken.
-    """
-    total, whole, sources = targets.agg(F.sum("source_size"), F.sum("target"), F.count("*")).first()
-    total = total or 0
-    block = min(MOST_BLOCK, max(1, -(-total // (1 << SLOT_BITS))))
+    """Adds quota, the words to take; blocks; lo and hi, the whole points that lead to the source; and bits of the whole mix."""
+    quota = F.round("target").cast("long")
+    sized = targets.withColumn("quota", quota).withColumn("blocks", F.expr(f"(quota + {BLOCK - 1}) div {BLOCK}"))
+    whole, sources = sized.agg(F.sum("blocks"), F.count("*")).first()
     part = F.expr(f"source_no div {max(1, round((sources or 1) ** 0.5))}")  # rows and parts are both few: the root of the sources
-    summed = with_running_total(targets.withColumn("_part", part), [], "_part", ["source_no"], F.col("target"), "_before")
-    edge = lambda c: F.coalesce(F.floor(F.round(F.try_divide(c, F.lit(whole)), 12) * ONE_32), F.lit(0))
-    quota = F.when((F.col("block_words") > 1) & (F.col("target") < FINE * F.col("block_words")), F.round("target").cast("long"))
-    sized = summed.select(
-        "source", "source_no", "source_size", "target", edge(F.col("_before")).alias("lo"), edge(F.col("_before") + F.col("target")).alias("hi"),
-        F.lit(block).cast("long").alias("block_words"), F.lit(-(-total // block)).cast("long").alias("slots"),
-    )
-    return sized.withColumn("quota", quota)
+    summed = with_running_total(sized.withColumn("_part", part), [], "_part", ["source_no"], F.col("blocks"), "lo")
+    bits = max(0, (whole or 0) - 1).bit_length()
+    return summed.select("source", "source_no", "source_size", "target", "quota", "blocks", "lo", (F.col("lo") + F.col("blocks")).alias("hi"), F.lit(bits).alias("bits"))
+
+
+def golden(slot: str, bits: int) -> str:
+    """SQL of the point of a slot: slot * g mod 2**bits, in two steps of 16 bits, so that products stay below 2**62."""
+    g, mask = int(2**bits * (math.sqrt(5) - 1) / 2) | 1, (1 << bits) - 1
+    return f"(((shiftright({slot}, 16) * {g}L & {mask}L) * 65536L) + ({slot} & 65535L) * {g}L) & {mask}L"
 
 
 def schedule(spanned: DataFrame) -> DataFrame:
     """(slot, source_no, block): slots of a source in order take its blocks in order."""
     spark = spanned.sparkSession
-    slots = spanned.agg(F.max("slots")).first()[0] or 0
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id % {ONE_32}) * {PHI_32} % {ONE_32}").alias("point"))
-    points = points.withColumn("bin", F.expr(f"point div {ONE_32 // BINS}"))
-    cells = spanned.filter("hi > lo").select("source_no", "lo", "hi", F.explode(F.expr(f"sequence(lo div {ONE_32 // BINS}, (hi - 1) div {ONE_32 // BINS})")).alias("bin"))
-    hits = points.join(cells, "bin").filter("point >= lo and point < hi").select("slot", "source_no", F.expr(f"slot div {max(1, min(1 << 22, -(-slots // BUCKETS)))}").alias("part"))
+    bits = spanned.agg(F.max("bits")).first()[0] or 0
+    width = max(BIN_BITS, bits - MOST_BINS)
+    points = spark.range(1 << bits).select(F.col("id").alias("slot"), F.expr(golden("id", bits)).alias("point")).withColumn("bin", F.shiftright("point", width))
+    # Every source has a point of its own for each block, so a bin of 2**width points meets that many sources at most.
+    cells = spanned.filter("hi > lo").select("source_no", "lo", "hi", F.explode(F.expr(f"sequence(shiftright(lo, {width}), shiftright(hi - 1, {width}))")).alias("bin"))
+    hits = points.join(cells, "bin").filter("point >= lo and point < hi").select("slot", "source_no", F.expr(f"slot div {max(1, min(1 << 22, (1 << bits) // BUCKETS))}").alias("part"))
     return with_running_total(hits, ["source_no"], "part", ["slot"], F.lit(1), "block").select("slot", "source_no", "block")
 
 
@@ -136,14 +136,12 @@ def positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return with_running_total(rows, ["source_no"], "part", ["shuffled", "copy"], F.col("size"), "begin")
 
 
-def pieces(placed: DataFrame, spanned: DataFrame, repeats: int = 3) -> DataFrame:
-    """Parts of documents by block: (doc_id, copy, source_no, block, words, cycle), a cycle being one pass over the source; of sources without a quota."""
-    block = spanned.agg(F.max("block_words")).first()[0] or 1
+def pieces(placed: DataFrame, repeats: int = 3) -> DataFrame:
+    """Parts of documents by block: (doc_id, copy, source_no, block, words, cycle), a cycle being one pass over the source; the last block is cut at the quota."""
     cycles = placed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("cycle")).withColumn("at", F.expr("begin + cycle * source_size"))
-    # The points of a golden-ratio sequence miss a share by fewer than 64 slots, so parts beyond that cannot meet one.
-    reached = cycles.filter(F.col("quota").isNull() & (F.col("at") <= F.col("target") + 64 * block))
-    cut = reached.select("doc_id", "copy", "source_no", "cycle", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
-    return cut.withColumn("words", F.expr(f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block})"))
+    reached = cycles.filter("at < quota").withColumn("end", F.least(F.col("at") + F.col("size"), F.col("quota")))
+    cut = reached.select("doc_id", "copy", "source_no", "cycle", "at", "end", "size", F.explode(F.expr(f"sequence(at div {BLOCK}, (end - 1) div {BLOCK})")).alias("block"))
+    return cut.withColumn("words", F.expr(f"least(end, (block + 1) * {BLOCK}) - greatest(at, block * {BLOCK})"))
 
 
 def sized_documents(documents: DataFrame) -> DataFrame:
@@ -159,7 +157,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     spanned = checkpoint(spans(source_targets(sized, weights, repeats)))
     placed = checkpoint(positions(sized, spanned))
     taken = (
-        pieces(placed, spanned, repeats)
+        pieces(placed, repeats)
         .join(schedule(spanned), ["source_no", "block"])
         .groupBy("doc_id", "source_no", "size", "copy")
         .agg(F.sum("words").alias("taken"))
@@ -167,9 +165,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     keys = ("doc_id", "source_no", "size", "copy")
     taken = taken.select(*(F.col(c).alias(f"_{c}") for c in keys), "taken")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    cycle = "greatest(0L, least(size, quota - begin - {} * source_size))"
-    by_word = F.expr(" + ".join(cycle.format(c) for c in range(repeats)))
-    words = F.when(F.col("quota").isNotNull(), by_word).otherwise(F.coalesce("taken", F.lit(0))).cast("long")
+    words = F.coalesce("taken", F.lit(0)).cast("long")
     return placed.join(taken, same, "left").select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
@@ -188,7 +184,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
 
 
 def mix_sql(weights: tuple[int, ...] = WEIGHTS, repeats: int = 3) -> str:
-    """DuckDB SQL for ``mix``: the same slots, and each document's taken words from the slots of its blocks."""
+    """DuckDB SQL for ``mix``: of every document the words that lie before its source's target, in up to three passes."""
     size = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
     case = " ".join(f"when {i} then {w}" for i, w in enumerate(weights))
     return f"""
@@ -201,13 +197,7 @@ lv as (select *, cast(sum(source_size) over () - coalesce(sum(cap) over w, 0) as
   from wt window w as (order by cap / weight, source_no rows between unbounded preceding and 1 preceding)),
 wa as (select *, coalesce(max(case when cap / weight > level then level end) over (), max(cap / weight) over ()) as water from lv),
 ta as (select source, source_no, source_size, case when cap / weight <= water then cast(cap as double) else weight * water end as target from wa),
-hi as (select *, cast(sum(source_size) over () as bigint) as total, cast(floor(round(sum(target) over (order by source_no) / sum(target) over (), 12) * {ONE_32}) as bigint) as hi from ta),
-sp as (select *, coalesce(lag(hi) over (order by source_no), 0) as lo, least({MOST_BLOCK}, greatest(1, (total + {(1 << SLOT_BITS) - 1}) // {1 << SLOT_BITS})) as bw from hi),
-m as (select max(bw) as bw, max((total + bw - 1) // bw) as slots from sp),
-sl as (select slot, slot * {PHI_32} % {ONE_32} as point from (select unnest(range(cast(coalesce(slots, 0) as bigint))) as slot from m)),
-bl as (select source_no, row_number() over (partition by source_no order by slot) - 1 as block from sl join sp on point >= lo and point < hi),
-used as (select source_no, count(*) as blocks from bl group by source_no),
 pl as (select sized.*, source_no, source_size, target, coalesce(sum(size) over (partition by source_no order by md5(coalesce(cast(doc_id as varchar), '') || '/mix'), copy rows between unbounded preceding and 1 preceding), 0) as b
   from sized join ta on sized.source is not distinct from ta.source)
 select doc_id, size, source_size, target, cast(greatest(0, least(b + size, q) - b) + greatest(0, least(b + source_size + size, q) - b - source_size) + greatest(0, least(b + 2 * source_size + size, q) - b - 2 * source_size) as bigint) as taken
-from (select pl.*, coalesce(blocks, 0) * bw as q from pl left join used using (source_no), m)"""
+from (select *, cast(round(target) as bigint) as q from pl)"""

@@ -85,17 +85,17 @@ def test_runs_beyond_the_shared_prefix_count_alike(words, shared):
         tc.SHARED = before
 
 
-def test_a_run_of_five_million_characters_takes_no_memory_but_its_own():
+def test_a_long_run_takes_no_memory_but_its_own():
     import tracemalloc
 
     pieces, longest = tc.unigram(tokenizer_file(tc.VOCABULARY))
-    word = tc.SPACE + "QmFzZTY0LW" * 500_000
+    word = tc.SPACE + "QmFzZTY0LW" * 40_000
     tracemalloc.start()
     trie = tc.PrefixTrie(pieces, longest)
     tokens, score = trie.insert(word)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(trie.scores) == 1 + tc.SHARED and peak < 60 << 20
+    assert len(trie.scores) == 1 + tc.SHARED and peak < 4 << 20
     short, longer = (trie.insert(tc.SPACE + "QmFzZTY0LW" * n) for n in (1000, 2000))
-    assert tokens == short[0] + 499 * (longer[0] - short[0])
-    assert math.isclose(score, short[1] + 499 * (longer[1] - short[1]), rel_tol=1e-9)
+    assert tokens == short[0] + 39 * (longer[0] - short[0])
+    assert math.isclose(score, short[1] + 39 * (longer[1] - short[1]), rel_tol=1e-9)
