@@ -86,3 +86,31 @@ def test_bitmaps_never_rule_out_a_link():
                         want = join(want, a, b)
                         assert got[a] == got[b]
             assert len(set(got)) > 1
+
+
+def test_roots_of_edges_and_local_stars_keep_components(spark):
+    import numpy as np
+
+    from lakeleaf.llm.near_dedup import components
+
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(-50, 700)]
+    some = [(int(x) + 1000, int(y) + 1000) for x, y in rng.integers(0, 900, (500, 2))]
+    edges = [*chain, *some, (5000, 4000), (5000, 4500), (7, 7)]
+    parent = {n: n for e in edges for n in e}
+
+    def top(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    want = {n: top(n) for n in parent}
+    nodes, roots = gj.roots_of(*np.array(edges).T)
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == want
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for most in (1 << 20, 40):
+        assert {r["node"]: r["root"] for r in components(gj.local_stars(df, most)).collect()} == {n: r for n, r in want.items() if n < 1000 or n != r or n in set(want.values()) and list(want.values()).count(n) > 1}
+    assert components(gj.local_stars(df.limit(0))).count() == 0
