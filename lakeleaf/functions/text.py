@@ -237,7 +237,8 @@ def metric_text(c: Column) -> Column:
 
 
 def base64url(c: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(c), "+/", "-_"), F.lit("="))
+    """Without padding and without the line breaks that Spark puts after every 76 characters."""
+    return F.rtrim(F.translate(F.base64(c), "+/\r\n", "-_"), F.lit("="))
 
 
 def folded_issue(c: Column) -> Column:
