@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
+from ..session import in_batches
 
 KEYS = ("doc_id", "doc_issue", "article_no")
 
@@ -109,22 +111,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def source_hash(listing: DataFrame) -> DataFrame:
     """SHA-256 of the sorted 'key|time' lines (O-113); of nothing for an empty listing.
 
-    The digest is sequential by definition: one task sorts the lines, spilling as it
-    needs, and streams them through it, so no array of them is held.
+    Lines are sorted by ranges in many tasks, which pack them, so that the one task that
+    the sequential digest needs sorts a compressed pack for up to some thousand lines.
     """
 
+    def packed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                lines = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_pydict({"first": lines[:1], "last": lines[-1:], "pack": [zlib.compress("\n".join(lines).encode(), 1)]})
+
     def digested(batches):
         import pyarrow as pa
 
         found, first = hashlib.sha256(), True
         for batch in batches:
-            lines = "\n".join(batch.column(0).to_pylist())
-            found.update((lines if first else "\n" + lines).encode())
-            first = False
+            for pack in batch.column(0):
+                found.update((b"" if first else b"\n") + zlib.decompress(pack.as_py()))
+                first = False
         yield pa.RecordBatch.from_pydict({"source_hash": [None if first else found.hexdigest()]})
 
     line = F.concat_ws("|", F.col("key").cast("string"), F.col("modified").cast("string")).alias("line")
-    found = listing.select(line).repartition(1).sortWithinPartitions("line").mapInArrow(digested, "source_hash string")
+    ordered = listing.select(line).repartitionByRange("line").sortWithinPartitions("line")
+    packs = in_batches(ordered, packed, "first string, last string, pack binary")
+    # Packs that begin with the same line hold nothing else, but for the one with the largest last line.
+    found = in_batches(packs.repartition(1).sortWithinPartitions("first", "last").select("pack"), digested, "source_hash string")
     return found.agg(F.coalesce(F.max("source_hash"), F.lit(hashlib.sha256(b"").hexdigest())).alias("source_hash"))
 
 
