@@ -1,6 +1,7 @@
 import hashlib
 
 from lakeleaf.operators import indexing
+from lakeleaf.plans import registry
 
 
 def test_lines_are_sorted_by_ranges_and_packed(spark):
@@ -15,3 +16,8 @@ def test_lines_are_sorted_by_ranges_and_packed(spark):
         assert found.first()[0] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_reassembled_documents_are_cut_once(spark):
+    plan = registry.QUERIES["chunk_reassemble"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("chunk_spans(") == 1
