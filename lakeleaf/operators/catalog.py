@@ -266,15 +266,49 @@ def vocabulary(texts: DataFrame, column: str, pattern: str = r"[\x{0B80}-\x{0BFF
     return texts.select(F.explode(T.matches(F.lower(column), pattern)).alias("word")).distinct()
 
 
+def alike(tokens: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(token, word), maybe repeated: all pairs that the guard allows and whose ratio can reach ``least``, and few others.
+
+    With three equal leading characters and lengths that differ by 2 at most, such a pair differs by k single deletions and
+    insertions at most.  Of k + 1 parts of the token's rest one is then whole in the word's, at most k places away, so
+    the pair meets under it.  Texts that folding to NFC or lower case may shift meet under their first characters alone.
+    """
+    edits = lambda n: F.least(F.floor((1 - least) * (2 * n + 2) + 1e-9).cast("int"), n - 3)
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        head, low = F.substring(name, 1, 3), U.folded(F.col(name))
+        rows = rows.select(name, head.alias("_head"), low.alias("_low"), F.substring(low, 4, 1 << 30).alias("_rest"), F.length(name).alias("_n"))
+        plain = (F.length("_low") == F.col("_n")) & (F.lower(name) == F.col("_low")) & (F.lower("_head") == F.substring("_low", 1, 3))
+        return rows.filter(F.col("_n") >= 3).withColumn("_plain", plain)
+
+    def start(n: Column, i: Column) -> Column:
+        return F.floor(i * (n - 3) / (edits(n) + 1)).cast("int")
+
+    def key(n: Column, i: Column, at: Column) -> Column:
+        return F.concat_ws("|", F.lit("part"), "_head", n.cast("string"), i.cast("string"), F.substring(F.col("_rest"), at + 1, start(n, i + 1) - start(n, i)))
+
+    def shifted(n: Column, i: Column) -> Column:
+        first, k = start(n, i), edits(n)
+        return F.transform(upto(F.greatest(F.lit(0), first - k), F.least(first + k, F.col("_n") - 3 - start(n, i + 1) + first)), lambda at: key(n, i, at))
+
+    whole = lambda kind: F.concat_ws("|", F.lit(kind), "_head")
+    own = F.concat(F.transform(upto(F.lit(0), edits(F.col("_n"))), lambda i: key(F.col("_n"), i, start(F.col("_n"), i))), F.array(whole("shifting")))
+    asked = keyed(tokens, "token").select("token", F.explode(F.when(F.col("_plain"), own).otherwise(F.array(whole("any")))).alias("key"))
+    lengths = upto(F.greatest(F.lit(4), F.col("_n") - 2), F.col("_n") + 2)
+    parts = F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(upto(F.lit(0), edits(n)), lambda i: shifted(n, i)))))
+    held = F.concat(F.when(F.col("_plain"), parts).otherwise(F.array(whole("shifting"))), F.array(whole("any")))
+    known = keyed(words, "word").select("word", F.explode(F.array_distinct(held)).alias("key"))
+    return asked.join(known, "key").select("token", "word")
+
+
 def corrections(tokens: DataFrame, words: DataFrame, least: float = 0.88) -> DataFrame:
     """(token, word, ratio): the best safe correction of each unknown token (O-088, O-190).
 
-    The guard asks for three equal leading characters, so both sides are blocked by
-    them: an equi-join with a small residual instead of all pairs.
+    The ratio is computed for ``alike`` pairs only, so its calls do not grow with the square of a block.
     """
-    block = lambda c: F.substring(c, 1, 3)
     unknown = tokens.select("token").distinct().filter(F.length("token") >= 4).join(words, F.col("token") == F.col("word"), "left_anti")
-    pairs = unknown.withColumn("_b", block("token")).join(words.withColumn("_b", block("word")), "_b").filter(T.safe_to_correct(F.col("token"), F.col("word")))
+    pairs = alike(unknown, words, least).filter(T.safe_to_correct(F.col("token"), F.col("word"))).distinct()
     scored = pairs.withColumn("ratio", U.ratio(F.col("token"), F.col("word"))).filter(F.col("ratio") >= least)
     order = Window.partitionBy("token").orderBy(F.col("ratio").desc(), "word")
     return scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("token", "word", "ratio")
