@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches, slices, written
-from .near_dedup import class_of, components, confirmed, near_duplicates_sql, normal_words, shingle_set, tiles, word_hashes
+from .near_dedup import class_of, components, confirmed, local_stars, near_duplicates_sql, normal_words, roots_of, shingle_set, tiles, word_hashes  # noqa: F401
 
 CELLS = 1 << 17
 LIST_BLOCK = 512
@@ -256,50 +256,6 @@ def sifted(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return map_batches(found.repartition("tile").sortWithinPartitions("tile"), sift, "a long, b long")
 
 
-def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, smallest node that each reaches) of the edges a-b: labels sink along edges and along themselves until they rest."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        both = np.minimum(label[x], label[y])
-        for side in (x, y):
-            np.minimum.at(low, side, both)
-            np.minimum.at(low, label[side], both)  # the root hooks on as well, so that trees merge whole
-        low = low[low]
-        if np.array_equal(low, label):
-            return nodes, nodes[label]
-        label = low
-
-
-def local_stars(edges: DataFrame, most_edges: int = 1 << 20) -> DataFrame:
-    """(a, b) edges of the same components: every node of a task to the smallest it reaches there, ``most_edges`` or so at a time.
-
-    Twice, dealt by edge and then by node, so that few rounds over all edges are left to ``components``.
-    """
-
-    def contracted(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        def stars() -> pa.RecordBatch:
-            nodes, roots = roots_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held.clear()
-            below = nodes != roots
-            return pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(roots[below])], ["a", "b"])
-
-        held: list = []
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            if sum(len(x) for x, _ in held) >= most_edges:
-                yield stars()
-        if held:
-            yield stars()
-
-    found = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    return map_batches(map_batches(found, contracted, "a long, b long").repartition("a"), contracted, "a long, b long")
-
-
 def verified(rows: DataFrame, texts, percent: int, width: int) -> DataFrame:
     """A spanning forest of the links in every tile of (tile, side, class), on full sets."""
     found = rows.join(texts(rows.select("class").distinct()), "class")
@@ -386,19 +342,19 @@ def join_documents(documents: DataFrame, width: int = 5, percent: int = 80, cell
     maps = checkpoint(cut.select("class", "n_shingles", "bits").dropDuplicates(["class"]))
     stars = sifted(star_tiles(star_pairs(listed, members, percent)), maps, percent).select(F.col("a").alias("centre"), F.col("b").alias("member"))
     links = verified(star_tiles(stars), texts, percent, width)
-    roots = components(local_stars(links))
+    roots = components(links)
     labelled = members.join(roots, members["class"] == roots["node"], "left").groupBy("group").agg(F.min(F.coalesce("root", "class")).alias("low"), F.max(F.coalesce("root", "class")).alias("high"))
     labelled = checkpoint(labelled)
     edges = candidates(listed, labelled, percent)
-    clusters = components(local_stars(edges))
+    clusters = components(edges)
     open_groups = labelled.filter("low < high").select("group")
     named = clusters.select(F.col("node").alias("group"), "root").unionByName(open_groups.select("group", F.col("group").alias("root"))).groupBy("group").agg(F.min("root").alias("root"))
     expanded = named.join(members, "group").groupBy("class").agg(F.min("root").alias("group")).join(classes, "class").select("class", "group", "n_shingles")
-    allowed = components(local_stars(sifted(tiles(checkpoint(expanded)), maps, percent)))
+    allowed = components(sifted(tiles(checkpoint(expanded)), maps, percent))
     near = allowed.join(classes, allowed["node"] == classes["class"]).select("class", F.col("root").alias("group"), "n_shingles")
     where = written(tiles(checkpoint(near)))
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(where, texts, percent, width))
-    rooted = components(local_stars(joined))
+    rooted = components(joined)
     lowest = classes.join(rooted, classes["class"] == rooted["node"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(lowest, "root").select(F.col("node").alias("class"), "component_id")
     per_class = checkpoint(classes.join(found, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id")))

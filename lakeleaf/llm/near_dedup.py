@@ -124,27 +124,76 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
     return map_batches(documents.select("doc_id", "text"), signed, SIGNATURES)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each reaches) of the edges a-b: labels sink along edges and along themselves until they rest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        both = np.minimum(label[x], label[y])
+        for side in (x, y):
+            np.minimum.at(low, side, both)
+            np.minimum.at(low, label[side], both)  # the root hooks on as well, so that trees merge whole
+        low = low[low]
+        if np.array_equal(low, label):
+            return nodes, nodes[label]
+        label = low
+
+
+def local_stars(edges: DataFrame, most_edges: int = 1 << 20) -> DataFrame:
+    """(a, b) of the same components, a > b: every node of a task to the smallest that it reaches there, ``most_edges`` or so at a time.
+
+    The last row's larger end goes on into the next lot with its root, so that edges sorted by larger ends
+    bring each of those in one piece, as a small star does.
+    """
+
+    def contracted(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        def stars() -> pa.RecordBatch:
+            last = max(held[-1][0][-1], held[-1][1][-1])
+            nodes, roots = roots_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            at = np.searchsorted(nodes, last)
+            held[:] = [(nodes[at : at + 1], roots[at : at + 1])]
+            below = nodes != roots
+            return pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(roots[below])], ["a", "b"])
+
+        held: list = []
+        fresh = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                fresh += batch.num_rows
+            if fresh >= most_edges:
+                yield stars()
+                fresh = 0
+        if fresh:
+            yield stars()
+
+    return map_batches(edges.select("a", "b"), contracted, "a long, b long")
+
+
+def components(edges: DataFrame, most_edges: int = 1 << 20) -> DataFrame:
     """(node, root) of every node of the (a, b) edges, root the component's smallest node.
 
-    Alternating large and small stars: each step hooks the neighbours of a node to
-    its smallest one.  Grouped minima are partial aggregates; the joins back on the
-    node are plain sort-merge joins of two checkpoints, whose hot keys AQE splits.
+    The tasks that make the edges contract their own first, and those of larger ends dealt by node once more, so
+    that few are left.  Then large stars (the larger neighbours of a node are hooked to its smallest one) alternate
+    with such contractions, which hold all edges of a larger end and so are small stars at least.  Grouped minima are
+    partial aggregates; the joins back on the node are plain sort-merge joins of two checkpoints, whose hot keys AQE splits.
+    A round costs two checkpoints and four shuffles, however few its rows.
     """
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    by_larger = lambda e: local_stars(e.repartition("a").sortWithinPartitions("a"), most_edges)
+    edges = checkpoint(by_larger(local_stars(edges.filter("a <> b"), most_edges)))
     while True:
-        # Done when the edges are stars: every u has one edge, and no centre v is a u.
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1").isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(large.filter("u <> v").distinct())
-        low = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
-        small = edges.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        below = F.when(F.col("near") < F.col("node"), F.col("near"))
+        low = checkpoint(both.groupBy("node").agg(F.min(below).alias("low"), F.max(below).alias("high"), F.max(F.col("near") > F.col("node")).alias("hub")))
+        # Done when the edges are stars: every node has one smaller neighbour, or larger ones alone.
+        if not low.agg(F.max(F.expr("low < high or low is not null and hub"))).first()[0]:
+            return low.select("node", F.coalesce("low", "node").alias("root"))
+        large = edges.join(low, edges["b"] == low["node"]).select("a", F.coalesce("low", "b").alias("b"))
+        edges = checkpoint(by_larger(large))
 
 
 def forest(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:

@@ -89,3 +89,29 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 1), (20, 21)] + [(100, i) for i in range(101, 160)]
     got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in (1, 2, 3, 7, 8, 9)) and got[5] == got[4] == 4 and got[21] == 20 and all(got[i] == 100 for i in range(100, 160))
+
+
+def test_components_take_few_jobs_and_lots_of_few_edges_give_the_same(spark):
+    rng = np.random.default_rng(8)
+    near = [(int(x) * 100 + int(a), int(x) * 100 + int(b)) for x, a, b in rng.integers(0, 100, (4000, 3))]
+    parent = {n: n for e in near for n in e}
+
+    def top(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in near:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    want = {n: top(n) for e in near for n in e if e[0] != e[1]}
+    df = spark.createDataFrame(near, "a long, b long").repartition(4).localCheckpoint()
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        got = {r["node"]: r["root"] for r in nd.components(df).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == want
+    assert jobs <= 30, jobs
+    assert {r["node"]: r["root"] for r in nd.components(df, 7).collect()} == want
