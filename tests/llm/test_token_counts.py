@@ -99,3 +99,25 @@ def test_a_long_run_takes_no_memory_but_its_own():
     short, longer = (trie.insert(tc.SPACE + "QmFzZTY0LW" * n) for n in (1000, 2000))
     assert tokens == short[0] + 39 * (longer[0] - short[0])
     assert math.isclose(score, short[1] + 39 * (longer[1] - short[1]), rel_tol=1e-9)
+
+
+def test_ends_that_are_no_pieces_are_not_tried_anew_at_every_character():
+    import sys
+
+    pieces = {"b" + "a" * 400: -9.0, "a": -2.0, "x": -3.0}
+    trie, gets = tc.PrefixTrie(pieces, 401), 0
+
+    def count(frame, event, what):
+        nonlocal gets
+        gets += event == "c_call" and what.__name__ == "get"
+
+    words = [f"{'x' * i}{'a' * 900}" for i in range(1, 6)]
+    sys.setprofile(count)
+    try:
+        got = [trie.insert(w) for w in words]
+    finally:
+        sys.setprofile(None)
+    assert [n for n, _ in got] == [len(w) for w in words]
+    assert gets < 5 * 5 * 900, gets
+    tokens, score = trie.insert("xb" + "a" * 401)
+    assert tokens == 3 and score == -3.0 - 9.0 - 2.0
