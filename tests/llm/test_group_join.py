@@ -114,3 +114,63 @@ def test_roots_of_edges_and_local_stars_keep_components(spark):
     for most in (1 << 20, 40):
         assert {r["node"]: r["root"] for r in components(gj.local_stars(df, most)).collect()} == {n: r for n, r in want.items() if n < 1000 or n != r or n in set(want.values()) and list(want.values()).count(n) > 1}
     assert components(gj.local_stars(df.limit(0))).count() == 0
+
+
+def test_texts_that_share_a_token_by_chance_form_no_candidate_component(spark, monkeypatch):
+    """Neighbours share a third of their words, so most pass the filters by sizes and positions, and none is linked."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(40 * 60)]
+    rows = [(i, " ".join(words[i * 40 : i * 40 + 60])) for i in range(59)]
+    seen = []
+    monkeypatch.setattr(gj, "tiles", lambda grouped: seen.append(grouped.count()) or nd.tiles(grouped))
+    got = check(spark, rows, cells=1)
+    assert len({c for _, c in got.values()}) == len(rows)
+    assert seen[0] <= 5
+
+
+def test_lists_hold_each_group_of_a_recurring_token_once(spark):
+    rng = random.Random(7)
+    cut = []
+    for group in range(40):
+        prefix = [*rng.sample(range(60), 5), 1000 + group]
+        cut += [(10 * group + k, 30, group, prefix, b"") for k in range(rng.choice([1, 1, 3]))]
+    want = {(t, g, 30, at) for _, _, g, prefix, _ in cut for at, t in enumerate(prefix) if len({h for _, _, h, p, _ in cut if t in p}) > 1}
+    assert 0 < len(want) < sum(len(prefix) for *_, prefix, _ in cut)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for most in (before, "3", "1"):
+            spark.conf.set(key, most)
+            got = [tuple(r) for r in gj.lists(spark.createDataFrame(cut, gj.PREFIXES)).select("token", "group", "n", "at").collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_pairs_are_compared_by_bitmaps_as_tiles_are():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: (size := int(rng.integers(1, 700)))], rng.integers(0, 2**63, int(rng.integers(0, size // 5 + 1)), dtype=np.uint64)])) for _ in range(60)]
+    maps = [None if i % 9 == 0 else gj.parity_bits(s) for i, s in enumerate(sets)]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    sizes = np.array([len(s) for s in sets])
+    passed = gj.maybe_linked(([maps[i] for i in a], [maps[i] for i in b]), (sizes[a], sizes[b]), 80)
+    assert not passed.all()
+    for i, k, some in zip(a, b, passed, strict=True):
+        common = len(np.intersect1d(sets[i], sets[k]))
+        if maps[i] is None or maps[k] is None or 100 * common >= 80 * (sizes[i] + sizes[k] - common):
+            assert some
+        if i != k and 100 * min(sizes[i], sizes[k]) >= 80 * max(sizes[i], sizes[k]):
+            both = [None if maps[x] is None else np.frombuffer(maps[x], np.uint8) for x in (i, k)]
+            assert bool(gj.maybe_links(both, sizes[[i, k]], np.zeros(2, int), 80)) == some
+
+
+def test_sketch_counts_every_shingle(spark):
+    rows = [(i, f"a b c d e f {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cells = gj.SKETCH_PART + 10
+    ranks = gj.cell_ranks(gj.sized(df, 5, cells), cells)
+    counts = np.zeros(cells, int)
+    for _, text in rows:
+        np.add.at(counts, gj.cells_of(nd.shingle_set(nd.word_hashes(nd.normal_words(text)), 5), cells), 1)
+    assert sorted(ranks) == list(range(cells)) and (np.diff(counts[np.argsort(ranks)]) >= 0).all() and counts.max() >= 30
